@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import media, packing, simple8b, token_counts
+from corvane.llm import decontamination, media, packing, simple8b, token_counts
 
 END_ID = 2
 
@@ -46,9 +46,14 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each document is in the benchmark."""
+    return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_token_binary, op8_token_counts, op9_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op5_token_binary, op8_token_counts, op9_media_columns, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_benchmark_decontamination": decontamination.SQL}
