@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontamination, media, packing, simple8b, token_counts, toxicity
+from corvane.llm import decontamination, html, media, packing, simple8b, token_counts, toxicity
 
 END_ID = 2
 
@@ -31,6 +31,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of each document, learnt from labels outside the held-out fifth."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -57,7 +62,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_toxicity, op5_token_binary, op8_token_counts, op9_media_columns, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op4_toxicity, op5_token_binary, op8_token_counts, op9_media_columns, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
