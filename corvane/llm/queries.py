@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontamination, html, jaccard_join, media, packing, simple8b, token_counts, toxicity
+from corvane.llm import decontamination, html, jaccard_join, media, packing, quality, simple8b, token_counts, toxicity
 
 END_ID = 2
 
@@ -51,6 +51,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 4, 85)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, their posterior and the trained score of each document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of piece_bpe_32k of each document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), 4096)
@@ -67,7 +72,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op4_toxicity, op5_token_binary, op6_ngram_jaccard_join, op8_token_counts, op9_media_columns, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op4_toxicity, op5_token_binary, op6_ngram_jaccard_join, op7_quality_classifier, op8_token_counts, op9_media_columns, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
