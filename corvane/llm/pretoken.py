@@ -98,22 +98,10 @@ class ChunkEncoder:
         known = self.known
         new = set().union(*(c for c in cut if c is not None)).difference(known)
         fresh = list(new)
-        ids = dict(zip(fresh, self._each(fresh), strict=True))
-        if len(known) + len(ids) <= self.most:
-            known.update(ids)
-            look = known
-        else:
-            look = _Both(known, ids)
+        known.update(zip(fresh, self._each(fresh), strict=True))
         whole = iter(list(self._ids([t for t, c in zip(texts, cut, strict=True) if c is None])))
-        return [next(whole) if c is None else b"".join(map(look.__getitem__, c)) for c in cut]
-
-
-class _Both(dict):
-    """The kept entries first, then those of one batch."""
-
-    def __init__(self, known: dict[str, bytes], batch: dict[str, bytes]):
-        super().__init__(batch)
-        self.known = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
+        out = [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        if len(known) > self.most:  # those of this batch go again, so that frequent early ones stay
+            for c in fresh:
+                del known[c]
+        return out

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontamination, html, jaccard_join, media, packing, quality, simple8b, token_counts, toxicity
+from corvane.llm import decontamination, html, jaccard_join, media, packing, pitman_yor, quality, simple8b, token_counts, toxicity
 
 END_ID = 2
 
@@ -36,6 +36,11 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of each document under the Pitman-Yor model, and under add-one smoothing."""
+    return pitman_yor.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of each document, learnt from labels outside the held-out fifth."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -72,7 +77,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op4_toxicity, op5_token_binary, op6_ngram_jaccard_join, op7_quality_classifier, op8_token_counts, op9_media_columns, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_lm_scoring, op4_toxicity, op5_token_binary, op6_ngram_jaccard_join, op7_quality_classifier, op8_token_counts, op9_media_columns, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

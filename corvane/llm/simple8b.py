@@ -179,7 +179,7 @@ MANIFEST = T.StructType([T.StructField("run", T.IntegerType()), T.StructField("p
 DECODED = T.StructType([T.StructField("file", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("place", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, run_rows: int = 4096, file_ids: int = 8_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, run_rows: int = 4096, file_ids: int = 2_000_000) -> DataFrame:
     """Tokenize docs (doc_id, text) and write their ids as files in ascending doc_id order.
 
     Returns the manifest (run, part, file, docs, ids): runs and their parts are in doc_id order.
