@@ -1,12 +1,55 @@
-"""Placeholder until the stages exist."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+reread as the next stage's docs. All but the last return the columns of documents; what a stage rejects is gone after it.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import queries
+from corvane.llm import decontamination, jaccard_join, packing, quality, queries, toxicity
+from corvane.llm.common import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic."""
+    return toxicity.without_toxic(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality scorer keeps."""
+    return quality.kept(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.one_of_each(docs, 4, 85)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark contamination."""
+    return decontamination.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, queries.tokenizer_path("byte_bpe_50k.json"), 1024, queries.END_ID)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_classifier", drop_low_quality),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack),
+]
 
-STAGES = []
+#: Trained scores and tokenizers can't be said in SQL; tests/llm holds every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries.table(spark, sf_dir, "documents")
+    """The result of all stages over the documents of sf_dir."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

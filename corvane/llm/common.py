@@ -101,3 +101,8 @@ def sliced(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null reads as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def with_plain_names(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with its columns named c0, c1 and so on but for the text, so that none clashes with what an operator adds. Undo it with toDF(*docs.columns)."""
+    return docs.toDF(*(c if c == text else f"c{i}" for i, c in enumerate(docs.columns)))

@@ -15,11 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lower_az
+from corvane.llm.common import lower_az, with_plain_names
 
 #: Words: runs of characters that are not ASCII, or digits, or lower-case letters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows that are broadcast at most: about 200 bytes each on an executor.
 BROADCAST_WINDOWS = 100_000
 
@@ -94,21 +93,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     remove="documents" drops contaminated rows; remove="spans" cuts the hit words (and the gaps after them) out of
     every text. Rows with null texts stay. docs should be a table: its rows are numbered twice and must come alike.
     """
-    marked = contamination(docs, benchmark, width, share)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    plain = with_plain_names(docs)
+    ids = plain.columns[docs.columns.index("doc_id")]
+    numbered = plain.withColumn("_row", F.monotonically_increasing_id())
+    marked = contamination(plain.select(F.col(ids).alias("doc_id"), "text"), benchmark, width, share)
     if remove == "documents":
         bad = marked.where("contaminated").select(F.col("row").alias("_row"))
-        return numbered.join(bad, "_row", "left_anti").select(*(numbered[c] for c in docs.columns))
+        return numbered.join(bad, "_row", "left_anti").select(*plain.columns).toDF(*docs.columns)
     if remove != "spans":
         raise ValueError(f"remove is documents or spans, not {remove}")
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1))))
     cut = marked.where("n_hit > 0").select(F.col("row").alias("_row"), hit.alias("_hit"))
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?:[A-Z]|{WORD})(?:[A-Z]|{WORD})*|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
-    lead = F.when(F.col("text").rlike("^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"), 1).otherwise(0)
+    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|{gap}"), F.lit(0))
+    lead = F.when(F.col("text").rlike(f"^{gap}"), 1).otherwise(0)
     # word k is piece 2k + lead, and the gap after it the next one
     kept = F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains("_hit", F.floor((i - lead) / 2).cast("int"))), "")
     joined = numbered.join(cut, "_row", "left").withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(kept))
-    return joined.select(*docs.columns)
+    return joined.select(*plain.columns).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

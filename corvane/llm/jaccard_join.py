@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_batches, texts_of, written
+from corvane.llm.common import map_batches, texts_of, with_plain_names, written
 from corvane.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's multipliers
@@ -321,6 +321,21 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     return sets.join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (a null id last, then the first in the table). Columns as they were.
+
+    docs must be a table, as its rows are numbered by the scan more than once. Texts without words link with nothing and all stay.
+    """
+    plain = with_plain_names(docs)
+    ids = plain.columns[docs.columns.index("doc_id")]
+    rows = plain.withColumn("_row", F.monotonically_increasing_id())
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent)
+    found = written(found.join(rows.select(F.col("_row").alias("doc_id"), F.col(ids).alias("_id")), "doc_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("c"), "_id"), "groups")
+    first = found.groupBy("c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("s")).select("c", F.col("s._row").alias("first"))
+    others = found.join(first, "c").where("_row != first").select("_row")
+    return rows.join(others, "_row", "left_anti").select(*plain.columns).toDF(*docs.columns)
+
+
 def outside(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs that lie in different components."""
     ends = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_batches, texts_of, written
+from corvane.llm.common import map_batches, texts_of, with_plain_names, written
 from corvane.llm.html import STOP_WORDS
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
@@ -282,5 +282,5 @@ def quality(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of docs that the scorer keeps, columns as they were (extra columns too, whatever their names)."""
     scorer, _ = fit(docs)
-    numbered = docs.toDF(*(f"c{i}" if c != "text" else c for i, c in enumerate(docs.columns)))
-    return score(numbered, scorer).where("keep").select(*numbered.columns).toDF(*docs.columns)
+    plain = with_plain_names(docs)
+    return score(plain, scorer).where("keep").select(*plain.columns).toDF(*docs.columns)

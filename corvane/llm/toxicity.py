@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_batches, texts_of, written
+from corvane.llm.common import map_batches, texts_of, with_plain_names, written
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (4, 5, 6)
@@ -258,5 +258,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, columns as they were."""
-    return score(docs, fit(docs, labels, held_out)).where("predicted = 0").select(*docs.columns)
+    """The rows of docs that aren't predicted toxic, columns as they were (extra columns too, whatever their names)."""
+    plain = with_plain_names(docs)
+    return score(plain, fit(docs, labels, held_out)).where("predicted = 0").select(*plain.columns).toDF(*docs.columns)
