@@ -16,10 +16,19 @@ _CYRILLIC = re.compile("[а-яё]")
 VOCABULARY = 1 << 20
 
 
-@F.pandas_udf("string")
-def stem(term: pd.Series) -> pd.Series:
-    """Russian where a term has a Cyrillic letter, else English. Meant for distinct terms."""
-    return term.map(lambda t: t if t is None else stem_russian(t) if _CYRILLIC.search(t) else stem_english(t))
+def stem_word(term: str) -> str:
+    """Russian where a term has a Cyrillic letter, else English."""
+    return stem_russian(term) if _CYRILLIC.search(term) else stem_english(term)
+
+
+def stem(term: Column | str) -> Column:
+    """The stems of terms. Meant for distinct ones."""
+
+    @F.pandas_udf("string")
+    def stems(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else stem_word(x))
+
+    return stems(term)
 
 
 def term_index(term: Column, vocabulary: int = VOCABULARY) -> Column:
@@ -56,7 +65,11 @@ def dense_encoder(dimension: int):
     return encode
 
 
-@F.pandas_udf("long")
-def sparse_place(token: pd.Series) -> pd.Series:
-    """The place of a token in the small sparse vocabulary of 4096."""
-    return token.map(lambda t: None if t is None else _seed(t) % 4096)
+def sparse_place(token: Column | str, vocabulary: int = 4096) -> Column:
+    """The place of a token in the small sparse vocabulary."""
+
+    @F.pandas_udf("long")
+    def place(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else _seed(x) % vocabulary)
+
+    return place(token)

@@ -32,10 +32,14 @@ STOP_WORDS = (
 ).split()
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
+def nfc(text: Column | str) -> Column:
     """Composed form; Spark has no function for it."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    @F.pandas_udf("string")
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    return compose(text)
 
 
 def squeeze(text: Column) -> Column:

@@ -38,7 +38,7 @@ def tables(lined: DataFrame, id: str = "doc_id") -> DataFrame:
     heads = lined.withColumn("_stop", F.coalesce(stop, last + 1)).withColumn("_next", F.lead("separator").over(order)).where(F.col("row") & F.col("_next"))
     listed = heads.groupBy(id).agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("start"), F.col("_stop").alias("end")))).alias("c"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    free = lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(x))).otherwise(acc)
+    free = lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(acc, F.array(x))).otherwise(acc)
     return listed.select(id, F.posexplode(F.aggregate("c", empty, free)).alias("table", "t")).select(id, "table", F.col("t.start").alias("start"), F.col("t.end").alias("end"))
 
 
@@ -88,7 +88,7 @@ def word_windows(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", t
 def _prose(docs: DataFrame, marked: DataFrame, size: int, overlap: int, id: str, text: str) -> DataFrame:
     runs = F.regexp_extract_all("bare", F.lit(f"({X.NOT_SPACE}+|{X.SPACE}+)"), F.lit(1))
     each = marked.where(F.col("table").isNull() & (F.col("level") == 0)).select(id, "segment", "line", "at", "path", runs.alias("r"))
-    starts = F.aggregate("r", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.length(x))))
+    starts = F.aggregate("r", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x))))
     placed = F.zip_with("r", starts, lambda x, end: F.struct((F.col("at") + end - F.length(x)).cast("int").alias("from"), (F.col("at") + end).cast("int").alias("to"), F.col("path").alias("path"), x.rlike(X.NOT_SPACE).alias("word")))
     spots = each.select(id, "segment", F.explode(F.filter(placed, lambda s: s["word"])).alias("s")).groupBy(id, "segment").agg(F.array_sort(F.collect_list(F.struct("s.from", "s.to", "s.path"))).alias("w"))
     cut = spots.select(id, "segment", "w", F.explode(windows(F.size("w"), size, overlap)).alias("first")).withColumn("n", F.least(F.lit(size), F.size("w") - F.col("first")))
