@@ -99,7 +99,7 @@ def is_row(line: Column) -> Column:
 
 def is_separator(line: Column) -> Column:
     """A row of dashes, bare rules included."""
-    return line.rlike(r"^(?=[^-]*-)" + f"(?:{SPACE}|[|:-])+$") & ~F.regexp_replace(line, SPACE, "").rlike(r"^\|\|.*$") | line.rlike(f"^{SPACE}*-+{SPACE}*$")
+    return line.contains("-") & line.rlike(f"^(?:{SPACE}|[|:-])+$")
 
 
 def embed_text(text: Column, *path: Column | list[Column]) -> Column:
