@@ -252,20 +252,36 @@ def pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a signature and lie in different components, in blocks, pruned. members: (sig, node, component)."""
+    """Pairs (a, b) of nodes that share a signature and lie in different components, in blocks, pruned. members: (sig, node, component), a table.
+
+    Each pair comes once: under the smallest signature that both have. (If two components meet in a pair, all signatures
+    that it shares are in members.)
+    """
+    lists = members.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))  # at most a set's signatures
     sizes = members.groupBy("sig").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = members.join(sizes.where("m > 2"), "sig").join(nodes.select("node", "n", "bins"), "node").withColumn("_blocks", blocks)
+    known = nodes.select("node", "n", "bins").join(lists, "node")
+    rows = members.join(sizes.where("m > 2"), "sig").join(known, "node").withColumn("_blocks", blocks)
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     # a block meets itself and the others once: the pair of blocks is the key
-    met = rows.select("sig", "node", "component", "n", "bins", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    keyed = met.select("sig", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "component", "n", "bins", "_own")
+    met = rows.select("sig", "node", "component", "n", "bins", "sigs", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    keyed = met.select("sig", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "component", "n", "bins", "sigs", "_own")
     schema = "a long, b long"
 
     def pairs(table: pa.Table) -> pa.Table:
         node, comp, n, own = (table.column(c).to_numpy() for c in ("node", "component", "n", "_own"))
         bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        sig, sigs = table.column("sig")[0].as_py(), table.column("sigs")
+        sets: dict[int, set] = {}
+
+        def before(i: int) -> set:
+            """The node's signatures smaller than this group's."""
+            if i not in sets:
+                own = sigs[i].values.to_numpy()
+                sets[i] = set(own[own < sig].tolist())
+            return sets[i]
+
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for i in left.tolist():
@@ -273,11 +289,12 @@ def across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
             if len(js):
                 js = js[close_enough(n[js], n[i], np.abs(bins[js] - bins[i]).sum(axis=1, dtype=np.int64), percent)]
+                js = js[[before(i).isdisjoint(before(j)) for j in js.tolist()]] if len(js) else js
                 a.append(np.minimum(node[js], node[i]))
                 b.append(np.maximum(node[js], node[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return keyed.groupBy("sig", "x", "y").applyInArrow(pairs, schema).distinct()
+    return keyed.groupBy("sig", "x", "y").applyInArrow(pairs, schema)
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -310,7 +327,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     # signatures that still hold several components
     rows = live.select("sig", "node").unionByName(live.select("sig", F.col("pivot").alias("node"))).distinct().join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2").select("sig")
-    left = written(across(rows.join(mixed, "sig", "left_semi"), nodes, percent).join(likely, ["a", "b"], "left_anti"), "across")
+    members = written(rows.join(mixed, "sig", "left_semi"), "members")
+    left = written(across(members, nodes, percent).join(likely, ["a", "b"], "left_anti"), "across")
     if not left.isEmpty():
         more = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct().join(features, "node", "left_anti")
         features = features.unionByName(written(feature_sets(docs, more, nodes, words), "features"))
