@@ -2,7 +2,7 @@
 
 Fitting takes a bounded sample of labelled rows of each class. Terms are words and word beginnings
 of four to six letters (inflected forms share them); those whose log-likelihood ratio between the
-classes is high enough make up the TF-IDF space. The examples' postings form an inverted index in blocks
+classes is high enough, in favour of label 1, make up the TF-IDF space. The examples' postings form an inverted index in blocks
 of examples, and each term keeps the largest weight it has in each block. A query adds these
 maxima up to bounds for the blocks, and scores blocks from the highest bound down until no bound
 can beat the k-th best cosine: the k nearest are exact. Their votes, weighted
@@ -31,8 +31,8 @@ _BEGINNINGS = (4, 5, 6)
 
 #: Labelled rows of each class in the sample, at most.
 EXAMPLES = 4000
-#: Terms kept, at most, and the log-likelihood ratio that a term needs.
-TERMS, LEAST_RATIO = 20_000, 20.0
+#: Terms kept, at most; the log-likelihood ratio that a term needs, and how much likelier it must be in label 1.
+TERMS, LEAST_RATIO, LIFT = 20_000, 20.0, 10.0
 BLOCK = 64
 NEIGHBOURS = 15
 #: Weight of the base rate in a vote.
@@ -177,7 +177,7 @@ def select_terms(sample: DataFrame, terms: int = TERMS, least: float = LEAST_RAT
     a, df = F.col("a"), F.col("df")
     b = df - a
     ratio = 2 * (part(a, df * n1 / n) + part(b, df * n0 / n) + part(n1 - a, (n - df) * n1 / n) + part(n0 - b, (n - df) * n0 / n))
-    rows = counted.select("term", "df", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term").limit(terms).collect()
+    rows = counted.select("term", "a", "df", F.round(ratio, 6).alias("ratio")).where((F.col("ratio") >= least) & (F.col("a") * n0 >= LIFT * (F.col("df") - F.col("a")) * n1)).orderBy(F.desc("ratio"), "term").limit(terms).collect()
     vocabulary = {r["term"]: i for i, r in enumerate(sorted(rows, key=lambda r: r["term"]))}
     idf = np.zeros(len(rows))
     for r in rows:
