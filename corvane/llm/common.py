@@ -88,6 +88,27 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def text_column(make: Callable[[], Callable[[list[str]], list[list | pa.Array]]], fields: T.StructType) -> Callable[[Column], Column]:
+    """A column function from texts to a struct, with state for each task. Null reads as empty.
+
+    Only the texts go to Python and only the structs come back; the rows' other columns stay in the JVM.
+    make() runs once in a task and returns a function from texts to a list of column values for each field.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(fields)
+
+    @F.arrow_udf(fields)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = make()
+        for batch in batches:
+            parts = [work([x or "" for x in part.column(0).to_pylist()]) for part in sliced(pa.RecordBatch.from_arrays([batch], ["text"]), 8 << 20)] or [[[] for _ in target]]
+            columns = [pa.concat_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c in (p[i] for p in parts)]) for i, f in enumerate(target)]
+            yield pa.StructArray.from_arrays(columns, fields=list(target))
+
+    return run
+
+
 def sliced(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about most bytes, a row at least."""
     rows = batch.num_rows

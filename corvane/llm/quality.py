@@ -18,12 +18,11 @@ from math import log
 from operator import eq
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_batches, texts_of, with_plain_names, written
+from corvane.llm.common import map_batches, text_column, texts_of, with_plain_names, written
 from corvane.llm.html import STOP_WORDS
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
@@ -254,20 +253,18 @@ SCORED = T.StructType([T.StructField("votes", T.StringType()), T.StructField("sc
 def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
     """docs with votes, score (0 to 1, higher is better) and keep (score >= threshold)."""
     held = docs.sparkSession.sparkContext.broadcast(scorer)
-    columns = docs.columns
-    schema = T.StructType([*docs.schema, *SCORED])
 
     def make() -> Callable:
         own, reader = held.value, Reader()
 
-        def work(batch):
-            read = [reader.read(t) for t in texts_of(batch)]
+        def work(texts: list[str]) -> list:
+            read = [reader.read(t) for t in texts]
             scores = [own.score(*features(*r)) for r in read]
-            yield {c: batch.column(c) for c in columns} | {"votes": [votes(s) for s, _ in read], "score": scores, "keep": pa.array([x >= threshold for x in scores], pa.bool_())}
+            return [[votes(s) for s, _ in read], scores, [x >= threshold for x in scores]]
 
         return work
 
-    return map_batches(docs, make, schema)
+    return docs.withColumn("_quality", text_column(make, SCORED)(F.col("text"))).select(*docs.columns, "_quality.*")
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -19,12 +19,11 @@ from dataclasses import dataclass, field
 from math import log
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_batches, texts_of, with_plain_names, written
+from corvane.llm.common import map_batches, text_column, texts_of, with_plain_names, written
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (4, 5, 6)
@@ -225,15 +224,13 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     examples, and no evidence. Nothing but the text is looked at.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
-    columns = docs.columns
-    schema = T.StructType([*docs.schema, *SCORES])
 
     def make() -> Callable:
         own, cache, done = held.value, {}, {}
 
-        def work(batch):
+        def work(texts: list[str]) -> list:
             scores, evidence = [], []
-            for text in texts_of(batch):
+            for text in texts:
                 terms, values = own.vector(bag(text), cache)
                 key = (terms.tobytes(), values.tobytes())
                 got = done.get(key)
@@ -243,11 +240,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                         done[key] = got
                 scores.append(got[0])
                 evidence.append(got[1])
-            yield {c: batch.column(c) for c in columns} | {"score": scores, "predicted": pa.array([int(s >= 0.5) for s in scores], pa.int32()), "evidence": evidence}
+            return [scores, [int(s >= 0.5) for s in scores], evidence]
 
         return work
 
-    return map_batches(docs, make, schema)
+    return docs.withColumn("_toxicity", text_column(make, SCORES)(F.col("text"))).select(*docs.columns, "_toxicity.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame:
