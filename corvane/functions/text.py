@@ -13,7 +13,8 @@ SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 NOT_SPACE = r"[^\p{IsWhite_Space}\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]+"
 #: Line ends as of Python's splitlines.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+LINE_END = rf"\r\n|[{LINE_BREAKS}]"
 _CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
 #: Words that the lexical index passes over.

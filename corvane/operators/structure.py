@@ -20,7 +20,8 @@ _LEVELS = range(1, 7)
 def lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, line, raw, bare, at, row, separator, level, title): at is the line's first character, counted from 0."""
     ends = X.LINE_END
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"((?:(?!{ends})(?s:.))*(?:{ends})|(?:(?!{ends})(?s:.))+)"), F.lit(1))
+    inside = f"[^{X.LINE_BREAKS}]"
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({inside}*(?:{ends})|{inside}+)"), F.lit(1))
     each = docs.select(id, F.posexplode(pieces).alias("line", "raw"))
     order = Window.partitionBy(id).orderBy("line")
     bare = F.regexp_replace("raw", f"(?:{ends})$", "")
@@ -87,10 +88,11 @@ def word_windows(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", t
 
 def _prose(docs: DataFrame, marked: DataFrame, size: int, overlap: int, id: str, text: str) -> DataFrame:
     runs = F.regexp_extract_all("bare", F.lit(f"({X.NOT_SPACE}+|{X.SPACE}+)"), F.lit(1))
-    each = marked.where(F.col("table").isNull() & (F.col("level") == 0)).select(id, "segment", "line", "at", "path", runs.alias("r"))
-    starts = F.aggregate("r", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x))))
-    placed = F.zip_with("r", starts, lambda x, end: F.struct((F.col("at") + end - F.length(x)).cast("int").alias("from"), (F.col("at") + end).cast("int").alias("to"), F.col("path").alias("path"), x.rlike(X.NOT_SPACE).alias("word")))
-    spots = each.select(id, "segment", F.explode(F.filter(placed, lambda s: s["word"])).alias("s")).groupBy(id, "segment").agg(F.array_sort(F.collect_list(F.struct("s.from", "s.to", "s.path"))).alias("w"))
+    each = marked.where(F.col("table").isNull() & (F.col("level") == 0)).select(id, "segment", "line", "at", "path", F.posexplode(runs).alias("k", "x"))
+    ahead = Window.partitionBy(id, "line").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("from", (F.col("at") + F.coalesce(F.sum(F.length("x")).over(ahead), F.lit(0))).cast("int"))
+    word = placed.where(F.col("x").rlike(X.NOT_SPACE)).select(id, "segment", F.struct("from", (F.col("from") + F.length("x")).alias("to"), "path").alias("s"))
+    spots = word.groupBy(id, "segment").agg(F.array_sort(F.collect_list("s")).alias("w"))
     cut = spots.select(id, "segment", "w", F.explode(windows(F.size("w"), size, overlap)).alias("first")).withColumn("n", F.least(F.lit(size), F.size("w") - F.col("first")))
     span = cut.select(id, F.element_at("w", F.col("first") + 1).alias("a"), F.element_at("w", F.col("first") + F.col("n")).alias("b"), F.col("n").cast("long").alias("token_count"))
     body = X.strip(F.substring(F.col(text), F.col("a.from") + 1, F.col("b.to") - F.col("a.from")))

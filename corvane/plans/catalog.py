@@ -16,7 +16,8 @@ from corvane.functions import encoders, identity
 from corvane.functions import text as X
 from corvane.functions import vectors as V
 from corvane.operators import control, dense, evaluate, lexical, ranking, structure
-from corvane.plans import search
+from corvane.plans import lifecycle, search
+from corvane.schemas import DOCUMENT_STATES, JOB
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _S: dict[str, str] = {}
@@ -457,8 +458,6 @@ _STATE = "['UPLOADING', 'UPLOADED', 'QUEUED', 'PROCESSING', 'READY', 'FAILED', '
     ('UPLOADING', 'FAILED'), ('UPLOADED', 'FAILED'), ('QUEUED', 'FAILED'), ('PROCESSING', 'FAILED'), ('DELETING', 'DELETE_FAILED')) v(a, b))
   SELECT event_id AS id, CASE WHEN ok.a IS NULL THEN t.a ELSE t.b END AS status, CAST(CASE WHEN ok.a IS NULL THEN 0 ELSE 1 END AS BIGINT) AS row_version, ok.a IS NULL AS illegal FROM t LEFT JOIN ok ON t.a = ok.a AND t.b = ok.b""")
 def state_transitions(spark, d):
-    from corvane.schemas import DOCUMENT_STATES
-
     names = F.array(*(F.lit(s) for s in DOCUMENT_STATES))
     state = lambda n: F.element_at(names, (n % 10 + 1).cast("int"))
     events = table(spark, d, "events").select(F.col("event_id").alias("id"))
@@ -565,3 +564,61 @@ def event_hours(spark, d):
 def event_parse(spark, d):
     ok = F.try_parse_json("props").isNotNull()
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("valid"))
+
+
+# --- lifecycle -----------------------------------------------------------------------------------------------------
+
+
+@register("document_chunks", f"{_WINDOWS} SELECT doc_id, chunk_index, CAST(n_words AS BIGINT) AS token_count, sha256(text) AS digest FROM w")
+def document_chunks(spark, d):
+    """The whole structure plan over the documents, which have neither headings nor tables."""
+    cut = structure.chunks(table(spark, d, "documents").select("doc_id", "text"), SIZE, OVERLAP)
+    return cut.select("doc_id", "chunk_index", "token_count", F.sha2("text", 256).alias("digest"))
+
+
+@register("prepare_uploads", """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN error IS NULL THEN 'UPLOADING' END AS status, 'documents/' || doc_id || '/original/' || source AS original_object_key, error
+  FROM (SELECT doc_id, source, CASE WHEN NOT n_chars > 0 THEN 'EMPTY' WHEN n_chars > 52428800 THEN 'FILE_TOO_LARGE' WHEN lang IN ('fr', 'es') THEN 'UNSUPPORTED_FILE' END AS error FROM documents)""")
+def prepare_uploads(spark, d):
+    kind = F.when(F.col("lang").isin("fr", "es"), "text/html").otherwise("text/plain")
+    requests = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("filename"), kind.alias("content_type"), F.col("n_chars").alias("size"))
+    return lifecycle.prepare_uploads(requests, F.lit(_NOW).cast("timestamp")).select("id", "status", "original_object_key", "error")
+
+
+def _control_documents(spark, d) -> DataFrame:
+    state = F.element_at(F.array(*(F.lit(s) for s in DOCUMENT_STATES)), (F.col("doc_id") % 10 + 1).cast("int"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), state.alias("status"), F.lit(0).alias("row_version"))
+
+
+def _requests(spark, d) -> DataFrame:
+    i = F.col("event_id")
+    return table(spark, d, "events").select(F.col("event_id").cast("string").alias("document_id"), F.concat(F.lit("k"), (i - i % 2).cast("string")).alias("idempotency_key")).where(i % 2 == 0)
+
+
+@register("start_deletions", f"""WITH r AS (SELECT event_id, {_STATE}[CAST(doc_id % 10 AS BIGINT) + 1] AS s FROM events LEFT JOIN documents ON doc_id = event_id WHERE event_id % 2 = 0)
+  SELECT CASE WHEN s IS NULL THEN 'NOT_FOUND' WHEN s NOT IN ('UPLOADED', 'FAILED', 'READY', 'DELETE_FAILED') THEN 'INVALID_STATE' ELSE 'started' END AS outcome, count(*) AS n FROM r GROUP BY 1""")
+def start_deletions(spark, d):
+    told, _, _ = lifecycle.start_deletion(_control_documents(spark, d), spark.createDataFrame([], JOB), _requests(spark, d), F.lit(_NOW).cast("timestamp"))
+    return told.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@register("deleted_documents", f"""WITH s AS (SELECT doc_id, {_STATE}[CAST(doc_id % 10 AS BIGINT) + 1] AS s FROM documents),
+  g AS (SELECT s.*, s IN ('UPLOADED', 'FAILED', 'READY', 'DELETE_FAILED') AND doc_id % 2 = 0 AND doc_id IN (SELECT event_id FROM events) AS gone FROM s)
+  SELECT CASE WHEN gone THEN 'DELETED' ELSE s END AS status, CASE WHEN gone THEN 2 ELSE 0 END AS row_version, count(*) AS n FROM g GROUP BY 1, 2""")
+def deleted_documents(spark, d):
+    """Deletion from request to end: the documents' states after it."""
+    now = F.lit(_NOW).cast("timestamp")
+    _, jobs, docs = lifecycle.start_deletion(_control_documents(spark, d), spark.createDataFrame([], JOB), _requests(spark, d), now)
+    docs, _ = lifecycle.finish(docs, jobs, jobs.select(F.col("id").alias("job_id")))
+    return docs.groupBy("status", "row_version").agg(F.count("*").alias("n"))
+
+
+@register("retrieve_points", f"SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % {EVERY} = 0)")
+def retrieve_points(spark, d):
+    wanted = table(spark, d, "documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("vec_id"))
+    return control_semi(table(spark, d, "embeddings"), wanted, "vec_id").select("vec_id", "label")
+
+
+@register("search_requests", "SELECT item_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'EMPTY_QUERY' WHEN length(text) > 4000 THEN 'QUERY_TOO_LONG' WHEN item_id % 60 < 1 OR item_id % 60 > 50 THEN 'BAD_LIMIT' WHEN item_id % 250 < 1 OR item_id % 250 > 200 OR item_id % 250 < item_id % 60 THEN 'BAD_CANDIDATES' END AS error FROM benchmark")
+def search_requests(spark, d):
+    i = F.col("item_id")
+    return table(spark, d, "benchmark").select("item_id", control.request_error(F.col("text"), i % 60, i % 250).alias("error"))
