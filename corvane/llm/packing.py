@@ -33,7 +33,7 @@ from corvane.llm.pretoken import ChunkEncoder
 #: Documents over this share of the capacity are packed by configurations.
 LARGE_SHARE = 8
 #: Groups of equal cardinality, at most.
-GROUPS = 96
+GROUPS = 64
 #: Rows that a hash block holds about, for ranking.
 BLOCK_ROWS = 4096
 
@@ -82,85 +82,71 @@ def solve_configurations(sizes: list[int], needs: list[int], capacity: int, roun
     return [(tuple(int(a) for a in c), int(v + 1e-6)) for c, v in zip(columns, x, strict=True) if int(v + 1e-6) > 0]
 
 
-def plan_packing(lengths: dict[int, int], capacity: int, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths in order, how many such sequences) for a histogram of lengths 1 to capacity.
-
-    Every counted document is in exactly one sequence. The number of distinct
-    sequences is bounded by the number of distinct lengths and configurations,
-    not by the documents.
-    """
-    left = {k: v for k, v in lengths.items() if v > 0}
-    if not left:
-        return []
-    if min(left) < 1 or max(left) > capacity:
-        raise ValueError("lengths must be from 1 to the capacity")
-    done: list[tuple[tuple[int, ...], int]] = []
-    if full := left.pop(capacity, 0):
-        done.append(((capacity,), full))
-    open_: list[list] = []  # [lengths, count]
+def _grouped(left: dict[int, int], capacity: int, groups: int) -> tuple[list[tuple[list[int], int]], dict[int, int]]:
+    """(sequences of long documents by configurations, what is left). left maps lengths under the capacity to counts."""
+    left, done = dict(left), []
     large = sorted((k for k in left if k * LARGE_SHARE > capacity), reverse=True)
-    total = sum(left[k] for k in large)
-    if total:
-        each = -(-total // groups)
-        runs: list[list[list[int]]] = []  # of each group: [length, count] in descending order
-        room = 0
-        for k in large:
-            n = left.pop(k)
-            while n:
-                if not room:
-                    runs.append([])
-                    room = each
-                take = min(n, room)
-                runs[-1].append([k, take])
-                room -= take
-                n -= take
-        merged: dict[int, list[list[int]]] = {}  # groups of the same rounded size are one
-        for r in runs:
-            merged.setdefault(r[0][0], []).extend(r)
-        sizes = list(merged)
-        for config, times in solve_configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], capacity):
-            slots = [g for g, a in enumerate(config) for _ in range(a)]
-            while times:
-                # the actual documents at the head of each group, as often as all of them last
-                wanted = [(g, slots.count(g)) for g in dict.fromkeys(slots)]
-                heads: list[int] = []
-                often = times
-                for g, a in wanted:
-                    run = merged[sizes[g]]
-                    if sum(n for _, n in run) < a:
-                        often = 0
-                        break
-                    if run[0][1] >= a:
-                        often = min(often, run[0][1] // a)
-                    else:
-                        often = min(often, 1)
-                if not often:
-                    break
-                for g, a in wanted:
-                    run, want = merged[sizes[g]], a * often
-                    while want:
-                        take = min(want, run[0][1])
-                        heads.extend([run[0][0]] * (take // often if run[0][1] >= want and take == a * often else take))
-                        run[0][1] -= take
-                        want -= take
+    if not large:
+        return done, left
+    each = -(-sum(left[k] for k in large) // groups)
+    runs: list[list[list[int]]] = []  # of each group: [length, count] in descending order
+    room = 0
+    for k in large:
+        n = left.pop(k)
+        if len(large) <= groups:  # so few lengths need no rounding
+            runs.append([[k, n]])
+            continue
+        while n:
+            if not room:
+                runs.append([])
+                room = each
+            take = min(n, room)
+            runs[-1].append([k, take])
+            room -= take
+            n -= take
+    merged: dict[int, list[list[int]]] = {}  # groups of the same rounded size are one
+    for r in runs:
+        merged.setdefault(r[0][0], []).extend(r)
+    sizes = list(merged)
+    for config, times in solve_configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], capacity):
+        wanted = [(merged[sizes[g]], a) for g, a in enumerate(config) if a]
+        while times and all(sum(n for _, n in run) >= a for run, a in wanted):
+            # the actual documents at the head of each group, as often as the first lengths last
+            often = min(times, *(max(1, run[0][1] // a) for run, a in wanted))
+            members: list[int] = []
+            for run, a in wanted:
+                if run[0][1] >= a * often:
+                    members += [run[0][0]] * a
+                    run[0][1] -= a * often
+                    if not run[0][1]:
+                        run.pop(0)
+                else:  # one sequence takes the end of a length and the start of the next
+                    for _ in range(a):
+                        members.append(run[0][0])
+                        run[0][1] -= 1
                         if not run[0][1]:
                             run.pop(0)
-                open_.append([heads, often])
-                times -= often
-        for run in merged.values():
-            for k, n in run:
-                left[k] = left.get(k, 0) + n
-    by_free: dict[int, list[list]] = defaultdict(list)
-    for item in open_:
-        by_free[capacity - sum(item[0])].append(item)
-    frees = sorted(f for f, v in by_free.items() if v)
-
-    def put(free: int, item: list) -> None:
-        if free not in by_free or not by_free[free]:
+            done.append((members, often))
+            times -= often
+    for run in merged.values():
+        for k, n in run:
+            left[k] = left.get(k, 0) + n
+    return done, left
+
+
+def _best_fit(open_: list[tuple[list[int], int]], left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Put what is left into the free space of open sequences, longest first, each where it fits most tightly; then open new ones."""
+    by_free: dict[int, list[tuple[list[int], int]]] = defaultdict(list)
+    for members, times in open_:
+        by_free[capacity - sum(members)].append((members, times))
+    frees = sorted(by_free)
+
+    def put(free: int, members: list[int], times: int) -> None:
+        if not by_free[free]:
             at = bisect_left(frees, free)
             if at == len(frees) or frees[at] != free:
                 frees.insert(at, free)
-        by_free[free].append(item)
+        by_free[free].append((members, times))
 
     for k in sorted(left, reverse=True):
         n = left[k]
@@ -169,24 +155,50 @@ def plan_packing(lengths: dict[int, int], capacity: int, groups: int = GROUPS) -
             if at == len(frees):
                 each = capacity // k
                 if n >= each:
-                    put(capacity - each * k, [[k] * each, n // each])
-                    n %= each
-                if n:
-                    put(capacity - n * k, [[k] * n, 1])
-                    n = 0
+                    put(capacity - each * k, [k] * each, n // each)
+                if n % each:
+                    put(capacity - n % each * k, [k] * (n % each), 1)
                 break
             free = frees[at]
-            item = by_free[free].pop()
+            members, times = by_free[free].pop()
             if not by_free[free]:
                 frees.pop(at)
-            times = min(n, item[1])
-            if item[1] > times:
-                put(free, [item[0], item[1] - times])
-            fill = max(1, min(free // k, n // times))
-            put(free - fill * k, [item[0] + [k] * fill, times])
-            n -= times * fill
-    done += [(tuple(item[0]), item[1]) for items in by_free.values() for item in items]
-    return done
+            often = min(n, times)
+            if times > often:
+                put(free, members, times - often)
+            fill = max(1, min(free // k, n // often))
+            put(free - fill * k, members + [k] * fill, often)
+            n -= often * fill
+    return [(tuple(members), times) for items in by_free.values() for members, times in items]
+
+
+def plan_packing(lengths: dict[int, int], capacity: int, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences as (lengths in order, how many such sequences) for a histogram of lengths 1 to capacity.
+
+    Every counted document is in exactly one sequence. Configurations whose actual documents leave more than some free space are
+    taken apart again, so that best fit places their documents; of several such limits the one with the fewest sequences
+    is taken. The number of distinct sequences is bounded by the distinct lengths and configurations, not by the documents.
+    """
+    left = {k: v for k, v in lengths.items() if v > 0}
+    if not left:
+        return []
+    if min(left) < 1 or max(left) > capacity:
+        raise ValueError("lengths must be from 1 to the capacity")
+    full = left.pop(capacity, 0)
+    grouped, rest = _grouped(left, capacity, groups)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for limit in (capacity, capacity // 16, capacity // 32, capacity // 64, capacity // 128, capacity // 256, 0):
+        kept, loose = [], dict(rest)
+        for members, times in grouped:
+            if capacity - sum(members) <= limit:
+                kept.append((members, times))
+            else:
+                for k in members:
+                    loose[k] = loose.get(k, 0) + times
+        plan = _best_fit(kept, loose, capacity)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+    return [((capacity,), full)] * bool(full) + best
 
 
 def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -283,7 +295,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
 
         return work
 
-    return map_batches(ranked, make, schema)
+    return map_batches(ranked, make, schema).select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
