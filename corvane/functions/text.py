@@ -60,9 +60,8 @@ def fold(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Folded words of two letters or more that aren't stop words, in order, unstemmed."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
     found = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def words(text: Column) -> Column:

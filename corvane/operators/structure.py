@@ -27,33 +27,32 @@ def lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     bare = F.regexp_replace("raw", f"(?:{ends})$", "")
     stripped = X.strip(F.col("bare"))
     found = each.withColumn("at", F.coalesce(F.sum(F.length("raw")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("bare", bare)
-    return found.withColumn("row", X.is_row(F.col("bare"))).withColumn("separator", X.is_separator(F.col("bare"))).withColumn("level", F.length(F.regexp_extract(stripped, _HEADING, 1))).withColumn("title", X.strip_cell(F.regexp_extract(stripped, _HEADING, 2)))
+    marked = found.withColumn("row", X.is_row(F.col("bare"))).withColumn("separator", X.is_separator(F.col("bare")))
+    marked = marked.withColumn("level", F.when(F.col("bare").contains("#"), F.length(F.regexp_extract(stripped, _HEADING, 1))).otherwise(0))
+    return marked.withColumn("title", F.when(F.col("level") > 0, X.strip_cell(F.regexp_extract(stripped, _HEADING, 2))).otherwise(""))
 
 
-def tables(lined: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(id, table, start, end): header row, separator, body rows; end is past the last. Tables don't overlap."""
-    order = Window.partitionBy(id).orderBy("line")
-    body = F.col("row") & ~F.col("separator")
-    stop = F.min(F.when(~body, F.col("line"))).over(order.rowsBetween(2, Window.unboundedFollowing))
-    last = F.max("line").over(Window.partitionBy(id))
-    heads = lined.withColumn("_stop", F.coalesce(stop, last + 1)).withColumn("_next", F.lead("separator").over(order)).where(F.col("row") & F.col("_next"))
-    listed = heads.groupBy(id).agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("start"), F.col("_stop").alias("end")))).alias("c"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    free = lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(acc, F.array(x))).otherwise(acc)
-    return listed.select(id, F.posexplode(F.aggregate("c", empty, free)).alias("table", "t")).select(id, "table", F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-
-
-def outlined(lined: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:
-    """Lines with the table that holds them (or null), path (section titles) and segment (tables begun so far).
+def outlined(lined: DataFrame, id: str = "doc_id") -> DataFrame:
+    """Lines with the table that holds them and its start and end (or nulls), path (section titles) and segment (tables begun so far).
 
-    A heading of level L is on the path if no heading of level L or less came after it.
+    A table is a header row over a separator, and the body rows after it; end is past the last, and tables don't overlap. A heading of level
+    L is on the path if no heading of level L or less came after it. All of this is windows over the lines of one document: one shuffle.
     """
-    spans = found.select(id, F.explode(F.sequence("start", F.col("end") - 1)).alias("line"), "table", "start", "end")
-    order = Window.partitionBy(id).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lined.join(spans, [id, "line"], "left").withColumn("heading", (F.col("level") > 0) & F.col("table").isNull())
+    order, back, whole = Window.partitionBy(id).orderBy("line"), Window.partitionBy(id).orderBy(F.desc("line")), Window.partitionBy(id)
+    body = F.col("row") & ~F.col("separator")
+    ends = lined.withColumn("_stop", F.min(F.when(~body, F.col("line"))).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("_stop", F.lead("_stop", 2).over(order)).withColumn("_head", F.col("row") & F.lead("separator").over(order))
+    head = F.when(F.col("_head"), F.struct(F.col("line").alias("start"), F.coalesce("_stop", F.max("line").over(whole) + 1).alias("end")))
+    listed = ends.withColumn("_t", head).withColumn("_t", F.array_sort(F.collect_list("_t").over(whole)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    free = lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(acc, F.array(x))).otherwise(acc)
+    taken = F.when(F.size("_t") == 0, none).otherwise(F.aggregate("_t", none, free))
+    mine = F.filter(F.transform(taken, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("table"))), lambda x: (F.col("line") >= x["start"]) & (F.col("line") < x["end"]))
+    marked = listed.withColumn("_m", F.get(mine, F.lit(0))).select(*lined.columns, F.col("_m.table").alias("table"), F.col("_m.start").alias("start"), F.col("_m.end").alias("end"))
+    marked = marked.withColumn("heading", (F.col("level") > 0) & F.col("table").isNull())
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
     for n in _LEVELS:
-        mine = F.when(F.col("heading") & (F.col("level") == n), F.struct("line", "title"))
-        marked = marked.withColumn(f"_h{n}", F.last(mine, ignorenulls=True).over(order))
+        marked = marked.withColumn(f"_h{n}", F.last(F.when(F.col("heading") & (F.col("level") == n), F.struct("line", "title")), ignorenulls=True).over(sofar))
     keeps = []
     for n in _LEVELS:
         own = F.col(f"_h{n}")
@@ -61,10 +60,15 @@ def outlined(lined: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFram
         holds = own.isNotNull() & (own["line"] > F.greatest(*above, F.lit(-1)) if above else own.isNotNull())
         keeps.append(F.when(holds, own["title"]))
     path = F.filter(F.array(*keeps), lambda t: t.isNotNull())
-    segment = F.sum(F.when(F.col("line") == F.col("start"), 1).otherwise(0)).over(order)
+    segment = F.sum(F.when(F.col("line") == F.col("start"), 1).otherwise(0)).over(sofar)
     return marked.withColumn("path", path).withColumn("segment", segment).drop(*(f"_h{n}" for n in _LEVELS))
 
 
+def tables(lined: DataFrame, id: str = "doc_id") -> DataFrame:
+    """(id, table, start, end) of every table."""
+    return outlined(lined, id).where("line = start").select(id, "table", "start", "end")
+
+
 def page_of(offset: Column, pages: Column) -> Column:
     """The first page whose boundary lies past the offset, else the last; null without pages."""
     past = F.size(F.filter(pages, lambda b: b <= offset))
@@ -87,16 +91,35 @@ def word_windows(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", t
 
 
 def _prose(docs: DataFrame, marked: DataFrame, size: int, overlap: int, id: str, text: str) -> DataFrame:
+    """Word windows of each segment. Lines carry word counts; only a window's first and last word are ever placed."""
+    step = max(1, size - overlap)
     runs = F.regexp_extract_all("bare", F.lit(f"({X.NOT_SPACE}+|{X.SPACE}+)"), F.lit(1))
-    each = marked.where(F.col("table").isNull() & (F.col("level") == 0)).select(id, "segment", "line", "at", "path", F.posexplode(runs).alias("k", "x"))
-    ahead = Window.partitionBy(id, "line").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.withColumn("from", (F.col("at") + F.coalesce(F.sum(F.length("x")).over(ahead), F.lit(0))).cast("int"))
-    word = placed.where(F.col("x").rlike(X.NOT_SPACE)).select(id, "segment", F.struct("from", (F.col("from") + F.length("x")).alias("to"), "path").alias("s"))
-    spots = word.groupBy(id, "segment").agg(F.array_sort(F.collect_list("s")).alias("w"))
-    cut = spots.select(id, "segment", "w", F.explode(windows(F.size("w"), size, overlap)).alias("first")).withColumn("n", F.least(F.lit(size), F.size("w") - F.col("first")))
-    span = cut.select(id, F.element_at("w", F.col("first") + 1).alias("a"), F.element_at("w", F.col("first") + F.col("n")).alias("b"), F.col("n").cast("long").alias("token_count"))
-    body = X.strip(F.substring(F.col(text), F.col("a.from") + 1, F.col("b.to") - F.col("a.from")))
-    return span.join(docs.select(id, text), id).select(id, F.col("a.from").alias("from"), F.col("b.to").alias("to"), F.lit(0).alias("part"), body.alias("text"), F.col("a.path").alias("path"), "token_count", F.lit(None).cast("int").alias("table_index"))
+    each = marked.where(F.col("table").isNull() & (F.col("level") == 0)).select(id, "segment", "line", "at", "path", runs.alias("r"))
+    lead = F.when(F.col("r")[0].rlike(f"^{X.SPACE}"), 1).otherwise(0)
+    counted = each.where("size(r) > 0").withColumn("lead", lead).withColumn("m", F.floor((F.size("r") - F.col("lead") + 1) / 2).cast("int")).where("m > 0")
+    run, whole = Window.partitionBy(id, "segment").orderBy("line"), Window.partitionBy(id, "segment")
+    placed = counted.withColumn("past", F.sum("m").over(run).cast("int")).withColumn("n", F.sum("m").over(whole).cast("int")).withColumn("first", F.col("past") - F.col("m"))
+    placed = placed.withColumn("last", F.ceil(F.greatest(F.col("n") - size, F.lit(0)) / step).cast("int"))
+
+    def offset(word: Column, ends: bool) -> Column:
+        """Where a word of the line starts or ends in the document."""
+        pieces = 2 * (word - F.col("first")) + F.col("lead") + (1 if ends else 0)
+        return (F.col("at") + F.aggregate(F.slice("r", F.lit(1), pieces), F.lit(0), lambda acc, x: acc + F.length(x))).cast("int")
+
+    def range_of(lo: Column, hi: Column) -> Column:
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    up = lambda c: F.ceil(c / step).cast("int")
+    down = lambda c: F.floor(c / step).cast("int")
+    begins = range_of(up(F.col("first")), F.least(down(F.col("past") - 1), F.col("last")))
+    inner = range_of(F.greatest(F.lit(0), up(F.col("first") - size + 1)), F.least(down(F.col("past") - size), F.col("last") - 1))
+    final = F.when(F.col("past") == F.col("n"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    begun = lambda k: F.struct(k.alias("k"), offset(k * step, False).alias("from"), F.lit(None).cast("int").alias("to"), F.col("path").alias("path"), F.least(F.lit(size), F.col("n") - k * step).cast("long").alias("token_count"))
+    ended = lambda k: F.struct(k.alias("k"), F.lit(None).cast("int").alias("from"), offset(F.least(k * step + size, F.col("n")) - 1, True).alias("to"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("token_count"))
+    marks = placed.select(id, "segment", F.inline(F.concat(F.transform(begins, begun), F.transform(F.concat(inner, final), ended))))
+    span = marks.groupBy(id, "segment", "k").agg(*(F.max(c).alias(c) for c in ("from", "to", "path", "token_count"))).join(docs.select(id, text), id)
+    body = X.strip(F.substring(F.col(text), F.col("from") + 1, F.col("to") - F.col("from")))
+    return span.select(id, "from", "to", F.lit(0).alias("part"), body.alias("text"), "path", "token_count", F.lit(None).cast("int").alias("table_index"))
 
 
 def _table_chunks(marked: DataFrame, size: int, id: str) -> DataFrame:
@@ -131,7 +154,7 @@ def chunks(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: s
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the size")
     lined = lines(docs, id, text)
-    marked = outlined(lined, tables(lined, id), id)
+    marked = outlined(lined, id)
     both = _prose(docs, marked, size, overlap, id, text).unionByName(_table_chunks(marked, size, id))
     bounds = docs.select(id, (F.col(pages) if pages else F.lit(None).cast("array<int>")).alias("_pages"))
     order = Window.partitionBy(id).orderBy("from", "part")
@@ -143,7 +166,7 @@ def chunks(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: s
 def facts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fact, table_index, row_index, caption, section_path, headers, cells, text, table_markdown): a row for each table row that isn't blank."""
     lined = lines(docs, id, text)
-    marked = outlined(lined, tables(lined, id), id)
+    marked = outlined(lined, id)
     order = Window.partitionBy(id).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     above = F.last(F.when(X.strip(F.col("bare")) != "", F.struct("bare", "row", "separator", "level")), ignorenulls=True).over(order)
     captioned = marked.withColumn("_above", above)

@@ -375,7 +375,7 @@ def table_chunks(spark, d):
 @register("section_paths")
 def section_paths(spark, d):
     lined = structure.lines(_markdown(spark))
-    return structure.outlined(lined, structure.tables(lined)).select("doc_id", F.col("line").cast("long").alias("line"), F.array_join("path", " / ").alias("path"), "segment")
+    return structure.outlined(lined).select("doc_id", F.col("line").cast("long").alias("line"), F.array_join("path", " / ").alias("path"), "segment")
 
 
 @register("document_lines", r"SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(contains(l, '|') AND trim(l) <> '' AS BIGINT)) AS BIGINT) AS n_rows FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS l FROM documents WHERE text <> '') GROUP BY doc_id")
