@@ -510,9 +510,9 @@ def _hit_ranks(spark, d) -> DataFrame:
 _HITS = f"WITH {_ASKED}, {_bm25('documents')}, top AS ({_ranked('bm', 10)}), h AS (SELECT a.query_id, min(rank) FILTER (WHERE contains(d.text, left(a.text, 40))) AS hit_rank FROM asked a LEFT JOIN top USING (query_id) LEFT JOIN documents d ON d.doc_id = top.doc_id GROUP BY 1)"
 
 
-@register("first_hits", f"{_HITS} SELECT * FROM h")
+@register("first_hits", f"{_HITS} SELECT query_id, coalesce(hit_rank, 0) AS hit_rank FROM h")
 def first_hits(spark, d):
-    return _hit_ranks(spark, d)
+    return _hit_ranks(spark, d).select("query_id", F.coalesce("hit_rank", F.lit(0)).alias("hit_rank"))
 
 
 @register("recall_at_k", f"{_HITS} SELECT count(*) AS n_cases, round(avg(CAST(coalesce(hit_rank <= 10, false) AS DOUBLE)), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / hit_rank, 0.0)), 6) AS mrr FROM h")
