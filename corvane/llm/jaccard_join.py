@@ -35,6 +35,8 @@ BINS = 128
 RATIO = 1.25
 #: Nodes of a block when pairs across components are gone through.
 BLOCK = 256
+#: Tasks that a component's rows are spread over in joins on it.
+SALTS = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -333,9 +335,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
         more = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct().join(features, "node", "left_anti")
         features = features.unionByName(written(feature_sets(docs, more, nodes, words), "features"))
         groups = components(links.unionByName(verified(left, features, percent)))
-    named = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = named.join(least, "component").select("node", F.col("component_id").alias("c"))
+    grouped = nodes.select("node", "doc_id").join(groups, "node")
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("c"))
+    linked = salted_join(grouped, least, "component", "node").select("node", "c")
+    names = nodes.select("node", "doc_id").join(linked, "node", "left").select("node", F.coalesce("c", "doc_id").alias("c"))
     return sets.join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 
@@ -349,11 +352,16 @@ def one_of_each(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
     rows = plain.withColumn("_row", F.monotonically_increasing_id())
     found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent)
     found = written(found.join(rows.select(F.col("_row").alias("doc_id"), F.col(ids).alias("_id")), "doc_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("c"), "_id"), "groups")
-    first = found.groupBy("c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("s")).select("c", F.col("s._row").alias("first"))
-    others = found.join(first, "c").where("_row != first").select("_row")
+    first = found.groupBy("c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("s"), F.count("*").alias("n")).where("n > 1").select("c", F.col("s._row").alias("first"))
+    others = salted_join(found, first, "c", "_row").where("_row != first").select("_row")
     return rows.join(others, "_row", "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
+def salted_join(rows: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows joined with `one`, which has a row for each key. Rows of a key go to SALTS tasks, by the column spread, as a key may hold a third of all rows."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
+
+
 def outside(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs that lie in different components."""
     ends = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
