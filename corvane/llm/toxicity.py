@@ -149,7 +149,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: int = 5, examp
         chosen.append(mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples))
         rates[label] = totals[label] / max(1, min(totals[label], examples))
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * examples rows of two numbers
-    sample = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "toxic", "text")
+    # one text of an id, should rows share it
+    sample = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     both = sum(totals.values())
     return sample, totals[1] / both if both else 0.0, rates
 
@@ -205,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5, examples: int = E
 
         return work
 
-    rows = sorted(map_batches(sample, make, schema).collect(), key=lambda r: (r["doc_id"], r["toxic"], r["terms"]))  # at most 2 * examples rows (copies of an id apart)
+    rows = sorted(map_batches(sample, make, schema).collect(), key=lambda r: (r["doc_id"], r["toxic"], r["terms"]))  # at most 2 * examples rows
     vectors = [unit_vector(dict(zip(r["terms"], r["counts"], strict=True)), idf) for r in rows]
     toxic = np.array([r["toxic"] for r in rows], dtype=np.int64)
     weight = np.array([rates[t] for t in toxic.tolist()], dtype=float)
