@@ -61,9 +61,28 @@ class Reader(dict):
 
     def __init__(self, most: int = 400_000):
         super().__init__()
-        self.most, self.profiles, self.numbers = most, [], {}
+        self.most, self.profiles, self.numbers, self.quick = most, [], {}, {}
 
     def __missing__(self, word: str) -> int:
+        core = word[:-1] if word[-1] in ".,;:!?" else word
+        number = None
+        if core.isalpha():
+            # letters in a plain case and at most one mark: the profile follows from these few facts
+            kind = 0 if core.islower() else 1 if core[0].isupper() and (len(core) == 1 or core[1:].islower()) else 2 if core.isupper() else None
+            if kind is not None:
+                low = core.lower()
+                key = (kind, len(core), word[len(core) :], low if low in STOP_WORDS else None)
+                number = self.quick.get(key)
+                if number is None:
+                    number = self.quick[key] = self.profile(word)
+        if number is None:
+            number = self.profile(word)
+        if len(self) < self.most:
+            self[word] = number
+        return number
+
+    def profile(self, word: str) -> int:
+        """The number of a word's profile."""
         shape = _shape(word)
         profile = (
             sum(map(str.isalpha, word)), sum(map(str.isupper, word)), sum(map(_SYMBOLS.__contains__, word)), len(_MARKS.findall(word)),
@@ -73,8 +92,6 @@ class Reader(dict):
         if number is None:
             number = self.numbers[profile] = len(self.profiles)
             self.profiles.append(profile)
-        if len(self) < self.most:
-            self[word] = number
         return number
 
     def read(self, text: str) -> tuple[Signals, dict[int, int]]:
