@@ -29,8 +29,9 @@ class PointIndex:
     # --- the pointer ---
 
     def state(self) -> dict:
-        path = self._path(f"{self.root}/STATE")
-        if not self._fs.exists(path):
+        # between the two renames of a commit only the old pointer is there
+        path = next((p for p in (self._path(f"{self.root}/{n}") for n in ("STATE", ".STATE-old", "STATE")) if self._fs.exists(p)), None)
+        if path is None:
             return {"data": None, "active": None, "dimension": None}
         stream = self._fs.open(path)
         try:
