@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import map_batches, texts_of, written
-from corvane.llm.pretoken import ChunkEncoder
+from corvane.llm.pretoken import shared_encoder
 
 #: Documents over this share of the capacity are packed by configurations.
 LARGE_SHARE = 8
@@ -232,7 +232,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def make() -> Callable:
-        encoder = ChunkEncoder(tokenizer_path, keeps_space=True)
+        encoder = shared_encoder(tokenizer_path, keeps_space=True)
 
         def work(batch):
             rows: dict[str, list] = {f: [] for f in PIECES.names}

@@ -105,3 +105,15 @@ class ChunkEncoder:
             for c in fresh:
                 del known[c]
         return out
+
+
+_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+
+
+def shared_encoder(path: str, keeps_space: bool) -> ChunkEncoder:
+    """The encoder of this Python worker: a worker runs many tasks, and what one has met the next needn't tokenize again."""
+    key = (path, keeps_space)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()  # one at a time, so that memory stays bounded
+        _ENCODERS[key] = ChunkEncoder(path, keeps_space)
+    return _ENCODERS[key]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import map_batches, scratch_dir, texts_of, written
-from corvane.llm.pretoken import ChunkEncoder
+from corvane.llm.pretoken import shared_encoder
 
 MAGIC = b"CVS8B01\n"
 BLOCK = 8192
@@ -197,7 +197,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     coded = T.StructType([T.StructField("run", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def tokenize() -> Callable:
-        encoder, cut = ChunkEncoder(tokenizer_path, keeps_space=False), held.value
+        encoder, cut = shared_encoder(tokenizer_path, keeps_space=False), held.value
 
         def work(batch):
             ids = batch.column("doc_id").to_pylist()
