@@ -39,6 +39,8 @@ _WIDTHS = sorted({b for _, b in SELECTORS if b})
 
 
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    if len(values) and values.max() < 1 << 53:  # a double's exponent says it
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     bits = np.zeros(len(values), dtype=np.uint8)
     for shift in (32, 16, 8, 4, 2, 1):
         high = (values >> (bits.astype(np.uint64) + np.uint64(shift))) > 0
