@@ -36,7 +36,7 @@ RATIO = 1.25
 #: Nodes of a block when pairs across components are gone through.
 BLOCK = 256
 #: Tasks that a component's rows are spread over in joins on it.
-SALTS = 32
+SALTS = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
