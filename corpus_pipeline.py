@@ -21,8 +21,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return jaccard_join.one_of_each(docs, 4, 85)
+    """One document of each group of near copies: 0.8 of their 5-word shingles are the same."""
+    return jaccard_join.one_of_each(docs, 5, 80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ band the Hamming distance is at most k, so the feature domain is partitioned by
 into k + 1 + spare parts and a set's signatures are its projections on single parts: similar sets
 agree on at least 1 + spare of them. (These are the enumerated subsets of PartEnum with one level,
 where all but k parts must agree.) Projections of fewer than two features are common by chance; a set with at
-most `spare` such parts needn't sign them, as one larger projection still agrees.
+most `spare` such parts needn't sign them, as one larger projection still agrees. Where there are more, the same
+holds for empty projections, which all sets with an empty part share.
 
 Rows of a signature are linked to the smallest node of their batch, and those to the smallest node of all (stars), so neither
 a batch nor the shuffle holds pairs within a group. Star pairs are verified on the whole sets; components
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_batches, texts_of, with_plain_names, written
+from corvane.llm.common import map_batches, sliced, texts_of, with_plain_names, written
 from corvane.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's multipliers
@@ -131,8 +132,8 @@ class Signer:
             sums = np.zeros(parts, dtype=np.uint64)
             held = np.flatnonzero(counts)
             sums[held] = np.add.reduceat(mix(spread ^ np.uint64(_GOLDEN))[order], starts[held])
-            poor = counts < 2
-            take = np.ones(parts, dtype=bool) if poor.sum() > spare else ~poor
+            few = next((x for x in (2, 1) if (counts < x).sum() <= spare), 0)
+            take = counts >= few
             names = np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)
             out.append(mix(mix(names) + sums)[take])
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
@@ -172,13 +173,18 @@ def signed_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, sig, node, pivot): a node's signatures, and the star links within a batch.
 
     The first node of a signature in a batch goes to the shuffle by signature (key is sig, pivot null); the others are linked
-    to it at once (key is the pair's hash). A task signs a set once while it remembers it.
+    to it at once (key is the pair's hash). A task signs a set once while it remembers it. Slices are small, as a text has about as many bytes of
+    signatures as of its own, and several times that while they are sorted.
     """
 
     def make() -> Callable:
         shingler, signer, seen = Shingler(words), Signer(percent), set()
 
         def work(batch):
+            for part in sliced(batch, 1 << 20):
+                yield from sign(part)
+
+        def sign(batch):
             sigs, nodes = [], []
             for s in shingler.sets(texts_of(batch)):
                 if not len(s):

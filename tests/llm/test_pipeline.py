@@ -1,6 +1,8 @@
 """The pipeline's stages, each against its own input, and the registered names."""
 
+import random
 import re
+from collections import Counter, defaultdict
 
 import duckdb
 
@@ -40,6 +42,49 @@ def test_stages(spark):
     assert sorted({r["doc_id"] for r in packed.collect()}) == ids(docs)
 
 
+def near_copy_components(texts, words=5, percent=80):
+    """The smallest position in each text's component, by brute force over the pairs that share a shingle; None for texts without words."""
+    sets, held = [], defaultdict(list)
+    for i, text in enumerate(texts):
+        own = (text or "").encode().lower().split()
+        sets.append({tuple(own[a : a + words]) for a in range(max(1, len(own) - words + 1))} if own else set())
+        for s in sets[-1]:
+            held[s].append(i)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        for j, common in Counter(j for s in own for j in held[s] if j < i).items():
+            if 100 * common >= percent * (len(own) + len(sets[j]) - common):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) if sets[i] else None for i in range(len(texts))]
+
+
+def test_near_copies_at_five_words_and_four_fifths(spark):
+    """Against brute force; the edits make pairs between 0.8 of 5-word shingles and 0.85 of 4-word ones."""
+    rng, rows = random.Random(7), []
+    for _ in range(40):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([30, 60, 100, 250]))]
+        for edits in (0, rng.randint(0, max(1, len(base) // 40)), rng.randint(1, 1 + len(base) // 25)):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    given = [r["text"] for r in queries.table(spark, DIR, "documents").orderBy("doc_id").collect()]
+    texts = rows + given + [None, "", "two words", "TWO words"]
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "near")
+    least = near_copy_components(texts)
+    want = [i for i, c in enumerate(least) if c is None or c == i]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, DIR).collect()) == want
+    strict = near_copy_components(texts, 4, 85)
+    assert any(a != b for a, b in zip(least, strict, strict=True))  # the two thresholds can be told apart here
+
+
 def test_decontamination_sql(spark):
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
