@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -40,6 +41,12 @@ _APART_WORDS = frozenset(
     topbar widget widgets alert contentinfo complementary""".split()
 )
 _NOT_APART = frozenset("html body article main".split())
+#: Words that make a name one about the page or its state: what bears it isn't the sidebar, header and so on itself.
+_MODIFIERS = frozenset("has have with without no not non".split())
+_STATES = frozenset("open closed enabled disabled".split())
+_WRAPS = frozenset("wrap wrapper container layout".split())
+#: Parts that have articles of their own, which aren't the page's.
+_OWN_ARTICLES = frozenset("ad ads advert adverts comment comments commentlist commenting disqus promo promoted promotion recommended related replies reply respond sidebar sponsor sponsored widget widgets".split())
 _ROOTS = frozenset(("article", "main"))
 
 #: Frequent short words of the languages at hand, for density only.
@@ -84,7 +91,21 @@ class Block:
     label: int = field(default=OPEN)
 
 
+@lru_cache(1 << 14)
+def _apart_words(value: str) -> frozenset[str]:
+    """The words of a class, id or role that say that an element is boilerplate. Each name in it is judged as a whole: has-sidebar,
+    no-header, comments-open and content-sidebar-wrap are names of what surrounds the text."""
+    found: set[str] = set()
+    for name in value.split():
+        words = [w.lower() for w in _HUMP.split(name) if w]
+        if not words or not _MODIFIERS.isdisjoint(words) or len(words) > 1 and words[-1] in _STATES or words[0] == "content" and words[-1] in _WRAPS:
+            continue
+        found.update(_APART_WORDS.intersection(words))
+    return frozenset(found)
+
+
 def _is_apart(name: str, attributes: str, in_root: bool) -> bool:
+    """Whether an element is boilerplate by its kind, or hidden."""
     if name in _APART or name == "header" and not in_root:
         return True
     if name in _NOT_APART or not attributes:
@@ -95,15 +116,45 @@ def _is_apart(name: str, attributes: str, in_root: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id", "role") and any(w.lower() in _APART_WORDS for w in _HUMP.split(value)):
-            return True
     return False
 
 
+def _named_apart(name: str, attributes: str, in_root: bool) -> frozenset[str]:
+    """The words by which an element's names make it boilerplate. In an article a header holds the title, whatever element it is."""
+    found: frozenset[str] = frozenset()
+    if name in _NOT_APART or not attributes:
+        return found
+    for m in _NAMES.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            found |= _apart_words(m[2] or m[3] or m[4] or "")
+    return found - {"header"} if in_root else found
+
+
 def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page in order; blocks without text are left out."""
+    """The blocks of a page in order; blocks without text are left out.
+
+    What holds the page's article or main element isn't boilerplate by its name: the page is read again without such marks.
+    An article in comments, a sidebar and the like is the page's if there is no other.
+    """
+    cleared: frozenset[int] = frozenset()
+    while True:
+        found, held, plain = _read(html, cleared)
+        more = {at for name, marks in held for at, words in marks if name == "main" or not plain or words.isdisjoint(_OWN_ARTICLES)}
+        if not more:
+            return found
+        cleared |= more
+
+
+def _read(html: str, cleared: frozenset[int]) -> tuple[list[Block], list[tuple[str, list[tuple[int, frozenset[str]]]]], bool]:
+    """(blocks, content roots in elements that are boilerplate by name only, with those elements' places and words, whether there are other roots).
+
+    Elements at the places in `cleared` aren't boilerplate by name.
+    """
     found: list[Block] = []
+    held: list[tuple[str, list[tuple[int, frozenset[str]]]]] = []
     stack: list[tuple[str, bool, int, bool]] = []  # name, apart, root, link
+    marks: list[tuple[int, int, frozenset[str]]] = []  # depth in the stack, place, words
+    hard = 0  # depth of the first element that is boilerplate by kind, 0 for none
     parts: list[str] = []
     link_chars = roots = 0
     apart, root, link = False, 0, False
@@ -130,7 +181,10 @@ def blocks_of(html: str) -> list[Block]:
         link_chars = 0
 
     def restore() -> None:
-        nonlocal apart, root, link, silent
+        nonlocal apart, root, link, silent, hard
+        while marks and marks[-1][0] > len(stack):
+            marks.pop()
+        hard = hard if hard <= len(stack) else 0
         _, apart, root, link = stack[-1] if stack else ("", False, 0, False)
         silent = sum(1 for s in stack if s[0] in _SILENT)
 
@@ -184,12 +238,18 @@ def blocks_of(html: str) -> list[Block]:
         if name in _ROOTS and not apart:
             roots += 1
             root = roots
-        apart = apart or _is_apart(name, m[4], root > 0)
+        elif name in _ROOTS and not hard and not silent:
+            held.append((name, [(place, words) for _, place, words in marks]))
+        if not hard and _is_apart(name, m[4], root > 0):
+            hard, apart = len(stack) + 1, True
+        if not hard and m.start() not in cleared and (words := _named_apart(name, m[4], root > 0)):
+            marks.append((len(stack) + 1, m.start(), words))
+            apart = True
         link = link or name == "a"
         silent += name in _SILENT
         stack.append((name, apart, root, link))
     flush()
-    return found
+    return found, held, roots > 0
 
 
 def classify(blocks: list[Block], rules: Rules = Rules()) -> list[Block]:

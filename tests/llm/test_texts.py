@@ -299,6 +299,31 @@ def test_pages_without_article():
     assert html.main_text(page) == f"Title\n{PROSE} {PROSE}\nShort.\n{PROSE} {PROSE}"
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "hasSidebar", "content-sidebar-wrap", "with-ads", "comments-open", "no-header", "page no-header has-nav", "site-banner", "sidebar"])
+def test_names_of_what_holds_the_text(name):
+    inner = f"<h1>Title</h1><p>{PROSE}</p>"
+    for root in ("article", "main"):
+        assert html.main_text(f'<body><div class="{name}"><{root}>{inner}</{root}></div><p>{PROSE}</p></body>') == f"Title\n{PROSE}"
+    if name not in ("site-banner", "sidebar"):
+        assert html.main_text(f'<body><div class="{name}"><h2>Title</h2><p>{PROSE} {PROSE}</p></div></body>') == f"Title\n{PROSE} {PROSE}"
+
+
+def test_headers_in_articles():
+    for head in ('<header class="entry-header">', '<div class="post-header">', '<div id="articleHeader">'):
+        tag = head[1:].split()[0]
+        page = f'<div class="site-header"><h1>Site</h1></div><article>{head}<h1>Title</h1></{tag}><p>{PROSE}</p></article>'
+        assert html.main_text(page) == f"Title\n{PROSE}"
+
+
+@pytest.mark.parametrize("name", ["comments", "sidebar", "related-posts", "widget-area"])
+def test_articles_that_are_not_the_pages(name):
+    for root in ("article", "main"):
+        assert html.main_text(f'<{root}><p>{PROSE}</p></{root}><div class="{name}"><article><p>Other {PROSE}</p></article></div>') == PROSE
+        assert html.main_text(f'<div class="{name}"><article><p>Other {PROSE}</p></article></div><{root}><p>{PROSE}</p></{root}>') == PROSE
+    hidden = f'<div hidden><div class="banner"><article>{PROSE}</article></div></div>'
+    assert html.main_text(f"{hidden}<p>{PROSE} {PROSE}</p>") == f"{PROSE} {PROSE}"
+
+
 @pytest.mark.parametrize("page", [None, "", "plain text", "<", "<p", "<!--", "<script>", "</p></div>", "<a href='x", "&#xZZ; &bogus; &#0;", "<p>" * 2000, "\x00<b>\x00"])
 def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)
