@@ -31,10 +31,11 @@ def prepare_uploads(requests: DataFrame, now: Column) -> DataFrame:
 def start_jobs(documents: DataFrame, jobs: DataFrame, requests: DataFrame, kind: str, sources: tuple[str, ...], state: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(outcomes, new jobs, documents) of requests (document_id, idempotency_key[, target_index_version]).
 
-    A known key gives its job again and changes nothing; of requests that share a key one counts. A document must exist and be in one
+    A known key gives its job again and changes nothing; of requests that share a key that of the smallest document_id counts. A document must exist and be in one
     of the source states, and goes to `state`. Job ids are name-based on kind and key, so a repeated run gives the same.
     """
-    asked = requests.dropDuplicates(["idempotency_key"])
+    least = F.struct(F.col("document_id").isNull().alias("none"), "document_id", *(c for c in requests.columns if c not in ("document_id", "idempotency_key")))
+    asked = requests.groupBy("idempotency_key").agg(F.min(least).alias("_least")).select(*(c if c == "idempotency_key" else F.col(f"_least.{c}") for c in requests.columns))
     known = jobs.where(F.col("kind") == kind).select("idempotency_key", F.col("id").alias("_job"))
     joined = asked.join(known, "idempotency_key", "left").join(documents.select(F.col("id").alias("document_id"), F.col("status").alias("_status")), "document_id", "left")
     own = identity.uuid5(F.concat_ws(":", F.lit(kind), "idempotency_key"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import schemas
-from corvane.plans import lifecycle
+from corvane.plans import catalog, lifecycle
 from corvane.plans.metrics import Metrics
 from corvane.sources.objects import ObjectStore
 
@@ -71,6 +71,24 @@ def test_deletion(spark):
     assert docs.where("id = 'a'").first()["status"] == "DELETED"
 
 
+def test_the_smallest_document_of_a_key_counts(spark):
+    docs = _documents(spark, *(_doc(i, "READY") for i in "abcd"))
+    rows = [("c", "k", 1), (None, "k", 2), ("b", "k", 3), ("d", "k", 4), ("d", "l", 5), ("a", "l", 6)]
+    for order in (rows, rows[::-1]):
+        asked = spark.createDataFrame(order, "document_id string, idempotency_key string, target_index_version int").coalesce(1)
+        told, jobs, after = lifecycle.start_reindex(docs, _jobs(spark), asked, now())
+        assert {(r["document_id"], r["idempotency_key"], r["outcome"]) for r in told.collect()} == {("b", "k", "started"), ("a", "l", "started")}
+        assert {(r["document_id"], r["target_index_version"]) for r in jobs.collect()} == {("b", 3), ("a", 6)}
+        assert {r["id"]: r["status"] for r in after.collect()} == {"a": "REINDEXING", "b": "REINDEXING", "c": "READY", "d": "READY"}
+
+
+def test_deletions_are_asked_for_by_every_event(spark):
+    d = "/root/testdata/sf0.001"
+    asked, events = catalog._requests(spark, d), spark.read.parquet(f"{d}/events.parquet").count()
+    assert asked.count() == events and asked.select("idempotency_key").distinct().count() == events // 2
+    assert catalog.start_deletions(spark, d).agg(F.sum("n")).first()[0] == events // 2
+
+
 def test_configs(spark):
     wanted = {"version": 1, "dense_model": "m", "dense_dimension": 8, "sparse_model": "s", "chunk_size_tokens": 40, "chunk_overlap_tokens": 8}
     configs = lifecycle.provision(spark.createDataFrame([], schemas.INDEX_CONFIG), wanted)
