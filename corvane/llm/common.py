@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,11 +30,13 @@ def lower_az(column: Column) -> Column:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder of the cluster.
 
-    spark.checkpoint.dir names that folder. Where it is unset (tests on one
-    machine), a temporary folder is made once and set.
+    spark.checkpoint.dir names that folder. Where it is unset on one machine (tests),
+    a temporary folder is made once and set; on a cluster that is an error, as its executors don't share local folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/corvane-{name}-{uuid.uuid4().hex}"
@@ -63,6 +66,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """A written copy of df with a number for each row in the column `name`. Every job reads the same numbers, however its scan is split."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+#: A key with over 1 / HOT_KEYS of all rows is hot, so there are fewer than HOT_KEYS hot keys whatever the input.
+HOT_KEYS = 2000
+
+
+def hot_join(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """rows joined with `one`, which has a row for each key and in the column _m how many rows have that key (taken off again).
+
+    The rows of hot keys meet them by broadcast where they stand, all others by a shuffle on the key: no task gets over
+    1 / HOT_KEYS of the rows for one key. Both sides are read more than once, so they should be tables. Rows without a partner are dropped.
+    """
+    total = one.agg(F.sum("_m")).first()[0] or 0
+    few = F.col("_m") * HOT_KEYS <= total
+    hot = F.broadcast(one.where(~few))  # fewer than HOT_KEYS rows
+    rest = rows.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti")
+    return rest.join(one.where(few), key).unionByName(rows.join(hot, key)).drop("_m")
+
+
+def release() -> None:
+    """Give memory that a finished task no longer needs back to the system: a Python worker lives on for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: T.StructType) -> DataFrame:
     """mapInArrow with state for each task.
 
@@ -74,16 +108,19 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
 
     target = to_arrow_schema(schema)
 
+    def out(columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in target)], schema=target)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for part in sliced(batch, 8 << 20):
-                for columns in work(part):
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in target)], schema=target)
+                yield from map(out, work(part))
         finish = getattr(work, "finish", None)
         if finish is not None:
-            for columns in finish():
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in target)], schema=target)
+            yield from map(out, finish())
+        del work, finish
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -105,6 +142,8 @@ def text_column(make: Callable[[], Callable[[list[str]], list[list | pa.Array]]]
             parts = [work([x or "" for x in part.column(0).to_pylist()]) for part in sliced(pa.RecordBatch.from_arrays([batch], ["text"]), 8 << 20)] or [[[] for _ in target]]
             columns = [pa.concat_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c in (p[i] for p in parts)]) for i, f in enumerate(target)]
             yield pa.StructArray.from_arrays(columns, fields=list(target))
+        del work
+        release()
 
     return run
 

@@ -1,18 +1,18 @@
 """Exact Jaccard self-join of word-shingle sets by PartEnum signatures.
 
 Equal sets are one node. Set sizes fall into bands; for the pairs whose larger set lies in a
-band the Hamming distance is at most k, so the feature domain is partitioned by hash
-into k + 1 + spare parts and a set's signatures are its projections on single parts: similar sets
-agree on at least 1 + spare of them. (These are the enumerated subsets of PartEnum with one level,
-where all but k parts must agree.) Projections of fewer than two features are common by chance; a set with at
-most `spare` such parts needn't sign them, as one larger projection still agrees. Where there are more, the same
-holds for empty projections, which all sets with an empty part share.
-
-Rows of a signature are linked to the smallest node of their batch, and those to the smallest node of all (stars), so neither
-a batch nor the shuffle holds pairs within a group. Star pairs are verified on the whole sets; components
+band the Hamming distance is at most k. The feature domain is partitioned by hash on two levels: into
+k // 2 + 1 + spare parts, and each of these into CELLS cells. Two sets within the distance differ in at most one cell of some part (of
+1 + spare parts at least), so a set's signatures are, for each part, its projections on all subsets of CELLS - 1 cells.
+Projections of fewer than two features are common by chance; a set in which at most `spare` parts have such a projection needn't sign
+them, as a part without any still agrees. Where more parts have one, the same holds for empty projections, which all sets with so empty a part share.
+
+Signatures go to buckets in blobs: of a slice of texts the smallest node of each signature, the others being linked to it at once (stars), so neither
+a slice nor the shuffle holds pairs within a group. Star pairs are verified on the whole sets; components
 follow from the verified links. Where a signature still holds nodes of different components, the pairs across
 components are gone through in blocks, pruned by a lower bound of the Hamming distance (bin counts of
-the sets), and verified. So no link that could join two components is missed, and no group is capped.
+the sets), and verified; signatures with the same nodes are one there. So no link that could join two components is missed, and no group is capped.
+For a group of m near misses that costs a row for each node and block, m * m / BLOCK rows: verification across components is the part that grows faster than the input.
 """
 
 from __future__ import annotations
@@ -22,22 +22,24 @@ from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_batches, texts_of, with_plain_names, written
+from corvane.llm.common import hot_join, map_batches, numbered, texts_of, with_plain_names, written
 from corvane.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's multipliers
 _GOLDEN = 0x9E3779B97F4A7C15
 BINS = 128
 #: Ratio of a band's bounds; over 1 / threshold, so that a pair spans two bands at most.
-RATIO = 1.25
+RATIO = 1.4
+#: Second-level cells of a part; a signature leaves one of them out.
+CELLS = 3
 #: Nodes of a block when pairs across components are gone through.
-BLOCK = 256
-#: Tasks that a component's rows are spread over in joins on it.
-SALTS = 16
+BLOCK = 1024
+#: Documents that a bucket of signatures stands for, about.
+BUCKET_DOCS = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,7 +86,7 @@ class Signer:
         self.plans: list[tuple[int, int]] = []
 
     def _plan(self, band: int) -> tuple[int, int]:
-        """(parts, spare) of a band; no parts where only equal sets are similar enough."""
+        """(first-level parts, spare) of a band; no parts where only equal sets are similar enough."""
         while len(self.plans) <= band:
             i = len(self.plans)
             low, high = self.bounds[i], self.bounds[i + 1] - 1
@@ -92,19 +94,19 @@ class Signer:
             if not k:
                 self.plans.append((0, 0))
                 continue
+            need = k // 2 + 1  # of so many parts one has a distance of one at most
             small = max(1, -(-low * self.percent // 100))
             best = None
             for few in (2, 1):
                 for spare in range(1, 4 * k + 8):
-                    parts = k + 1 + spare
-                    load = small / parts
-                    rare = exp(-load) * (1 + load if few == 2 else 1)
-                    if spare >= parts * rare + 3 * sqrt(parts * rare * (1 - rare)):
-                        best = (parts, spare)
+                    load = small * (CELLS - 1) / CELLS / (need + spare)
+                    rare = min(1.0, CELLS * exp(-load) * (1 + load if few == 2 else 1))
+                    if spare >= (need + spare) * rare + 3 * sqrt((need + spare) * rare * (1 - rare)):
+                        best = (need + spare, spare)
                         break
-                if best:
+                if best and best[0] <= 2 * need:
                     break
-            self.plans.append(best or (k + 2, 1))
+            self.plans.append(best or (need + 1, 1))
         return self.plans[band]
 
     def bands(self, size: int) -> list[int]:
@@ -124,18 +126,22 @@ class Signer:
             parts, spare = self._plan(band)
             if not parts:
                 continue
+            cells = parts * CELLS
             spread = mix(features + np.uint64((band + 1) * _GOLDEN & (1 << 64) - 1))
-            part = ((spread >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
-            order = part.argsort(kind="stable")
-            counts = np.bincount(part, minlength=parts)
+            cell = ((spread >> np.uint64(11)) % np.uint64(cells)).astype(np.int16 if cells < 1 << 15 else np.int64)
+            order = cell.argsort(kind="stable")
+            counts = np.bincount(cell, minlength=cells)
             starts = counts.cumsum() - counts
-            sums = np.zeros(parts, dtype=np.uint64)
+            sums = np.zeros(cells, dtype=np.uint64)
             held = np.flatnonzero(counts)
             sums[held] = np.add.reduceat(mix(spread ^ np.uint64(_GOLDEN))[order], starts[held])
-            few = next((x for x in (2, 1) if (counts < x).sum() <= spare), 0)
-            take = counts >= few
-            names = np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)
-            out.append(mix(mix(names) + sums)[take])
+            # each subset leaves one cell out: what it holds is the part less that cell
+            sums, counts = sums.reshape(parts, CELLS), counts.reshape(parts, CELLS)
+            sums, counts = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums, counts.sum(axis=1, keepdims=True) - counts
+            least = counts.min(axis=1)
+            few = next((x for x in (2, 1) if (least < x).sum() <= spare), 0)
+            names = (np.arange(cells, dtype=np.uint64) + np.uint64(band << 32)).reshape(parts, CELLS)
+            out.append(mix(mix(names) + sums)[counts >= few])
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -151,7 +157,8 @@ def node_of(features: np.ndarray) -> int:
 
 
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bins", T.BinaryType())])
-SIGNED = T.StructType([T.StructField("key", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("node", T.LongType()), T.StructField("pivot", T.LongType())])
+BLOBS = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("sigs", "nodes", "link_sigs", "link_nodes", "link_pivots"))])
+STARS = T.StructType([T.StructField("sig", T.LongType()), T.StructField("node", T.LongType()), T.StructField("pivot", T.LongType())])
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -169,15 +176,22 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, make, SETS)
 
 
-def signed_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, sig, node, pivot): a node's signatures, and the star links within a batch.
+def _cut(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in a sorted column of bucket numbers."""
+    return np.searchsorted(bucket, np.arange(buckets + 1))
 
-    The first node of a signature in a batch goes to the shuffle by signature (key is sig, pivot null); the others are linked
-    to it at once (key is the pair's hash). A task signs a set once while it remembers it.
+
+def signed_stars(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+    """(sig, node, pivot): nodes that share a signature with a smaller node, the pivot.
+
+    A signature is named by its bucket (its upper bits) and the lower half of its hash; should two fall together, the pairs are
+    verified like any others. The smallest node of a signature in a slice goes to the signature's bucket; the others of the slice are linked
+    to it at once, and those links are dealt by the pair. A task signs a set once while it remembers it.
     """
 
-    def make() -> Callable:
+    def deal() -> Callable:
         shingler, signer, seen = Shingler(words), Signer(percent), set()
+        none = np.zeros(0, dtype=np.int64)
 
         def work(batch):
             sigs, nodes = [], []
@@ -194,18 +208,67 @@ def signed_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 nodes.append(np.full(len(own), node, dtype=np.int64))
             if not sigs:
                 return
-            sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
+            sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            del sigs, nodes
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, dtype=bool)
             pivot = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-            keep = first | (node != pivot)
-            key = np.where(first, sig, mix(mix(node.view(np.uint64)) + pivot.view(np.uint64)).view(np.int64))
-            yield {"key": pa.array(key[keep]), "sig": pa.array(sig[keep]), "node": pa.array(node[keep]), "pivot": pa.array(pivot[keep], mask=first[keep])}
+            home = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            name = home << 32 | (sig & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            linked = ~first & (node != pivot)
+            to = ((mix(mix(node[linked].view(np.uint64)) + pivot[linked].view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            turn = to.argsort(kind="stable")
+            links = [x[linked][turn] for x in (name, node, pivot)]
+            low, own = (name[first] & 0xFFFFFFFF).astype("<u4"), node[first]
+            cuts, ends = _cut(home[first], buckets), _cut(to[turn], buckets)
+            out: dict[str, list] = {n: [] for n in BLOBS.names}
+            for b in np.flatnonzero((cuts[1:] > cuts[:-1]) | (ends[1:] > ends[:-1])).tolist():
+                mine, theirs = slice(cuts[b], cuts[b + 1]), slice(ends[b], ends[b + 1])
+                for n, v in zip(BLOBS.names, (b, low[mine].tobytes(), own[mine].tobytes(), *((x[theirs] if len(x) else none).tobytes() for x in links)), strict=True):
+                    out[n].append(v)
+            yield out
 
         return work
 
-    return map_batches(docs, make, SIGNED)
+    def gather() -> Callable:
+        held: list[dict] = []
+
+        def flush():
+            if held:
+                yield _stars(held)
+                held.clear()
+
+        def work(batch):
+            for blob in batch.to_pylist():
+                if held and held[0]["bucket"] != blob["bucket"]:
+                    yield from flush()
+                held.append(blob)
+
+        work.finish = flush
+        return work
+
+    dealt = map_batches(docs, deal, BLOBS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return map_batches(dealt, gather, STARS)
+
+
+def _stars(blobs: list[dict]) -> dict:
+    """The stars of a bucket: each signature's nodes with the smallest of them, and the links that the slices had made."""
+    sig, node = (np.concatenate([np.frombuffer(b[n], kind) for b in blobs]) for n, kind in (("sigs", "<u4"), ("nodes", "<i8")))
+    links = [np.concatenate([np.frombuffer(b[n], "<i8") for b in blobs]) for n in ("link_sigs", "link_nodes", "link_pivots")]
+    order = sig.argsort()
+    ordered = sig[order]
+    same = ordered[1:] == ordered[:-1]
+    take = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
+    sig, node = sig[take], node[take]  # what is met once is gone
+    if len(sig):
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        first = np.concatenate([[True], sig[1:] != sig[:-1]])
+        pivot = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+        keep = node != pivot
+        links = [np.concatenate(x) for x in zip(links, (sig[keep].astype(np.int64) | blobs[0]["bucket"] << 32, node[keep], pivot[keep]), strict=True)]
+    return {n: pa.array(x) for n, x in zip(STARS.names, links, strict=True)}
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,6 +325,7 @@ def across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """
     lists = members.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))  # at most a set's signatures
     sizes = members.groupBy("sig").agg(F.count("*").alias("m"))
+    # (members holds one signature for each set of nodes, so a node's list is short)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     known = nodes.select("node", "n", "bins").join(lists, "node")
     rows = members.join(sizes.where("m > 2"), "sig").join(known, "node").withColumn("_blocks", blocks)
@@ -310,10 +374,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sets = written(shingle_sets(docs, words), "sets")
-    nodes = written(sets.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("n_shingles").alias("n"), "bins")).alias("s")).select("node", "s.doc_id", "s.n", "s.bins"), "nodes")
-    signed = signed_rows(docs, words, percent)
-    live = signed.withColumn("p", F.min("node").over(Window.partitionBy("key"))).select("sig", "node", F.coalesce("pivot", "p").alias("pivot"))
-    live = written(live.where("node != pivot"), "live")
+    nodes = written(sets.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("n_shingles").alias("n"), "bins")).alias("s"), F.count("*").alias("_m")).select("node", "s.doc_id", "s.n", "s.bins", "_m"), "nodes")
+    live = written(signed_stars(docs, words, percent, max(8, nodes.count() // BUCKET_DOCS)), "live")
     found = live.groupBy("node", "pivot").agg(F.count("*").alias("shared"))
     stars = written(found.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "node", "shared").where("a != b"), "stars")
     likely = written(pruned(stars.select("a", "b").distinct(), nodes, percent), "pairs")
@@ -327,40 +389,39 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     groups = written(components(links), "groups")
     # signatures that still hold several components
     rows = live.select("sig", "node").unionByName(live.select("sig", F.col("pivot").alias("node"))).distinct().join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2").select("sig")
+    several = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h")).where("lo != hi and m > 2")
+    # signatures that hold the same nodes are one: the sum of the nodes' hashes tells
+    mixed = several.groupBy("m", "h", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
     members = written(rows.join(mixed, "sig", "left_semi"), "members")
     left = written(across(members, nodes, percent).join(likely, ["a", "b"], "left_anti"), "across")
     if not left.isEmpty():
         more = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct().join(features, "node", "left_anti")
         features = features.unionByName(written(feature_sets(docs, more, nodes, words), "features"))
         groups = components(links.unionByName(verified(left, features, percent)))
-    grouped = nodes.select("node", "doc_id").join(groups, "node")
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("c"))
-    linked = salted_join(grouped, least, "component", "node").select("node", "c")
-    names = nodes.select("node", "doc_id").join(linked, "node", "left").select("node", F.coalesce("c", "doc_id").alias("c"))
-    return sets.join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    grouped = written(nodes.select("node", "doc_id").join(groups, "node"), "grouped")
+    least = written(grouped.groupBy("component").agg(F.min("doc_id").alias("c"), F.count("*").alias("_m")), "least")
+    linked = hot_join(grouped, least, "component").select("node", "c")
+    names = written(nodes.select("node", "doc_id", "_m").join(linked, "node", "left").select("node", F.coalesce("c", "doc_id").alias("component_id"), "_m"), "names")
+    lone = sets.where("node is null").withColumn("component_id", F.col("doc_id"))
+    columns = ("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return hot_join(sets, names, "node").select(*columns).unionByName(lone.select(*columns))
 
 
 def one_of_each(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (a null id last, then the first in the table). Columns as they were.
 
-    docs must be a table, as its rows are numbered by the scan more than once. Texts without words link with nothing and all stay.
+    Rows are numbered in a written copy, so that every job sees the same numbers. Texts without words link with nothing and all stay.
     """
     plain = with_plain_names(docs)
     ids = plain.columns[docs.columns.index("doc_id")]
-    rows = plain.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(plain, "_row")
     found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent)
     found = written(found.join(rows.select(F.col("_row").alias("doc_id"), F.col(ids).alias("_id")), "doc_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("c"), "_id"), "groups")
-    first = found.groupBy("c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("s"), F.count("*").alias("n")).where("n > 1").select("c", F.col("s._row").alias("first"))
-    others = salted_join(found, first, "c", "_row").where("_row != first").select("_row")
+    first = found.groupBy("c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("s"), F.count("*").alias("_m")).where("_m > 1").select("c", F.col("s._row").alias("first"), "_m")
+    others = hot_join(found, written(first, "first"), "c").where("_row != first").select("_row")
     return rows.join(others, "_row", "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
-def salted_join(rows: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
-    """rows joined with `one`, which has a row for each key. Rows of a key go to SALTS tasks, by the column spread, as a key may hold a third of all rows."""
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
-
-
 def outside(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs that lie in different components."""
     ends = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
