@@ -5,7 +5,9 @@
    of its group.
 2. Over these few sizes a configuration linear program is solved by column
    generation (a knapsack prices the columns), and its whole parts are kept.
-3. The actual documents take the places of their groups.
+3. The actual documents take the places of their groups. As they are shorter than
+   their group's size, the last place of a configuration goes to the longest document that now fits there.
+   What the whole parts don't hold is grouped anew, a few times.
 4. What is left, long remainders first and then all short lengths, goes by
    best fit into the actual free space, and opens new sequences last.
 
@@ -18,8 +20,8 @@ is spread over hash blocks) and find their place from rank and plan.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -33,29 +35,29 @@ from corvane.llm.pretoken import shared_encoder
 
 #: Documents over this share of the capacity are packed by configurations.
 LARGE_SHARE = 8
-#: Groups of equal cardinality, at most.
-GROUPS = 64
+#: Groups of equal cardinality, at most, and how often what configurations leave is grouped anew.
+GROUPS, ROUNDS = 64, 6
 #: Rows that a hash block holds about, for ranking.
 BLOCK_ROWS = 4096
 
 
 def _knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The multiset of sizes of most value within the capacity."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    low = int(sizes.min())
-    for w in range(low, capacity + 1):
-        fits = sizes <= w
-        gain = np.where(fits, best[np.maximum(w - sizes, 0)] + values, -1.0)
-        g = int(gain.argmax())
-        if gain[g] > best[w - 1] + 1e-12:
-            best[w], take[w] = gain[g], g
-        else:
-            best[w] = best[w - 1]
+    room = np.arange(capacity + 1)[None, :] - sizes[:, None]
+    fits, at = room >= 0, np.maximum(room, 0)
+    best, takes = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(sizes.min())):  # one member more
+        gain = np.where(fits, best[at] + values[:, None], -1.0)
+        g = gain.argmax(axis=0)
+        more = gain[g, np.arange(capacity + 1)]
+        better = more > best + 1e-12
+        if not better.any():
+            break
+        takes.append(np.where(better, g, -1))
+        best = np.where(better, more, best)
     counts, w = np.zeros(len(sizes), dtype=np.int64), capacity
-    while w >= low:
-        if take[w] < 0:
-            w -= 1
-        else:
+    for take in reversed(takes):
+        if take[w] >= 0:
             counts[take[w]] += 1
             w -= int(sizes[take[w]])
     return float(best[capacity]), counts
@@ -83,58 +85,86 @@ def solve_configurations(sizes: list[int], needs: list[int], capacity: int, roun
     return [(tuple(int(a) for a in c), int(v + 1e-6)) for c, v in zip(columns, x, strict=True) if int(v + 1e-6) > 0]
 
 
+def _groups(left: dict[int, int], large: list[int], groups: int) -> dict[int, list[int]]:
+    """The lengths of each group of about equal cardinality, by the group's size: its largest length. A length is in one group."""
+    each = -(-sum(left[k] for k in large) // groups)
+    found: dict[int, list[int]] = {}
+    room, size = 0, 0
+    for k in large:
+        if room <= 0 or len(large) <= groups:  # so few lengths need no rounding
+            size, room = k, each
+            found[size] = []
+        found[size].append(k)
+        room -= left[k]
+    return found
+
+
 def _grouped(left: dict[int, int], capacity: int, groups: int) -> tuple[list[tuple[list[int], int]], dict[int, int]]:
     """(sequences of long documents by configurations, what is left). left maps lengths under the capacity to counts."""
     left, done = dict(left), []
-    large = sorted((k for k in left if k * LARGE_SHARE > capacity), reverse=True)
-    if not large:
-        return done, left
-    each = -(-sum(left[k] for k in large) // groups)
-    runs: list[list[list[int]]] = []  # of each group: [length, count] in descending order
-    room = 0
-    for k in large:
-        n = left.pop(k)
-        if len(large) <= groups:  # so few lengths need no rounding
-            runs.append([[k, n]])
-            continue
-        while n:
-            if not room:
-                runs.append([])
-                room = each
-            take = min(n, room)
-            runs[-1].append([k, take])
-            room -= take
-            n -= take
-    merged: dict[int, list[list[int]]] = {}  # groups of the same rounded size are one
-    for r in runs:
-        merged.setdefault(r[0][0], []).extend(r)
-    sizes = list(merged)
-    for config, times in solve_configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], capacity):
-        wanted = [(merged[sizes[g]], a) for g, a in enumerate(config) if a]
-        while times and all(sum(n for _, n in run) >= a for run, a in wanted):
-            # the actual documents at the head of each group, as often as the first lengths last
-            often = min(times, *(max(1, run[0][1] // a) for run, a in wanted))
-            members: list[int] = []
-            for run, a in wanted:
-                if run[0][1] >= a * often:
-                    members += [run[0][0]] * a
-                    run[0][1] -= a * often
-                    if not run[0][1]:
-                        run.pop(0)
-                else:  # one sequence takes the end of a length and the start of the next
-                    for _ in range(a):
-                        members.append(run[0][0])
-                        run[0][1] -= 1
-                        if not run[0][1]:
-                            run.pop(0)
-            done.append((members, often))
-            times -= often
-    for run in merged.values():
-        for k, n in run:
-            left[k] = left.get(k, 0) + n
+    for _ in range(ROUNDS):
+        large = sorted((k for k in left if k * LARGE_SHARE > capacity), reverse=True)
+        if not large:
+            break
+        held = _groups(left, large, groups)
+        rising = large[::-1]
+        sizes, before = list(held), len(done)
+        for config, times in solve_configurations(sizes, [sum(left[k] for k in held[s]) for s in sizes], capacity):
+            places = [sizes[g] for g, a in enumerate(config) for _ in range(a)]
+            while times and (found := _substitute(places, held, left, rising, capacity)):
+                own = Counter(found)
+                often = min(times, *(left[k] // n for k, n in own.items()))
+                done.append((found, often))
+                times -= often
+                for k, n in own.items():
+                    left[k] -= n * often
+                    if not left[k]:
+                        del left[k]
+                        rising.pop(bisect_left(rising, k))
+        if len(done) == before:
+            break
     return done, left
 
 
+def _substitute(places: list[int], held: dict[int, list[int]], left: dict[int, int], rising: list[int], capacity: int) -> list[int] | None:
+    """Actual lengths for a configuration's places. None if a group has run out.
+
+    Each place takes the longest document left of its group; the last place takes the longest left of all that fits, and the
+    one before it the length of its group that lets the last fit most tightly. Room that rounding hid takes a further long document, if one fits.
+    """
+    head: list[int] = []
+    own: dict[int, int] = {}
+    for size in places[:-2]:
+        k = next((k for k in held[size] if left.get(k, 0) > own.get(k, 0)), None)
+        if k is None:
+            return None
+        head.append(k)
+        own[k] = own.get(k, 0) + 1
+    room, best = capacity - sum(head), None
+    for k in held[places[-2]] if len(places) > 1 else (0,):
+        if k and left.get(k, 0) <= own.get(k, 0):
+            continue
+        at = bisect_right(rising, room - k) - 1
+        while at >= 0 and left[rising[at]] <= own.get(rising[at], 0) + (rising[at] == k):
+            at -= 1
+        if at >= 0 and (best is None or room - k - rising[at] < best[0]):
+            best = (room - k - rising[at], [k, rising[at]])
+            if not best[0]:
+                break
+    if best is None:
+        return None
+    found = [*head, *(k for k in best[1] if k)]
+    free = capacity - sum(found)
+    while (at := bisect_right(rising, free) - 1) >= 0:
+        while at >= 0 and left[rising[at]] <= found.count(rising[at]):
+            at -= 1
+        if at < 0:
+            break
+        found.append(rising[at])
+        free -= rising[at]
+    return found
+
+
 def _best_fit(open_: list[tuple[list[int], int]], left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Put what is left into the free space of open sequences, longest first, each where it fits most tightly; then open new ones."""
     by_free: dict[int, list[tuple[list[int], int]]] = defaultdict(list)
@@ -176,9 +206,7 @@ def _best_fit(open_: list[tuple[list[int], int]], left: dict[int, int], capacity
 def plan_packing(lengths: dict[int, int], capacity: int, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
     """Sequences as (lengths in order, how many such sequences) for a histogram of lengths 1 to capacity.
 
-    Every counted document is in exactly one sequence. Configurations whose actual documents leave more than some free space are
-    taken apart again, so that best fit places their documents; of several such limits the one with the fewest sequences
-    is taken. The number of distinct sequences is bounded by the distinct lengths and configurations, not by the documents.
+    Every counted document is in exactly one sequence. The number of distinct sequences is bounded by the distinct lengths and configurations, not by the documents.
     """
     left = {k: v for k, v in lengths.items() if v > 0}
     if not left:
@@ -187,19 +215,7 @@ def plan_packing(lengths: dict[int, int], capacity: int, groups: int = GROUPS) -
         raise ValueError("lengths must be from 1 to the capacity")
     full = left.pop(capacity, 0)
     grouped, rest = _grouped(left, capacity, groups)
-    best: list[tuple[tuple[int, ...], int]] | None = None
-    for limit in (capacity, capacity // 16, capacity // 32, capacity // 64, capacity // 128, capacity // 256, 0):
-        kept, loose = [], dict(rest)
-        for members, times in grouped:
-            if capacity - sum(members) <= limit:
-                kept.append((members, times))
-            else:
-                for k in members:
-                    loose[k] = loose.get(k, 0) + times
-        plan = _best_fit(kept, loose, capacity)
-        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
-            best = plan
-    return [((capacity,), full)] * bool(full) + best
+    return [((capacity,), full)] * bool(full) + _best_fit(grouped, rest, capacity)
 
 
 def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -260,8 +276,16 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
     """pieces with sequence_id and offset: every row in one sequence of at most capacity.
 
     pieces is read three times, so it should be a table. Lengths are from 1 to
-    capacity. Rows with null ids are packed like any other; an empty table stays empty.
+    capacity. Rows with null ids are packed like any other, repeated rows each (which of them gets which place is open, as they are alike);
+    an empty table stays empty. Other columns stay; columns named sequence_id or offset are replaced.
     """
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    plain = {c: f"c{i}" for i, c in enumerate(names)}
+    packed = _pack(pieces.select(*(F.col(f"`{c}`").alias(n) for c, n in plain.items())), capacity, plain[length], tuple(plain[c] for c in order))
+    return packed.toDF(*names, "sequence_id", "offset")
+
+
+def _pack(pieces: DataFrame, capacity: int, length: str, order: tuple[str, ...]) -> DataFrame:
     spark = pieces.sparkSession
     histogram = {int(k): int(n) for k, n in pieces.groupBy(length).count().collect()}  # at most capacity rows
     plan = plan_packing(histogram, capacity)

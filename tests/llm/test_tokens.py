@@ -127,6 +127,25 @@ def test_plans_come_near_the_bound():
     assert sequences <= 1.01 * sum(k * n for k, n in lengths.items()) / 1024 + 1
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_configurations_fill_the_sequences(seed):
+    """Most sequences come from configurations of groups, and they are as few as best fit alone would need, but for a thousandth."""
+    rng = random.Random(seed)
+    lengths = Counter(max(1, min(1023, int(rng.lognormvariate(5.6, 0.9)))) for _ in range(15_000))
+    grouped, _ = packing._grouped(lengths, 1024, packing.GROUPS)
+    total = sum(n for _, n in packing.plan_packing(lengths, 1024))
+    assert sum(n for _, n in grouped) >= 0.9 * total
+    assert total <= 1.001 * sum(n for _, n in packing._best_fit([], lengths, 1024)) + 1
+
+
+def test_clashing_names_of_pieces(spark):
+    rows = spark.createDataFrame([(1, 0, 5, "a", 7, "b"), (1, 0, 5, "a", 7, "b"), (2, 0, 3, None, 8, None)], "doc_id long, piece int, length long, _rank string, sequence_id long, _block string")
+    got = packing.pack(rows, 8)
+    assert got.columns == ["doc_id", "piece", "length", "_rank", "_block", "sequence_id", "offset"]
+    assert sorted((r["doc_id"], r["_rank"] or "", r["offset"]) for r in got.collect()) in ([(1, "a", 0), (1, "a", 0), (2, "", 5)], [(1, "a", 0), (1, "a", 3), (2, "", 0)])
+    assert {r["sequence_id"] for r in got.collect()} == {0, 1}
+
+
 def test_exact_halves():
     assert sum(n for _, n in packing.plan_packing({512: 1000}, 1024)) == 500
     assert sum(n for _, n in packing.plan_packing({700: 100, 324: 100}, 1024)) == 100
