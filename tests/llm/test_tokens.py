@@ -34,7 +34,7 @@ def test_chunks_encode_like_whole_texts(path, keeps):
 
 def test_counts_are_those_of_whole_texts():
     texts = odd_texts()
-    counter = token_counts.PieceCounter(PIECE, most=50)
+    counter = token_counts.PieceCounter(PIECE)
     want = [len(x) for x in counter.model.encode(texts, num_threads=1)]
     assert [x for at in range(0, len(texts), 100) for x in counter.counts(texts[at : at + 100])] == want
     assert not counter.whole
@@ -56,6 +56,15 @@ def test_count_query_rows(spark):
     assert token_counts.count_tokens(_docs(spark, []), PIECE, 1).count() == 0
 
 
+def test_counts_over_many_slices(spark):
+    """Pre-tokens that occur over 255 times in a text, in all slices or in one, and texts that are counted whole."""
+    texts = [*odd_texts(300, 9), "the " * 700, "the " * 256 + "end", "a▁b " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    model = token_counts.PieceCounter(PIECE).model
+    want = [(i, len(t.encode()), len(model.encode(t))) for i, t in enumerate(texts)]
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(docs, PIECE, 100).collect()) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 300), max_size=600))
 def test_blocks_round_trip(values):
