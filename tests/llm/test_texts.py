@@ -365,12 +365,39 @@ def samples():
 def test_formats_are_confirmed_and_carved():
     sniffer = media.Sniffer()
     for kind, data in samples().items():
-        assert sniffer.find(data) == [(0, len(data), kind)], kind
-        assert sniffer.find(b"junk BM RIFF " + data + b" tail") == [(13, len(data), kind)], kind
+        assert sniffer.find(data) == [(0, len(data), kind, 0)], kind
+        assert sniffer.find(b"junk BM RIFF " + data + b" tail") == [(13, len(data), kind, 0)], kind
         broken = data[: len(data) - 3]
-        assert (0, len(data), kind) not in sniffer.find(broken), kind
-    both = b"--" + png() + b"--" + media.wav(png())  # what lies in a carved medium isn't reported again
-    assert [k for *_, k in sniffer.find(both)] == ["image/png", "audio/wav"]
+        assert (0, len(data), kind, 0) not in sniffer.find(broken), kind
+    both = b"--" + png() + b"--" + media.wav(png())
+    assert [f[2:] for f in sniffer.find(both)] == [("image/png", 0), ("audio/wav", 0), ("image/png", 1)]
+
+
+def test_media_in_containers():
+    import io
+    import zipfile
+
+    sniffer, packed = media.Sniffer(), io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.png", png())
+        z.writestr("b.zip", samples()["application/zip"])
+    found = sniffer.find(media.wav(b"xy" + packed.getvalue() + bytes(9)))
+    assert [f[2:] for f in found] == [("audio/wav", 0), ("application/zip", 1), ("image/png", 2), ("application/zip", 2)]
+    assert found[1][:2] == (46, len(packed.getvalue()))
+    cut = media.wav(packed.getvalue()[:-30]) + packed.getvalue()[-30:]  # ends after its container
+    assert [f[2:] for f in sniffer.find(cut) if f[2] == "application/zip" and f[0] == 44] == []
+    twice = b"%PDF-1.4\nx\nstartxref\n9\n%%EOF\nupdate\nstartxref\n20\n%%EOF"
+    assert sniffer.find(twice + b" " + twice) == [(0, len(twice), "application/pdf", 0), (len(twice) + 1, len(twice), "application/pdf", 0)]
+
+
+def test_many_headers_take_linear_time():
+    import time
+
+    sniffer = media.Sniffer()
+    for magic in (b"%PDF-1", b"PK\x03\x04", b"\xff\xd8\xff\xc0\x00\x02\xff\xda\x00\x02"):
+        start = time.process_time()
+        assert sniffer.find(magic * 60_000) == []
+        assert time.process_time() - start < 5
 
 
 def test_declared_types_are_corrected(spark):
@@ -388,8 +415,14 @@ def test_media_round_trip(spark):
         data = text.encode()
         padded = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert r["feature"] == f"audio/wav;declared=text/plain;corrected=1;samples={len(padded)};embedded="
         assert r["media_sha256"] == hashlib.sha256(media.wav(padded)).hexdigest() and r["media_bytes"] == len(media.wav(padded))
     assert media.media_features(frame(spark, [])).count() == 0
+    pdf = "%PDF-1.4 é startxref 9 %%EOF"
+    (got,) = media.media_features(frame(spark, [(1, f"see {pdf} there")])).collect()
+    assert got["feature"].endswith(f"embedded=application/pdf@4+{len(pdf.encode())}/1")
+    clash = spark.createDataFrame([(bytearray(b"x" + png()), None, 5)], "media binary, declared_type string, carved int")
+    assert media.sniff(clash).columns == ["media", "declared_type", "detected_type", "corrected", "carved"] and len(media.sniff(clash).first()["carved"]) == 1
 
 
 # --- language model ---
