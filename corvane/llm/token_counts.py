@@ -114,8 +114,8 @@ def dealt_pretokens(docs: DataFrame, model_path: str, buckets: int) -> DataFrame
             bags = counter.bags(texts)
             number: dict[str, int] = {}
             for b in bags:
-                if b:
-                    for w in b.keys() - number.keys():
+                for w in b or ():
+                    if w not in number:
                         number[w] = len(number)
             sizes = [len(b) if b else 0 for b in bags]
             total = sum(sizes)
