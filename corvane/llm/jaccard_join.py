@@ -31,7 +31,8 @@ from corvane.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's multipliers
 _GOLDEN = 0x9E3779B97F4A7C15
-BINS = 128
+#: Bins of the coarse and of the fine counts that bound a distance from below.
+BINS, FINE = 128, 1024
 #: Ratio of a band's bounds; over 1 / threshold, so that a pair spans two bands at most.
 RATIO = 1.4
 #: Second-level cells of a part; a signature leaves one of them out.
@@ -271,15 +272,45 @@ def _stars(blobs: list[dict]) -> dict:
     return {n: pa.array(x) for n, x in zip(STARS.names, links, strict=True)}
 
 
+def fine_of(features: np.ndarray) -> bytes:
+    """Like bins_of, in eight times as many bins of 4 bits."""
+    counts = np.minimum(np.bincount((mix(features ^ np.uint64(_GOLDEN)) % np.uint64(FINE)).astype(np.int64), minlength=FINE), 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (node, features) are similar enough."""
+    """The pairs (a, b) whose sets (node, features), a table, are similar enough.
+
+    A finer lower bound of the distance goes first, so that whole sets go with few pairs that aren't.
+    """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b").select("a", "b", "fa", "fb")
+    sketch = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fine", T.BinaryType())])
 
-    def make() -> Callable:
+    def both(rows: DataFrame, side: DataFrame) -> DataFrame:
+        a, b = (side.toDF(*(x if c == "node" else f"{c}{x}" for c in side.columns)) for x in "ab")
+        return rows.join(a, "a").join(b, "b")
+
+    def sketched() -> Callable:
+        def work(batch):
+            own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column("features")]
+            yield {"node": batch.column("node"), "n": [len(x) for x in own], "fine": [fine_of(x) for x in own]}
+
+        return work
+
+    def near() -> Callable:
+        def work(batch):
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, FINE // 2).astype(np.int16) for c in ("finea", "fineb"))
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            distance = np.abs((p & 15) - (q & 15)).sum(axis=1, dtype=np.int64) + np.abs((p >> 4) - (q >> 4)).sum(axis=1, dtype=np.int64)
+            mask = pa.array(close_enough(na, nb, distance, percent))
+            yield {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
+
+        return work
+
+    def compare() -> Callable:
         def work(batch):
             good = []
-            for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True):
+            for x, y in zip(batch.column("featuresa"), batch.column("featuresb"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
@@ -291,7 +322,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return work
 
-    return map_batches(both, make, schema)
+    likely = written(map_batches(both(pairs, map_batches(sets, sketched, sketch)), near, schema), "near")
+    return map_batches(both(likely, sets), compare, schema)
 
 
 def close_enough(na: np.ndarray, nb: np.ndarray, distance: np.ndarray, percent: int) -> np.ndarray:
@@ -318,50 +350,34 @@ def pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a signature and lie in different components, in blocks, pruned. members: (sig, node, component), a table.
-
-    Each pair comes once: under the smallest signature that both have. (If two components meet in a pair, all signatures
-    that it shares are in members.)
-    """
-    lists = members.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))  # at most a set's signatures
+    """Pairs (a, b) of nodes that share a signature and lie in different components, in blocks, pruned. members: (sig, node, component), a table."""
     sizes = members.groupBy("sig").agg(F.count("*").alias("m"))
-    # (members holds one signature for each set of nodes, so a node's list is short)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    known = nodes.select("node", "n", "bins").join(lists, "node")
-    rows = members.join(sizes.where("m > 2"), "sig").join(known, "node").withColumn("_blocks", blocks)
+    rows = members.join(sizes.where("m > 2"), "sig").join(nodes.select("node", "n", "bins"), "node").withColumn("_blocks", blocks)
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     # a block meets itself and the others once: the pair of blocks is the key
-    met = rows.select("sig", "node", "component", "n", "bins", "sigs", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    keyed = met.select("sig", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "component", "n", "bins", "sigs", "_own")
+    met = rows.select("sig", "node", "component", "n", "bins", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    keyed = met.select("sig", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "component", "n", "bins", "_own")
     schema = "a long, b long"
 
     def pairs(table: pa.Table) -> pa.Table:
         node, comp, n, own = (table.column(c).to_numpy() for c in ("node", "component", "n", "_own"))
         bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        sig, sigs = table.column("sig")[0].as_py(), table.column("sigs")
-        sets: dict[int, set] = {}
-
-        def before(i: int) -> set:
-            """The node's signatures smaller than this group's."""
-            if i not in sets:
-                own = sigs[i].values.to_numpy()
-                sets[i] = set(own[own < sig].tolist())
-            return sets[i]
-
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        right = right[np.argsort(n[right], kind="stable")]  # partners of a size are next to each other
+        small = n[right]
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for i in left.tolist():
-            js = right[(comp[right] != comp[i]) & (node[right] > node[i] if x == y else True)]
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
+            js = right[np.searchsorted(small, -(-n[i] * percent // 100)) : np.searchsorted(small, n[i] * 100 // percent, side="right")]
+            js = js[(comp[js] != comp[i]) & (node[js] > node[i] if x == y else True)]
             if len(js):
                 js = js[close_enough(n[js], n[i], np.abs(bins[js] - bins[i]).sum(axis=1, dtype=np.int64), percent)]
-                js = js[[before(i).isdisjoint(before(j)) for j in js.tolist()]] if len(js) else js
                 a.append(np.minimum(node[js], node[i]))
                 b.append(np.maximum(node[js], node[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return keyed.groupBy("sig", "x", "y").applyInArrow(pairs, schema)
+    return keyed.groupBy("sig", "x", "y").applyInArrow(pairs, schema).distinct()  # a pair may share several signatures
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
