@@ -22,6 +22,7 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from corvane.llm.common import map_batches, texts_of, written
 
 _RUNS = re.compile(r" *[^ ]+| +")
 #: Documents that a bucket of pre-tokens stands for, about; rows of a slice at most, as they are numbered in 16 bits.
-BUCKET_DOCS, SLICE_ROWS = 4096, 60_000
+BUCKET_DOCS, SLICE_ROWS = 16384, 60_000
 
 
 class PieceCounter:
@@ -89,6 +90,14 @@ DEALT = T.StructType([T.StructField("batch", T.LongType()), T.StructField("bucke
 COUNTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def _rows(schema: T.StructType, rows: list[dict]) -> dict:
     return {n: [r.get(n) for r in rows] for n in schema.names}
 
@@ -122,11 +131,13 @@ def dealt_pretokens(docs: DataFrame, model_path: str, buckets: int) -> DataFrame
             word = np.fromiter((number[w] for b in bags if b for w in b), dtype=np.int64, count=total)
             times = np.fromiter((n for b in bags if b for n in b.values()), dtype=np.int64, count=total)
             row = np.repeat(np.arange(len(texts)), sizes)
-            data = [w.encode() for w in number]
+            data = [w.encode() for w in number]  # in alphabetical order within a bucket, which packs better
+            turn = sorted(range(len(data)), key=data.__getitem__)
+            data = [data[i] for i in turn]
             home = np.fromiter((xxh64_intdigest(d) % buckets for d in data), dtype=np.int64, count=len(data))
             order = home.argsort(kind="stable")
             rank = np.empty(len(order), dtype=np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
+            rank[np.array(turn, dtype=np.int64)[order]] = np.arange(len(order), dtype=np.int32)
             turn = rank[word].argsort(kind="stable")
             row, times = row[turn], times[turn]
             over = np.flatnonzero(times > 255)
@@ -139,10 +150,11 @@ def dealt_pretokens(docs: DataFrame, model_path: str, buckets: int) -> DataFrame
                 "sizes": np.bincount(rank[word], minlength=len(order)).astype("<u2").tobytes(), "rows": row.astype("<u2").tobytes(), "times": np.minimum(times, 255).astype(np.uint8).tobytes(),
                 "many": np.stack([over, times[over]]).astype("<i8").tobytes(),
             }]
+            out[0] |= {n: _packed(out[0][n]) for n in _SLICE}
             cuts = np.searchsorted(home[order], np.arange(buckets + 1))
             for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                 own = [data[i] for i in order[cuts[b] : cuts[b + 1]].tolist()]
-                out.append({"batch": key, "bucket": b, "words": b"".join(own), "ends": np.cumsum([len(w) for w in own]).astype("<u4").tobytes()})
+                out.append({"batch": key, "bucket": b, "words": _packed(b"".join(own)), "ends": _packed(np.array([len(w) for w in own], dtype="<u4").tobytes())})
             return out
 
         return work
@@ -162,12 +174,13 @@ def counted_pretokens(dealt: DataFrame, model_path: str, buckets: int) -> DataFr
                 return
             asked = []
             for blob in held:
-                ends = np.frombuffer(blob["ends"], "<u4").tolist()
-                asked.append([blob["words"][a:b] for a, b in zip([0, *ends], ends)])
+                ends = _numbers(blob["ends"], "<u4").cumsum().tolist()
+                words = _numbers(blob["words"], np.uint8).tobytes()
+                asked.append([words[a:b] for a, b in zip([0, *ends], ends)])
             each = list(set().union(*asked))
             known = dict(zip(each, counter.pieces([w.decode() for w in each]), strict=True))
             for blob, own in zip(held, asked, strict=True):
-                yield {"batch": [blob["batch"]], "bucket": [blob["bucket"]], "counts": [np.fromiter(map(known.__getitem__, own), dtype="<u4", count=len(own)).tobytes()]}
+                yield {"batch": [blob["batch"]], "bucket": [blob["bucket"]], "counts": [_packed(np.fromiter(map(known.__getitem__, own), dtype="<u4", count=len(own)).tobytes())]}
             held.clear()
 
         def work(batch):
@@ -185,17 +198,17 @@ def counted_pretokens(dealt: DataFrame, model_path: str, buckets: int) -> DataFr
 
 def _summed(rows: list[dict]) -> dict:
     """The documents of a slice from its matrix and the buckets' answers."""
-    own, answers = rows[0], [np.frombuffer(r["counts"], "<u4") for r in rows[1:]]
-    docs, none = np.frombuffer(own["docs"], "<i8"), np.unpackbits(np.frombuffer(own["none"], np.uint8)).astype(bool)
-    times = np.frombuffer(own["times"], np.uint8).astype(np.int64)
-    at, many = np.frombuffer(own["many"], "<i8").reshape(2, -1)
+    own, answers = rows[0], [_numbers(r["counts"], "<u4") for r in rows[1:]]
+    docs, none = _numbers(own["docs"], "<i8"), np.unpackbits(_numbers(own["none"], np.uint8)).astype(bool)
+    times = _numbers(own["times"], np.uint8).astype(np.int64)
+    at, many = _numbers(own["many"], "<i8").reshape(2, -1)
     times[at] = many
-    sizes = np.frombuffer(own["sizes"], "<u2")
+    sizes = _numbers(own["sizes"], "<u2")
     pieces = np.concatenate([*answers, np.zeros(0, dtype=np.uint32)]).astype(np.int64)
     if len(pieces) != len(sizes):
         raise ValueError("a slice lacks answers")
-    n = np.bincount(np.frombuffer(own["rows"], "<u2"), weights=np.repeat(pieces, sizes) * times, minlength=len(docs)).astype(np.int64)
-    return {"doc_id": pa.array(docs, mask=none[: len(docs)]), "n_bytes": pa.array(np.frombuffer(own["bytes"], "<i8")), "n_tokens": pa.array(n + np.frombuffer(own["whole"], "<i8"))}
+    n = np.bincount(_numbers(own["rows"], "<u2"), weights=np.repeat(pieces, sizes) * times, minlength=len(docs)).astype(np.int64)
+    return {"doc_id": pa.array(docs, mask=none[: len(docs)]), "n_bytes": pa.array(_numbers(own["bytes"], "<i8")), "n_tokens": pa.array(n + _numbers(own["whole"], "<i8"))}
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int) -> DataFrame:
