@@ -9,6 +9,8 @@ from corvane.functions import text as X
 from corvane.functions.encoders import VOCABULARY, stem, term_index
 
 K1, B = 1.2, 0.75
+#: Fixed value: the average length that stored lexical weights assume.
+AVERAGE = 400
 
 
 def tokens(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,5 +90,5 @@ def sparse_dot(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.select("query_id", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("q"))
     stored = docs.select("doc_id", X.terms(F.col("text")).alias("_t")).select("doc_id", F.size("_t").alias("len"), F.explode("_t").alias("term"))
     stored = stored.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    weights = encode(stored, 256)
+    weights = encode(stored, AVERAGE)
     return top(asked.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("weight")).alias("score")).where("score > 0"), k)

@@ -99,7 +99,7 @@ def _sparse(docs: str, queries: str) -> str:
     return f"""stoks AS (SELECT doc_id, {_terms("text")} AS t FROM {docs}),
     stf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM stoks) GROUP BY ALL),
     sq AS (SELECT query_id, term, count(*) AS q FROM (SELECT query_id, unnest({_terms("text")}) AS term FROM {queries}) GROUP BY ALL),
-    sp AS (SELECT query_id, doc_id, sum(q * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / 256.0))) AS score FROM sq JOIN stf USING (term) GROUP BY ALL)"""
+    sp AS (SELECT query_id, doc_id, sum(q * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / 400.0))) AS score FROM sq JOIN stf USING (term) GROUP BY ALL)"""
 
 
 def _jaccard(a: str, b: str) -> str:
@@ -590,20 +590,23 @@ def _control_documents(spark, d) -> DataFrame:
 
 
 def _requests(spark, d) -> DataFrame:
-    """A request for each event; an even id and the next one share a key, so the even one counts."""
+    """Two requests for each event: by a key that an even id and the next one share, and by a key of its own."""
     i = F.col("event_id")
-    return table(spark, d, "events").select(F.col("event_id").cast("string").alias("document_id"), F.concat(F.lit("k"), (i - i % 2).cast("string")).alias("idempotency_key"))
+    keys = F.array(F.concat(F.lit("k"), (i - i % 2).cast("string")), F.concat(F.lit("l"), i.cast("string")))
+    return table(spark, d, "events").select(i.cast("string").alias("document_id"), F.explode(keys).alias("idempotency_key"))
 
 
-@register("start_deletions", f"""WITH r AS (SELECT event_id, {_STATE}[CAST(doc_id % 10 AS BIGINT) + 1] AS s FROM events LEFT JOIN documents ON doc_id = event_id WHERE event_id % 2 = 0)
-  SELECT CASE WHEN s IS NULL THEN 'NOT_FOUND' WHEN s NOT IN ('UPLOADED', 'FAILED', 'READY', 'DELETE_FAILED') THEN 'INVALID_STATE' ELSE 'started' END AS outcome, count(*) AS n FROM r GROUP BY 1""")
+@register("start_deletions", f"""WITH r AS (SELECT event_id = min(event_id) OVER (PARTITION BY event_id - event_id % 2) AS own, {_STATE}[CAST(doc_id % 10 AS BIGINT) + 1] AS s
+    FROM (SELECT DISTINCT event_id FROM events) LEFT JOIN documents ON doc_id = event_id),
+  a AS (SELECT s, NOT own AS taken, false AS late FROM r UNION ALL SELECT s, false, own FROM r)
+  SELECT CASE WHEN taken THEN 'IDEMPOTENCY_CONFLICT' WHEN s IS NULL THEN 'NOT_FOUND' WHEN late OR s NOT IN ('UPLOADED', 'FAILED', 'READY', 'DELETE_FAILED') THEN 'INVALID_STATE' ELSE 'started' END AS outcome, count(*) AS n FROM a GROUP BY 1""")
 def start_deletions(spark, d):
     told, _, _ = lifecycle.start_deletion(_control_documents(spark, d), spark.createDataFrame([], JOB), _requests(spark, d), F.lit(_NOW).cast("timestamp"))
     return told.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @register("deleted_documents", f"""WITH s AS (SELECT doc_id, {_STATE}[CAST(doc_id % 10 AS BIGINT) + 1] AS s FROM documents),
-  g AS (SELECT s.*, s IN ('UPLOADED', 'FAILED', 'READY', 'DELETE_FAILED') AND doc_id % 2 = 0 AND doc_id IN (SELECT event_id FROM events) AS gone FROM s)
+  g AS (SELECT s.*, s IN ('UPLOADED', 'FAILED', 'READY', 'DELETE_FAILED') AND doc_id IN (SELECT event_id FROM events) AS gone FROM s)
   SELECT CASE WHEN gone THEN 'DELETED' ELSE s END AS status, CASE WHEN gone THEN 2 ELSE 0 END AS row_version, count(*) AS n FROM g GROUP BY 1, 2""")
 def deleted_documents(spark, d):
     """Deletion from request to end: the documents' states after it."""

@@ -12,10 +12,6 @@ from corvane.operators import lexical, structure
 from corvane.schemas import POINT
 from corvane.sources.index import PointIndex
 
-#: Fixed value: the average length that stored lexical weights assume.
-AVERAGE = 400
-
-
 def points(documents: DataFrame, config: dict, now: Column | None = None) -> DataFrame:
     """Points of documents (document_id, filename, content_type, document_version, markdown[, page_offsets]) under an index config row.
 
@@ -27,7 +23,7 @@ def points(documents: DataFrame, config: dict, now: Column | None = None) -> Dat
     rows = rows.withColumn("id", point_id(F.col("document_id"), F.col("document_version"), F.col("index_version"), F.col("chunk_index")))
     rows = rows.withColumn("_embed", X.embed_text(F.col("text"), F.array("filename"), F.col("section_path")))
     posted = lexical.hashed(lexical.stemmed(lexical.postings(rows, "id", "_embed"), "id"), "id")
-    weights = lexical.encode(posted, AVERAGE, "id", "idx").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("sparse"))
+    weights = lexical.encode(posted, lexical.AVERAGE, "id", "idx").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("sparse"))
     whole = rows.withColumn("dense", dense_encoder(config["dense_dimension"])("_embed")).join(weights, "id", "left")
     whole = whole.withColumn("sparse", F.coalesce("sparse", F.array().cast("array<struct<idx:bigint,weight:double>>"))).withColumn("created_at", F.current_timestamp() if now is None else now)
     whole = whole.withColumn("table_id", F.when(F.col("table_index").isNotNull(), table_id(F.col("document_id"), F.col("document_version"), F.col("index_version"), F.col("table_index"))))

@@ -31,16 +31,27 @@ def prepare_uploads(requests: DataFrame, now: Column) -> DataFrame:
 def start_jobs(documents: DataFrame, jobs: DataFrame, requests: DataFrame, kind: str, sources: tuple[str, ...], state: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(outcomes, new jobs, documents) of requests (document_id, idempotency_key[, target_index_version]).
 
-    A known key gives its job again and changes nothing; of requests that share a key that of the smallest document_id counts. A document must exist and be in one
-    of the source states, and goes to `state`. Job ids are name-based on kind and key, so a repeated run gives the same.
+    There is an outcome for each pair of document and key; of repeats of a pair that with the least other columns counts. A known key gives its document's job again and
+    changes nothing. A key belongs to the document that it is known for, else to the smallest document_id that asks with it; for others it is an IDEMPOTENCY_CONFLICT.
+    A document must exist and be in one of the source states, and goes to `state`; of its own new keys the smallest starts, and finds it in another state
+    (INVALID_STATE) the rest. Job ids are name-based on kind and key, so a repeated run gives the same.
     """
-    least = F.struct(F.col("document_id").isNull().alias("none"), "document_id", *(c for c in requests.columns if c not in ("document_id", "idempotency_key")))
-    asked = requests.groupBy("idempotency_key").agg(F.min(least).alias("_least")).select(*(c if c == "idempotency_key" else F.col(f"_least.{c}") for c in requests.columns))
-    known = jobs.where(F.col("kind") == kind).select("idempotency_key", F.col("id").alias("_job"))
-    joined = asked.join(known, "idempotency_key", "left").join(documents.select(F.col("id").alias("document_id"), F.col("status").alias("_status")), "document_id", "left")
+    pair = ["document_id", "idempotency_key"]
+    extra = [c for c in requests.columns if c not in pair]
+    asked = requests.groupBy(*pair).agg(F.min(F.struct(*extra)).alias("_least")).select(*pair, *(F.col(f"_least.{c}") for c in extra)) if extra else requests.select(*pair).distinct()
+    owners = asked.groupBy(F.col("idempotency_key").alias("_key")).agg(F.min("document_id").alias("_owner"))
+    known = jobs.where(F.col("kind") == kind).select("idempotency_key", F.col("id").alias("_job"), F.col("document_id").alias("_of"))
+    joined = asked.join(owners, F.col("idempotency_key").eqNullSafe(F.col("_key")), "left").join(known, "idempotency_key", "left")
+    joined = joined.join(documents.select(F.col("id").alias("document_id"), F.col("status").alias("_status")), "document_id", "left")
+    mine = F.col("document_id") == F.coalesce("_of", "_owner")
+    able = F.when(F.col("_job").isNotNull() & mine, "known").when(~mine, "IDEMPOTENCY_CONFLICT").when(F.col("_status").isNull(), "NOT_FOUND").when(~F.col("_status").isin(*sources), "INVALID_STATE").otherwise("started")
+    judged = joined.withColumn("_able", able)
+    first = judged.where("_able = 'started'").groupBy(F.col("document_id").alias("_document")).agg(F.min("idempotency_key").alias("_first"))
+    judged = judged.join(first, F.col("document_id") == F.col("_document"), "left")
     own = identity.uuid5(F.concat_ws(":", F.lit(kind), "idempotency_key"))
-    outcome = F.when(F.col("_job").isNotNull(), "known").when(F.col("_status").isNull(), "NOT_FOUND").when(~F.col("_status").isin(*sources), "INVALID_STATE").otherwise("started")
-    told = joined.withColumn("outcome", outcome).withColumn("job_id", F.coalesce("_job", F.when(F.col("outcome") == "started", own)))
+    late = (F.col("_able") == "started") & ~F.col("idempotency_key").eqNullSafe(F.col("_first"))
+    told = judged.withColumn("outcome", F.when(late, "INVALID_STATE").otherwise(F.col("_able")))
+    told = told.withColumn("job_id", F.when(F.col("outcome") == "known", F.col("_job")).when(F.col("outcome") == "started", own))
     started = told.where("outcome = 'started'")
     target = F.col("target_index_version") if "target_index_version" in requests.columns else F.lit(None).cast("int")
     rows = started.select(

@@ -62,7 +62,7 @@ def layout_markdown(data: bytes) -> str:
 
 
 def parse(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """files (.., content, content_type) with markdown and error (UNSUPPORTED_FILE, EMPTY_DOCUMENT, PARSER_MISSING or null).
+    """files (.., content, content_type) with markdown and error (UNSUPPORTED_FILE, EMPTY_DOCUMENT, PARSER_MISSING, PARSE_FAILED or null).
 
     Texts are decoded by Spark; other kinds go through readers, in Python, and only their rows do.
     """
@@ -85,6 +85,9 @@ def parse(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None =
                 except ModuleNotFoundError:
                     texts.append(None)
                     errors.append("PARSER_MISSING")
+                except Exception:  # whatever a reader makes of a broken file is that row's error
+                    texts.append(None)
+                    errors.append("PARSE_FAILED")
             yield frame.assign(markdown=texts, error=errors)
 
     return plain.unionByName(rest.mapInPandas(read, schema)).drop("_kind")

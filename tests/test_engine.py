@@ -159,6 +159,12 @@ def test_parsing(spark):
     got = {r["path"]: (r["markdown"], r["error"]) for r in parsers.parse(files, {"layout": lambda data: "# parsed"}).collect()}
     assert got == {"a": ("hi", None), "b": ("é", None), "c": (None, "EMPTY_DOCUMENT"), "d": (None, "UNSUPPORTED_FILE"), "e": ("# parsed", None)}
 
+    def broken(data):
+        raise ValueError("no such object")
+
+    got = {r["path"]: (r["markdown"], r["error"]) for r in parsers.parse(files, {"layout": broken}).collect()}
+    assert got["e"] == (None, "PARSE_FAILED") and got["a"] == ("hi", None)
+
 
 def test_gold_and_report(spark):
     corpus, cases = parsers.gold(spark, json.dumps({"corpus": [{"fixture": "f.md", "filename": "F"}], "cases": [{"id": "c1", "query": "q", "must_contain": ["x", "y"]}, {"id": "c2", "query": "q", "must_contain": ["z"]}]}))

@@ -77,7 +77,9 @@ def test_the_smallest_document_of_a_key_counts(spark):
     for order in (rows, rows[::-1]):
         asked = spark.createDataFrame(order, "document_id string, idempotency_key string, target_index_version int").coalesce(1)
         told, jobs, after = lifecycle.start_reindex(docs, _jobs(spark), asked, now())
-        assert {(r["document_id"], r["idempotency_key"], r["outcome"]) for r in told.collect()} == {("b", "k", "started"), ("a", "l", "started")}
+        assert {(r["document_id"], r["idempotency_key"], r["outcome"]) for r in told.collect()} == {
+            ("b", "k", "started"), ("c", "k", "IDEMPOTENCY_CONFLICT"), ("d", "k", "IDEMPOTENCY_CONFLICT"), (None, "k", "NOT_FOUND"), ("a", "l", "started"), ("d", "l", "IDEMPOTENCY_CONFLICT"),
+        }
         assert {(r["document_id"], r["target_index_version"]) for r in jobs.collect()} == {("b", 3), ("a", 6)}
         assert {r["id"]: r["status"] for r in after.collect()} == {"a": "REINDEXING", "b": "REINDEXING", "c": "READY", "d": "READY"}
 
@@ -85,8 +87,18 @@ def test_the_smallest_document_of_a_key_counts(spark):
 def test_deletions_are_asked_for_by_every_event(spark):
     d = "/root/testdata/sf0.001"
     asked, events = catalog._requests(spark, d), spark.read.parquet(f"{d}/events.parquet").count()
-    assert asked.count() == events and asked.select("idempotency_key").distinct().count() == events // 2
-    assert catalog.start_deletions(spark, d).agg(F.sum("n")).first()[0] == events // 2
+    assert asked.count() == 2 * events and asked.select("document_id").distinct().count() == events
+    assert catalog.start_deletions(spark, d).agg(F.sum("n")).first()[0] == 2 * events
+
+
+def test_each_request_has_an_outcome(spark):
+    docs = _documents(spark, _doc("a", "UPLOADED"), _doc("b", "UPLOADED"))
+    asked = spark.createDataFrame([("a", "k1"), ("a", "k2"), ("b", "k1"), ("a", "k1"), ("b", None)], "document_id string, idempotency_key string")
+    told, jobs, after = lifecycle.start_ingestion(docs, _jobs(spark), asked, now())
+    assert sorted((r["document_id"], r["idempotency_key"] or "", r["outcome"]) for r in told.collect()) == [("a", "k1", "started"), ("a", "k2", "INVALID_STATE"), ("b", "", "started"), ("b", "k1", "IDEMPOTENCY_CONFLICT")]
+    assert jobs.count() == 2 and {r["id"]: r["row_version"] for r in after.collect()} == {"a": 1, "b": 1}
+    again = {(r["document_id"], r["idempotency_key"]): (r["outcome"], r["job_id"]) for r in lifecycle.start_ingestion(after, jobs, asked, now())[0].collect()}
+    assert again["a", "k1"] == ("known", jobs.where("idempotency_key = 'k1'").first()["id"]) and again["b", "k1"] == ("IDEMPOTENCY_CONFLICT", None)
 
 
 def test_configs(spark):
