@@ -12,6 +12,7 @@ or main element undecided means good where no neighbour is decided.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -152,7 +153,8 @@ def _read(html: str, cleared: frozenset[int]) -> tuple[list[Block], list[tuple[s
     """
     found: list[Block] = []
     held: list[tuple[str, list[tuple[int, frozenset[str]]]]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # name, apart, root, link
+    stack: list[tuple[str, bool, int, bool, int]] = []  # name, apart, root, link, silent elements
+    standing: Counter[str] = Counter()  # open elements of each name, so that an end tag without any needs no search
     marks: list[tuple[int, int, frozenset[str]]] = []  # depth in the stack, place, words
     hard = 0  # depth of the first element that is boilerplate by kind, 0 for none
     parts: list[str] = []
@@ -185,8 +187,13 @@ def _read(html: str, cleared: frozenset[int]) -> tuple[list[Block], list[tuple[s
         while marks and marks[-1][0] > len(stack):
             marks.pop()
         hard = hard if hard <= len(stack) else 0
-        _, apart, root, link = stack[-1] if stack else ("", False, 0, False)
-        silent = sum(1 for s in stack if s[0] in _SILENT)
+        _, apart, root, link, silent = stack[-1] if stack else ("", False, 0, False, 0)
+
+    def cut(depth: int) -> None:
+        for s in stack[depth:]:
+            standing[s[0]] -= 1
+        del stack[depth:]
+        restore()
 
     while at < end:
         m = _TOKEN.search(html, at)
@@ -205,10 +212,9 @@ def _read(html: str, cleared: frozenset[int]) -> tuple[list[Block], list[tuple[s
             if name in _BREAKS:
                 flush()
                 heading = False
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if standing[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
-                    restore()
+                    cut(i)
                     break
                 if name not in _BREAKS and stack[i][0] in _BREAKS:
                     break  # an inline end tag doesn't close blocks
@@ -230,8 +236,7 @@ def _read(html: str, cleared: frozenset[int]) -> tuple[list[Block], list[tuple[s
             ends = {"p"} | ({name} if name in ("li", "option", "tr", "td", "th", "dt", "dd") else set())
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends:
-                    del stack[i:]
-                    restore()
+                    cut(i)
                     break
                 if stack[i][0] in _BREAKS:
                     break
@@ -247,7 +252,8 @@ def _read(html: str, cleared: frozenset[int]) -> tuple[list[Block], list[tuple[s
             apart = True
         link = link or name == "a"
         silent += name in _SILENT
-        stack.append((name, apart, root, link))
+        stack.append((name, apart, root, link, silent))
+        standing[name] += 1
     flush()
     return found, held, roots > 0
 

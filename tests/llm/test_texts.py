@@ -485,3 +485,19 @@ def test_scores(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)  # a lower perplexity on held-out texts
     assert all(r["score"] < 0 for r in got)
     assert pitman_yor.lm_scores(written(rows.where("false"), "lm-none")).count() == 0
+
+
+def test_deep_pages():
+    """Depth and end tags without a start cost time in proportion only."""
+    assert html.main_text("<div>" * 50_000 + f"<p>{PROSE} {PROSE}</p>" + "</div>" * 50_000) == f"{PROSE} {PROSE}"
+    assert html.main_text("<div>" * 50_000 + "</section>" * 50_000 + f"<p>{PROSE} {PROSE}</p>") == f"{PROSE} {PROSE}"
+
+
+def test_pages_that_repeat_and_extra_columns(spark):
+    page = f"<article><p>{PROSE}</p></article>"
+    rows = [(1, "u", page, "x", 7), (1, "u", page, "x", 7), (None, None, None, None, None), (2, "v", "", "y", 8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html.extract(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got.collect()) == [(0, "", 0), (1, PROSE, len(PROSE)), (1, PROSE, len(PROSE)), (2, "", 0)]
+    assert html.extract(pages.limit(0)).collect() == []
