@@ -43,7 +43,8 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Trained scores and tokenizers can't be said in SQL; tests/llm holds every stage against brute force.
+#: Trained scores and tokenizers can't be said in SQL. tests/llm holds near copies against brute force and the other stages against their
+#: operators, of which SQL checks decontamination; the two classifiers have held-out labels only.
 ORACLE_SQL = None
 
 
