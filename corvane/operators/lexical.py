@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions import text as X
-from corvane.functions.encoders import VOCABULARY, stem, term_index
+from corvane.functions.encoders import VOCABULARY, counted, place_of, stem_word
 
 K1, B = 1.2, 0.75
 #: Fixed value: the average length that stored lexical weights assume.
@@ -28,16 +31,20 @@ def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     return each.groupBy(id, "len", "term").agg(F.count("*").alias("tf")).select(id, "term", "tf", "len")
 
 
-def stemmed(posted: DataFrame, id: str = "doc_id") -> DataFrame:
-    """Postings by stem. Only distinct terms pass through Python."""
-    stems = posted.select("term").distinct().withColumn("stem", stem("term"))
-    return posted.join(stems, "term").groupBy(id, "len", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf")).select(id, "term", "tf", "len")
+def _named(docs: DataFrame, id: str, text: str, name: Callable[[str], object], kind: T.DataType, key: str) -> DataFrame:
+    listed = docs.select(id, X.terms(F.col(text)).alias("_t"))
+    each = listed.select(id, F.size("_t").cast("long").alias("len"), F.explode(counted(F.col("_t"), name, kind)).alias("_c"))
+    return each.select(id, F.col("_c.term").alias(key), F.col("_c.tf").alias("tf"), "len")
+
+
+def stemmed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Postings by stem (id, term, tf, len), a document's counted where it stands: no shuffle. Rows that share an id are counted apart."""
+    return _named(docs, id, text, stem_word, T.StringType(), "term")
 
 
-def hashed(posted: DataFrame, id: str = "doc_id", vocabulary: int = VOCABULARY) -> DataFrame:
-    """Postings by hashed term (id, idx, tf, len); terms that share a place add up."""
-    places = posted.select("term").distinct().withColumn("idx", term_index(F.col("term"), vocabulary))
-    return posted.join(places, "term").groupBy(id, "len", "idx").agg(F.sum("tf").alias("tf")).select(id, "idx", "tf", "len")
+def hashed(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+    """Postings by hashed stem (id, idx, tf, len), as stemmed; stems that share a place add up."""
+    return _named(docs, id, text, lambda term: place_of(stem_word(term), vocabulary), T.LongType(), "idx")
 
 
 def saturation(tf: Column, length: Column, average: Column | float) -> Column:

@@ -224,13 +224,13 @@ def sparse_dot_topk(spark, d):
 
 @register("bm25_stemmed")
 def bm25_stemmed(spark, d):
-    posted = lexical.stemmed(lexical.postings(table(spark, d, "documents")))
+    posted = lexical.stemmed(table(spark, d, "documents"))
     return lexical.encode(posted, 400).withColumn("weight", F.round("weight", 6))
 
 
 @register("sparse_encoded")
 def sparse_encoded(spark, d):
-    posted = lexical.hashed(lexical.stemmed(lexical.postings(table(spark, d, "documents"))))
+    posted = lexical.hashed(table(spark, d, "documents"))
     return lexical.encode(posted, 400, key="idx").withColumn("weight", F.round("weight", 6))
 
 

@@ -22,7 +22,7 @@ def points(documents: DataFrame, config: dict, now: Column | None = None) -> Dat
     rows = cut.join(documents.select("document_id", "filename", "content_type", "document_version"), "document_id").withColumn("index_version", F.lit(config["version"]))
     rows = rows.withColumn("id", point_id(F.col("document_id"), F.col("document_version"), F.col("index_version"), F.col("chunk_index")))
     rows = rows.withColumn("_embed", X.embed_text(F.col("text"), F.array("filename"), F.col("section_path")))
-    posted = lexical.hashed(lexical.stemmed(lexical.postings(rows, "id", "_embed"), "id"), "id")
+    posted = lexical.hashed(rows, "id", "_embed")
     weights = lexical.encode(posted, lexical.AVERAGE, "id", "idx").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("sparse"))
     whole = rows.withColumn("dense", dense_encoder(config["dense_dimension"])("_embed")).join(weights, "id", "left")
     whole = whole.withColumn("sparse", F.coalesce("sparse", F.array().cast("array<struct<idx:bigint,weight:double>>"))).withColumn("created_at", F.current_timestamp() if now is None else now)

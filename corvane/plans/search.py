@@ -25,11 +25,11 @@ def candidates(points: DataFrame, queries: DataFrame, fused: DataFrame, most: in
 
 def meta(queries: DataFrame, dense: DataFrame, sparse: DataFrame, ranked: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
     """A row for each query: candidates, best scores, whether it was reranked, and the gate."""
-    count = lambda x, name: x.groupBy("query_id").agg(F.count("*").alias(name))
-    best = lambda x, name: x.groupBy("query_id").agg(F.max("score").alias(name))
+    lists = (dense, "dense_candidates", "top_dense_score"), (sparse, "sparse_candidates", "top_sparse_score"), (ranked, "n_results", "top_rerank_score")
     rows = queries.select("query_id")
-    for part in (count(dense, "dense_candidates"), count(sparse, "sparse_candidates"), best(dense, "top_dense_score"), best(ranked, "top_rerank_score"), count(ranked, "n_results")):
-        rows = rows.join(part, "query_id", "left")
+    for part, n, best in lists:
+        rows = rows.join(part.groupBy("query_id").agg(F.count("*").alias(n), F.max("score").alias(best)), "query_id", "left")
+    rows = rows.select("query_id", "dense_candidates", "sparse_candidates", "top_dense_score", "top_rerank_score", "n_results")
     for name in ("dense_candidates", "sparse_candidates", "n_results"):
         rows = rows.withColumn(name, F.coalesce(name, F.lit(0)))
     rows = rows.withColumn("reranked", F.col("n_results") > 0).withColumn("low_confidence", ranking.low_confidence(F.col("top_rerank_score"), F.col("top_dense_score")))

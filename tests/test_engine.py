@@ -1,10 +1,12 @@
 """Ranking, control, index, ingestion, streams and evaluation."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import encoders, text
 from corvane.operators import control, evaluate, lexical, ranking
 from corvane.plans import ingest
 from corvane.sources import parsers
@@ -57,10 +59,25 @@ def test_saturation_and_length(spark):
 
 def test_inflections_meet(spark):
     docs = spark.createDataFrame([(1, "операционные затраты"), (2, "операционных затрат")], "doc_id long, text string")
-    found = lexical.stemmed(lexical.postings(docs)).groupBy("term").count().collect()
+    found = lexical.stemmed(docs).groupBy("term").count().collect()
     assert {r["count"] for r in found} == {2}
 
 
+def test_stems_and_places_by_document(spark, monkeypatch):
+    monkeypatch.setattr(encoders, "REMEMBERED", 3)
+    texts = [None, "", "the of", "Running runs RUN операций операциями", "run, jumping. jumped? jumps", "naïve " * 40 + "word " * 7, "run, jumping. jumped? jumps"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    stems, places = Counter(), Counter()
+    for r in docs.select("doc_id", text.terms(F.col("text")).alias("t")).collect():
+        for t in r["t"]:
+            stems[r["doc_id"], encoders.stem_word(t), len(r["t"])] += 1
+            places[r["doc_id"], encoders.place_of(encoders.stem_word(t), 5), len(r["t"])] += 1
+    assert {(r["doc_id"], r["term"], r["len"]): r["tf"] for r in lexical.stemmed(docs).collect()} == stems
+    assert {(r["doc_id"], r["idx"], r["len"]): r["tf"] for r in lexical.hashed(docs, vocabulary=5).collect()} == places
+    nothing = lexical.hashed(docs.limit(0))
+    assert nothing.columns == ["doc_id", "idx", "tf", "len"] and not nothing.count()
+
+
 def test_backoff(spark):
     got = spark.range(1, 10).select(control.backoff(F.col("id")).alias("d")).collect()
     assert [r["d"] for r in got] == [1, 3, 10, 30, 30, 30, 30, 30, 30]
