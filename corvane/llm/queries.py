@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontamination, hard_negatives, html, jaccard_join, media, merkle, packing, pitman_yor, quality, simple8b, token_counts, toxicity
+from corvane.llm import chats, decontamination, hard_negatives, html, jaccard_join, media, merkle, packing, pitman_yor, quality, simple8b, token_counts, toxicity
 
 END_ID = 2
 
@@ -76,6 +76,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations through the template of marked turns, read back."""
+    return chats.digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten negatives for each of five positives of every hundredth embedding."""
     return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
@@ -87,8 +92,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_lm_scoring, op4_toxicity, op5_token_binary, op6_ngram_jaccard_join, op7_quality_classifier, op8_token_counts, op9_media_columns, op10_benchmark_decontamination, op12_hard_negatives, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_lm_scoring, op4_toxicity, op5_token_binary, op6_ngram_jaccard_join, op7_quality_classifier, op8_token_counts, op9_media_columns, op10_benchmark_decontamination, op11_chat_formatting, op12_hard_negatives, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_benchmark_decontamination": decontamination.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op10_benchmark_decontamination": decontamination.SQL, "op11_chat_formatting": chats.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_merkle_manifest": merkle.SQL}
