@@ -1,19 +1,32 @@
-"""Exact dense search: cosine top-k of a stated set of queries against all points, in blocks."""
+"""Exact dense search: cosine top-k of a table of queries against all points, with cells of points that are skipped whole.
+
+A bounded sample of the points gives the cells' centres. Points go to the cell of their nearest centre, and a cell's points into blocks
+of at most `BLOCK`; a block has the mean direction of its points and their largest angle to it. By the triangle inequality for angles no point
+of a block can be nearer to a query than the query's angle to the centre, less that radius. The queries, in blocks too, meet the blocks' heads
+(centre and radius) first. Where the bound is under what the sample alone gives as the query's k-th best, the block is skipped for the query:
+its points aren't sent to meet it. What is left is joined by block, and scored as a product of matrices. The sample only decides how much is skipped, not the result.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.functions import vectors as V
 from corvane.operators.lexical import top
+from corvane.schemas import ABOUT, FILTER
+from corvane.sources.scratch import written
 
-#: Numbers in the query matrix that goes to every task, at most; more queries are run in blocks of as many as fit.
-MATRIX = 1 << 24
+#: Numbers in the sample of points at most, cells at most, points and queries in a block.
+SAMPLE, CELLS, BLOCK, ASKED = 1 << 21, 256, 1024, 256
+#: More than rounding changes in a score of unit vectors.
+SLACK = 1e-8
 
 
 def unit(points: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -21,49 +34,177 @@ def unit(points: DataFrame, id: str = "vec_id", vector: str = "embedding") -> Da
     return points.select(id, V.l2_normalize(V.doubles(F.col(vector))).alias("v"))
 
 
-def dense_top(points: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest points of each query (query_id, vector) by cosine.
+def passes(asked: dict | None, about: list[dict]) -> np.ndarray:
+    """Which points pass a query's filter: the documents asked for (none named: all), their version, the moment of their making."""
+    fine = np.ones(len(about), dtype=bool)
+    if not asked:
+        return fine
+    if asked["document_ids"]:
+        wanted = set(asked["document_ids"])
+        fine &= np.fromiter((a["document_id"] in wanted for a in about), dtype=bool, count=len(about))
+    if asked["document_version"] is not None:
+        fine &= np.fromiter((a["document_version"] == asked["document_version"] for a in about), dtype=bool, count=len(about))
+    if asked["created_from"] is not None or asked["created_to"] is not None:
+        low, high = asked["created_from"], asked["created_to"]
+        fine &= np.fromiter((a["created_at"] is not None and (low is None or a["created_at"] >= low) and (high is None or a["created_at"] <= high) for a in about), dtype=bool, count=len(about))
+    return fine
 
-    The queries form a matrix; every batch of points is multiplied with it and keeps its own k best
-    for each query, so that what is shuffled is k rows a query and batch. Queries over the matrix bound go in blocks, one pass each.
-    """
-    spark = points.sparkSession
-    rows = queries.select("query_id", V.doubles(F.col(vector)).alias("v")).orderBy("query_id").toLocalIterator()
-    schema = f"query_id long, {id} long, score double"
-    parts: list[DataFrame] = []
-    block: list = []
-    size = 0
-
-    def run(block: list) -> DataFrame:
-        names = np.array([r[0] for r in block], dtype=np.int64)
-        matrix = np.array([r[1] for r in block], dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        held = spark.sparkContext.broadcast((names, matrix / np.where(norms == 0, 1, norms)))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, matrix = held.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                v = np.stack([np.asarray(x, dtype=np.float64) for x in batch.column(1).to_pylist()])
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                scores = np.round(matrix @ (v / np.where(n == 0, 1, n)).T, 9)
-                for q in range(len(names)):
-                    best = np.lexsort((ids, -scores[q]))[:k]
-                    yield pa.RecordBatch.from_pydict({"query_id": np.full(len(best), names[q]), id: ids[best], "score": scores[q][best]})
-
-        return points.select(F.col(id).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(score, schema)
 
+def _units(vectors: list[list[float]]) -> np.ndarray:
+    v = np.array(vectors, dtype=np.float64).reshape(len(vectors), -1)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n == 0, 1, n)
+
+
+def _mapped(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], fields: T.StructType) -> DataFrame:
+    """work over a task's rows as dicts, a few at a time."""
+    target = to_arrow_schema(fields)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                yield from batch.slice(at, BLOCK).to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in work(rows(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in target], schema=target)
+
+    return df.mapInArrow(run, fields)
+
+
+def centres(sample: np.ndarray, most: int = CELLS) -> np.ndarray:
+    """Directions that a sample of unit vectors gathers around: a few rounds of spherical k-means, from rows spread over the sample."""
+    k = max(1, min(most, int(np.sqrt(len(sample)))))
+    found = sample[np.linspace(0, len(sample) - 1, k).astype(int)]
+    for _ in range(6):
+        mine = np.argmax(sample @ found.T, axis=1)
+        sums = np.zeros_like(found)
+        np.add.at(sums, mine, sample)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        found = np.where(norms > 0, sums / np.where(norms == 0, 1, norms), found)
+    return found
+
+
+def sampled(points: DataFrame, vector: str, extra: list[Column]) -> tuple[np.ndarray, list[dict]]:
+    """Unit vectors of a bounded sample of the points (SAMPLE numbers at most, by smallest hash of the vector), and what filters are held against."""
+    points = points.where(F.col(vector).isNotNull())
+    first = points.select(F.size(vector).alias("d")).where("d > 0").first()
+    if first is None:
+        return np.zeros((0, 1)), []
+    most = max(16, SAMPLE // first["d"])
+    rows = points.select(V.doubles(F.col(vector)).alias("v"), *extra).orderBy(F.xxhash64(vector)).limit(most).collect()
+    return _units([r["v"] for r in rows]), [r["about"].asDict() if r["about"] else None for r in rows]
+
+
+def cells(points: DataFrame, id: str, vector: str, around: np.ndarray, about: Column) -> DataFrame:
+    """Blocks of points of one cell: (block, ids, about, v, centre, radius). A cell's points may be in many blocks and tasks."""
+    kind = points.schema[id].dataType
+    flat = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("id", kind), T.StructField("about", ABOUT), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    out = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("about", T.ArrayType(ABOUT)), T.StructField("v", T.BinaryType()), T.StructField("centre", T.BinaryType()), T.StructField("radius", T.DoubleType())])
+
+    def place(rows: Iterator[dict]) -> Iterator[dict]:
+        for some in _runs(rows, lambda r: None):
+            v = _units([r["v"] for r in some])
+            yield {"cell": np.argmax(v @ around.T, axis=1).astype(np.int32), "id": [r["id"] for r in some], "about": [r["about"] for r in some], "v": list(v)}
+
+    def pack(rows: Iterator[dict]) -> Iterator[dict]:
+        for some in _runs(rows, lambda r: r["cell"]):
+            v = np.array([r["v"] for r in some])
+            mean = _units([v.sum(axis=0)])
+            cosines = v @ mean[0]
+            odd = not mean.any() or (np.linalg.norm(v, axis=1) < 0.5).any()  # no direction: never skipped
+            yield {"ids": [[r["id"] for r in some]], "about": [[r["about"] for r in some]], "v": [v.tobytes()], "centre": [mean.tobytes()], "radius": [np.pi if odd else float(np.arccos(np.clip(cosines.min(), -1, 1)))]}
+
+    placed = _mapped(points.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), about.alias("about"), V.doubles(F.col(vector)).alias("v")), place, flat)
+    salt = F.pmod(F.xxhash64("id"), F.lit(64))  # a cell that holds much of all points goes to many tasks
+    packed = _mapped(placed.repartition("cell", salt).sortWithinPartitions("cell"), pack, out)
+    return packed
+
+
+def _runs(rows: Iterator[dict], key: Callable[[dict], object]) -> Iterator[list[dict]]:
+    """Neighbours with the same key, BLOCK at most."""
+    held: list[dict] = []
     for row in rows:
-        block.append(row)
-        size += len(row[1])
-        if size >= MATRIX:
-            parts.append(run(block))
-            block, size = [], 0
-    if block or not parts:
-        parts.append(run(block) if block else spark.createDataFrame([], schema))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+        if held and (len(held) >= BLOCK or key(row) != key(held[0])):
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
+
+
+def dense_top(points: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", about: Column | None = None) -> DataFrame:
+    """The k nearest points of each query (query_id, vector[, k][, filter]) by cosine: (query_id, id, score, rank).
+
+    A query's own k, if there, holds instead; its filter is held against `about`, a struct of what ABOUT names. Points and queries
+    without a vector are passed over; a vector of zeros has the score 0.
+    """
+    query_kind, id_kind = queries.schema["query_id"].dataType, points.schema[id].dataType
+    told = F.lit(None).cast(ABOUT) if about is None else about.cast(ABOUT)
+    sample, sample_about = sampled(points, vector, [told.alias("about")])
+    if not len(sample):
+        return points.sparkSession.createDataFrame([], T.StructType([T.StructField("query_id", query_kind), T.StructField(id, id_kind)]).add("score", "double").add("rank", "long"))
+    blocks = written(cells(points, id, vector, centres(sample), told).withColumn("block", F.monotonically_increasing_id()), "cells")  # read twice
+    own_k = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
+    own_filter = F.col("filter").cast(FILTER) if "filter" in queries.columns else F.lit(None).cast(FILTER)
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col("query_id").alias("q"), own_k.alias("k"), own_filter.alias("filter"), V.doubles(F.col(vector)).alias("v"))
+    listed = T.StructType([T.StructField("q", T.ArrayType(query_kind)), T.StructField("k", T.ArrayType(T.IntegerType())), T.StructField("filter", T.ArrayType(FILTER)), T.StructField("v", T.BinaryType()), T.StructField("least", T.ArrayType(T.DoubleType()))])
+
+    def ask(rows: Iterator[dict]) -> Iterator[dict]:
+        """Queries in blocks, with the score that the k-th best of the sample has."""
+        held: list[dict] = []
+
+        def block(some: list[dict]) -> dict:
+            v = _units([r["v"] for r in some])
+            scores, least = v @ sample.T, []
+            for s, r in zip(scores, some, strict=True):
+                fit = s[passes(r["filter"], sample_about)] if r["filter"] else s
+                least.append(float(np.partition(fit, -r["k"])[-r["k"]]) if 0 < r["k"] <= len(fit) else -2.0)
+            return {"q": [[r["q"] for r in some]], "k": [[r["k"] for r in some]], "filter": [[r["filter"] for r in some]], "v": [v.tobytes()], "least": [least]}
+
+        for row in rows:
+            held.append(row)
+            if len(held) == ASKED:
+                yield block(held)
+                held = []
+        if held:
+            yield block(held)
+
+    def meet(rows: Iterator[dict]) -> Iterator[dict]:
+        """The queries of a block that a block of points may matter to."""
+        for r in rows:
+            centre = np.frombuffer(r["centre"])
+            v = np.frombuffer(r["v"]).reshape(-1, len(centre))
+            angles = np.arccos(np.clip(v @ centre, -1, 1))
+            bound = np.cos(np.maximum(0.0, angles - r["radius"]))
+            bound = np.where(~v.any(axis=1) | (r["radius"] >= np.pi), 2.0, bound)
+            near = np.flatnonzero(bound >= np.array(r["least"]) - SLACK)
+            if len(near):
+                yield {"block": [r["block"]], "q": [[r["q"][i] for i in near]], "k": [[r["k"][i] for i in near]], "filter": [[r["filter"][i] for i in near]], "v": [v[near].tobytes()], "least": [[r["least"][i] for i in near]]}
+
+    def score(rows: Iterator[dict]) -> Iterator[dict]:
+        for r in rows:
+            ids = r["ids"]
+            p = np.frombuffer(r["points"]).reshape(len(ids), -1)
+            scores = np.round(np.frombuffer(r["v"]).reshape(-1, p.shape[1]) @ p.T, 9)
+            order = {x: i for i, x in enumerate(sorted(range(len(ids)), key=lambda i: ids[i]))}
+            places = np.array([order[i] for i in range(len(ids))])
+            q, found, value = [], [], []
+            for s, name, k, wanted, least in zip(scores, r["q"], r["k"], r["filter"], r["least"], strict=True):
+                fit = np.flatnonzero((s >= least - SLACK) & (passes(wanted, r["about"]) if wanted else True))
+                best = fit[np.lexsort((places[fit], -s[fit]))[:k]]
+                q += [name] * len(best)
+                found += [ids[i] for i in best]
+                value += s[best].tolist()
+            yield {"query_id": q, id: found, "score": value}
+
+    packs = _mapped(asked, ask, listed)
+    heads = blocks.select("block", "centre", "radius")
+    wanted = _mapped(heads.crossJoin(packs), meet, T.StructType([T.StructField("block", T.LongType()), *listed.fields]))
+    joined = wanted.join(blocks.select("block", "ids", "about", F.col("v").alias("points")), "block")
+    scored = _mapped(joined, score, T.StructType([T.StructField("query_id", query_kind), T.StructField(id, id_kind), T.StructField("score", T.DoubleType())]))
+    if "k" in queries.columns:
+        ranked = top(scored, queries.agg(F.max("k")).first()[0] or 0, id=id)
+        return ranked.join(queries.select("query_id", F.col("k").alias("_k")), "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
     return top(scored, k, id=id)
+

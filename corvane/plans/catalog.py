@@ -326,6 +326,137 @@ def expansion_fusion(spark, d):
     variants = asked.select("query_id", F.col("query_id").alias("variant_id"), F.array_join(F.slice(X.words(F.col("text")), 1, 8), " ").alias("text"), "embedding")
     return ranking.fuse(search.expansion_lists(pts, variants, 50)).select("query_id", "doc_id", "rank")
 
+# --- the stored index ----------------------------------------------------------------------------------------------
+
+#: Places of terms in the small index of these queries: the first 32 bits of a term's SHA-256.
+_PLACES = 1 << 20
+
+
+def _place(term: str) -> int:
+    import hashlib
+
+    return int(hashlib.sha256(term.encode()).hexdigest()[:8], 16) % _PLACES
+
+
+def _sparse_vector(docs: DataFrame, id: str) -> DataFrame:
+    """docs with their lexical vector (sparse), counted where they stand."""
+    from pyspark.sql import types as T
+
+    listed = docs.withColumn("_t", X.terms(F.col("text"))).withColumn("_n", F.size("_t"))
+    weigh = lambda c: F.struct(c["term"].alias("idx"), lexical.saturation(c["tf"], F.col("_n"), float(lexical.AVERAGE)).alias("weight"))
+    return listed.withColumn("sparse", F.transform(encoders.counted(F.col("_t"), _place, T.LongType()), weigh)).drop("_t", "_n")
+
+
+def _index(spark, d):
+    """An index of all documents, a point each, in version 2; version 1 has other points."""
+    from corvane.schemas import POINT
+    from corvane.sources.index import PointIndex
+    from corvane.sources.scratch import folder
+
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), V.doubles(F.col("embedding")).alias("dense"))
+    most = vectors.agg(F.max("_v")).first()[0] + 1
+    docs = _sparse_vector(table(spark, d, "documents"), "doc_id").withColumn("_v", F.col("doc_id") % most).join(vectors, "_v")
+    given = {"id": F.format_string("p%09d", "doc_id"), "document_id": F.col("doc_id").cast("string"), "document_version": (F.col("doc_id") % 3 + 1).cast("int"), "index_version": F.lit(2), "chunk_index": F.lit(0).cast("long"), "filename": F.col("source"), "content_type": F.lit("text/plain"), "text": F.col("text"), "created_at": F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 100 as int))"), "dense": F.col("dense"), "sparse": F.col("sparse")}
+    points = docs.select(*((given[f.name] if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in POINT))
+    index = PointIndex(spark, folder(spark, "index"), buckets=8, shards=4)
+    index.ensure(2, 64)
+    index.upsert(points)
+    return index
+
+
+def _index_requests(spark, d) -> DataFrame:
+    """Benchmark items as requests with vectors."""
+    most = table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), V.doubles(F.col("embedding")).alias("dense"))
+    asked = _sparse_vector(_asked(spark, d), "query_id").withColumn("_v", F.col("query_id") % most)
+    return asked.join(vectors, "_v").drop("_v")
+
+
+def _index_sql(wanted: str = "true", seen: str = "true", k: int = 50) -> str:
+    """CTEs that end in ir(query_id, doc_id, score, rank): the fused list of each request, and dn1, sp1 of its two lists."""
+    sparse = lambda id, source: f"SELECT {id}, idx, sum(tf) * 2.2 / (sum(tf) + 1.2 * (0.25 + 0.75 * n / 400.0)) AS w FROM (SELECT {id}, n, ('0x' || substr(sha256(term), 1, 8))::BIGINT % {_PLACES} AS idx, count(*) AS tf FROM (SELECT {id}, len(t) AS n, unnest(t) AS term FROM (SELECT {id}, {_terms('text')} AS t FROM {source})) GROUP BY ALL) GROUP BY {id}, n, idx"
+    return f"""{_ASKED}, most AS (SELECT max(vec_id) + 1 AS m FROM embeddings),
+  dw AS ({sparse('doc_id', 'documents')}), qw AS ({sparse('query_id', 'asked')}),
+  du AS (SELECT doc_id, {_unit("embedding")} AS v FROM documents, most JOIN embeddings ON vec_id = doc_id % m), qu AS (SELECT query_id, {_unit("embedding")} AS v FROM asked, most JOIN embeddings ON vec_id = query_id % m),
+  dn0 AS (SELECT query_id, doc_id, round(list_dot_product(qu.v, du.v), 9) AS score FROM qu, du WHERE {wanted} AND {seen}),
+  sp0 AS (SELECT query_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (idx) WHERE {wanted} GROUP BY ALL),
+  dn1 AS ({_ranked('dn0', k)}), sp1 AS ({_ranked('sp0', k)}),
+  if0 AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60.0::DOUBLE + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM dn1 UNION ALL SELECT query_id, doc_id, rank FROM sp1) GROUP BY ALL),
+  ir AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM if0)"""
+
+
+_SHOWN = "query_id, 'S' || rank AS source_id, doc_id::VARCHAR AS document_id, score, rank"
+_INDEX_RERANK = f""", cand AS (SELECT f.query_id, f.doc_id, list_distinct({_words('lower(q.text)')}) AS x, list_distinct({_words('lower(left(d.text, 4000))')}) AS y FROM ir f JOIN asked q USING (query_id) JOIN documents d USING (doc_id) WHERE rank <= 50),
+  rr AS (SELECT query_id, doc_id, {_jaccard('x', 'y')} AS score FROM cand), top AS ({_ranked('rr', 10)})"""
+
+
+@register("index_search", f"WITH {_index_sql()}{_INDEX_RERANK} SELECT {_SHOWN} FROM top")
+def index_search(spark, d):
+    """Hybrid search over the stored points and postings of the active version, reranked."""
+    from corvane.plans.index_search import Options, search_index, word_overlap
+
+    found, _ = search_index(_index(spark, d), _index_requests(spark, d), options=Options(rerank=word_overlap))
+    return found.select("query_id", "source_id", "document_id", "score", "rank")
+
+
+#: Filters by request: every second one asks for a version, every third for a span of days, every fifth for documents; toxic documents are excluded.
+_WANTED = f"""doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND (query_id // {EVERY} % 2 = 1 OR doc_id % 3 + 1 = 2)
+  AND (query_id // {EVERY} % 3 > 0 OR (doc_id % 100 >= 10 AND doc_id % 100 <= 70)) AND (query_id // {EVERY} % 5 > 0 OR doc_id % 4 = 1)"""
+
+
+@register("index_search_filtered", f"WITH {_index_sql(_WANTED)} SELECT {_SHOWN} FROM ir WHERE rank <= 7 + query_id // {EVERY} % 4")
+def index_search_filtered(spark, d):
+    """Requests with filters and limits of their own; without a reranker the fused order stays."""
+    from corvane.plans.index_search import search_index
+
+    n = F.floor(F.col("query_id") / EVERY)
+    day = lambda i: F.expr(f"timestamp'2024-01-01 00:00:00' + make_dt_interval({i})")
+    named = table(spark, d, "documents").where("doc_id % 4 = 1").agg(F.collect_set(F.col("doc_id").cast("string")).alias("_named"))
+    asked = _index_requests(spark, d).crossJoin(F.broadcast(named)).select(
+        "query_id", "text", "dense", "sparse", F.when(n % 2 == 0, 2).alias("document_version"), F.when(n % 3 == 0, day(10)).alias("created_from"), F.when(n % 3 == 0, day(70)).alias("created_to"),
+        F.when(n % 5 == 0, F.col("_named")).alias("document_ids"), (7 + n % 4).cast("int").alias("limit"),
+    )
+    excluded = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("document_id"))
+    known = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"))
+    found, _ = search_index(_index(spark, d), asked, known, excluded)
+    return found.select("query_id", "source_id", "document_id", "score", "rank")
+
+
+#: Requests whose reranking fails, and those whose dense encoder did.
+_FAILED, _BLIND = f"query_id // {EVERY} % 2 = 1", f"query_id // {EVERY} % 3 = 0"
+
+
+@register("rerank_fallback", f"""WITH {_index_sql(seen=f"NOT ({_BLIND})")}{_INDEX_RERANK}, m AS (SELECT query_id, NOT ({_FAILED}) AS reranked, NOT ({_BLIND}) AS dense_available,
+    (SELECT count(*) FROM dn1 WHERE dn1.query_id = a.query_id) AS dense_candidates, (SELECT count(*) FROM sp1 WHERE sp1.query_id = a.query_id) AS sparse_candidates, (SELECT least(10, count(*)) FROM ir WHERE ir.query_id = a.query_id) AS n_results,
+    (SELECT max(score) FROM dn1 WHERE dn1.query_id = a.query_id) AS top_dense_score, CASE WHEN {_FAILED} THEN NULL ELSE (SELECT max(score) FROM top WHERE top.query_id = a.query_id) END AS top_rerank_score FROM asked a)
+  SELECT *, CASE WHEN top_rerank_score IS NOT NULL THEN top_rerank_score < 0.45 ELSE coalesce(dense_available AND top_dense_score < 0.6, false) END AS low_confidence FROM m""")
+def rerank_fallback(spark, d):
+    """What the meta rows declare where the reranker fails for some requests, and the dense encoder did for others."""
+    from corvane.plans.index_search import Options, search_index, word_overlap
+
+    def failing(candidates):
+        told = word_overlap(candidates)
+        return told.withColumn("error", F.when(F.expr(_FAILED.replace("//", "DIV")), "RERANK_TIMEOUT"))
+
+    asked = _index_requests(spark, d).withColumn("dense", F.when(~F.expr(_BLIND.replace("//", "DIV")), F.col("dense")))
+    _, meta = search_index(_index(spark, d), asked, options=Options(rerank=failing))
+    return meta.select("query_id", "reranked", "dense_available", "dense_candidates", "sparse_candidates", "n_results", "top_dense_score", "top_rerank_score", "low_confidence")
+
+
+@register("index_upsert", """SELECT index_version, document_version, count(*) AS n, CAST(sum(n_terms) AS BIGINT) AS n_terms FROM (
+    SELECT 2 AS index_version, CAST(CASE WHEN doc_id % 4 = 0 THEN 9 ELSE doc_id % 3 + 1 END AS INTEGER) AS document_version, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE t END AS n_terms
+    FROM (SELECT doc_id, len(list_distinct(list_transform(""" + _terms("text") + f""", lambda x: ('0x' || substr(sha256(x), 1, 8))::BIGINT % {_PLACES}))) AS t FROM documents) WHERE doc_id % 10 <> 3
+  ) GROUP BY ALL""")
+def index_upsert(spark, d):
+    """Every fourth document written anew without terms, every tenth deleted: what the points and their postings then hold."""
+    index = _index(spark, d)
+    again = index.active().where(F.col("document_id").cast("long") % 4 == 0)
+    index.upsert(again.withColumn("document_version", F.lit(9)).withColumn("sparse", F.slice("sparse", 1, 0)))
+    index.delete_documents(index.active().where(F.col("document_id").cast("long") % 10 == 3).select("document_id"))
+    posted = index.postings(2).select("bucket", F.explode("ords").alias("ord")).groupBy("bucket", "ord").agg(F.count("*").alias("t"))
+    held = index.placed().select("index_version", "document_version", "bucket", "ord").join(posted, ["bucket", "ord"], "left")
+    return held.groupBy("index_version", "document_version").agg(F.count("*").alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_terms"))
+
 
 # --- structure -----------------------------------------------------------------------------------------------------
 

@@ -43,3 +43,8 @@ POINT = T.StructType([
     T.StructField("text", _S), T.StructField("section_path", T.ArrayType(_S)), T.StructField("page_from", _I), T.StructField("page_to", _I), T.StructField("table_id", _S), T.StructField("table_markdown", _S),
     T.StructField("created_at", _TS), T.StructField("dense", T.ArrayType(_D)), T.StructField("sparse", T.ArrayType(_struct(idx=_L, weight=_D))),
 ])
+#: What a search may ask of a point beside nearness (all fields may be null), and what that is held against; moments are microseconds.
+FILTER = _struct(document_ids=T.ArrayType(_S), document_version=_I, created_from=_L, created_to=_L)
+ABOUT = _struct(document_id=_S, document_version=_I, created_at=_L)
+#: A block of postings of the index.
+POSTED = _struct(idx=_L, block=_I, best=_D, ords=T.ArrayType(_I), weights=T.ArrayType(_D), index_version=_I, bucket=_I, shard=_I)

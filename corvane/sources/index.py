@@ -1,7 +1,12 @@
-"""The point index: Parquet by index version, with a pointer file to the version in use.
+"""The point index: points and their postings in Parquet, by index version and bucket, with a pointer file to what is in use.
 
-Writing goes to a fresh folder and is made valid by renaming a small pointer over the old one, so that a reader sees the
-old state or the new one. There is one writer at a time.
+A point lies in the bucket that its document's hash gives; a document of very many chunks is spread over several. A write reads and
+rewrites the buckets it touches and no others: their new files go to a fresh folder (a generation), and renaming a small
+pointer over the old one makes them valid, so a reader sees the old state or the new one. The pointer names the generation of each
+(version, bucket). Files that neither it nor the pointer before it names are deleted. There is one writer at a time.
+
+Beside its points a bucket has their postings: for each term of the hashed vocabulary blocks of at most BLOCK postings in the order
+of the points, with the block's largest weight, sharded by term, so that a search reads the shards of its terms only.
 """
 
 from __future__ import annotations
@@ -9,18 +14,27 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.vectors import is_valid
-from corvane.schemas import POINT
+from corvane.schemas import POINT, POSTED
+
+#: Chunks of a document that share a bucket, and postings in a block.
+SPREAD, BLOCK = 4096, 128
+#: Properties that a collection is made with, and their defaults.
+PROPERTIES = {"dimension": None, "distance": "cosine", "weighting": "none", "vocabulary": 1 << 20}
+
+_PLACED = T.StructType([*POINT.fields, T.StructField("ord", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
 
 
 class PointIndex:
-    """Points under a root folder: root/data-*/index_version=N/..., root/STATE naming the data folder and the active version."""
+    """Points under a root folder: root/points and root/postings by generation, index version and bucket; root/STATE."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, shards: int = 8):
+        """buckets and shards count for a new index; an index keeps those it was made with. A bucket should hold some 50,000 points at most."""
+        self.spark, self.root, self._new = spark, root.rstrip("/"), {"buckets": buckets, "shards": shards}
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -32,15 +46,15 @@ class PointIndex:
         # between the two renames of a commit only the old pointer is there
         path = next((p for p in (self._path(f"{self.root}/{n}") for n in ("STATE", ".STATE-old", "STATE")) if self._fs.exists(p)), None)
         if path is None:
-            return {"data": None, "active": None, "dimension": None}
+            return {"active": None, "parts": {}, "before": {}, **PROPERTIES, **self._new}
         stream = self._fs.open(path)
         try:
             return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
 
-    def _commit(self, **changes) -> dict:
-        state = self.state() | changes
+    def _commit(self, state: dict, **changes) -> dict:
+        state = state | changes
         draft, final = self._path(f"{self.root}/.STATE-{uuid.uuid4().hex}"), self._path(f"{self.root}/STATE")
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps(state).encode()))
@@ -55,29 +69,61 @@ class PointIndex:
 
     # --- provisioning ---
 
-    def ensure(self, version: int, dimension: int) -> dict:
-        """Create the index where there is none; a dimension other than the stored one is an error."""
+    def ensure(self, version: int, dimension: int, **properties) -> dict:
+        """Create the index where there is none. A dimension, distance or vocabulary other than the stored one is an error; another weighting of sparse vectors is taken over, as it only says how they are read."""
         state = self.state()
         if state["active"] is None:
-            return self._commit(active=version, dimension=dimension)
-        if state["dimension"] != dimension:
+            unknown = properties.keys() - PROPERTIES.keys()
+            if unknown:
+                raise ValueError(f"no such properties: {sorted(unknown)}")
+            return self._commit(state, active=version, dimension=dimension, **properties)
+        asked = {"dimension": dimension, **properties}
+        drift = {k: v for k, v in asked.items() if state.get(k) != v}
+        if "dimension" in drift:
             raise ValueError(f"the index has {state['dimension']} dimensions, not {dimension}")
-        return state
+        if drift.keys() - {"weighting"}:
+            raise ValueError(f"the index has other properties: {({k: state.get(k) for k in drift})}, not {drift}")
+        return self._commit(state, **drift) if drift else state
+
+    def drift(self, **expected) -> DataFrame:
+        """(property, expected, actual) where the stored description differs from what is expected; an index that isn't there differs in all."""
+        state = self.state()
+        stored = state if state["active"] is not None else {}
+        rows = [(k, json.dumps(v), json.dumps(stored.get(k))) for k, v in sorted(expected.items()) if k not in stored or stored[k] != v]
+        return self.spark.createDataFrame(rows, "property string, expected string, actual string")
 
     def drop(self) -> None:
         self._fs.delete(self._path(self.root), True)
 
     # --- reading ---
 
+    def _read(self, kind: str, schema: T.StructType, parts: dict[str, str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.root}/{kind}/gen={gen}/index_version={name.split('/')[0]}/bucket={name.split('/')[1]}" for name, gen in sorted(parts.items())]
+        found = [p for p in paths if self._fs.exists(self._path(p))] if kind == "postings" else paths  # a bucket without terms has no postings
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}").parquet(*found).select(*schema.names)
+
+    def _version_parts(self, version: int | None) -> dict[str, str]:
+        parts = self.state()["parts"]
+        return parts if version is None else {k: g for k, g in parts.items() if k.startswith(f"{version}/")}
+
+    def placed(self, version: int | None = None) -> DataFrame:
+        """Points with their bucket and their place (ord) in it, of one version or all. Only the version's folders are listed."""
+        return self._read("points", _PLACED, self._version_parts(version))
+
+    def postings(self, version: int) -> DataFrame:
+        """(idx, block, best, ords, weights, index_version, bucket, shard) of one version."""
+        return self._read("postings", POSTED, self._version_parts(version))
+
     def points(self) -> DataFrame:
-        data = self.state()["data"]
-        if data is None:
-            return self.spark.createDataFrame([], POINT)
-        return self.spark.read.schema(POINT).parquet(f"{self.root}/{data}")
+        return self.placed().select(*POINT.names)
 
     def active(self) -> DataFrame:
-        """Points of the active version; partitions of others aren't read."""
-        return self.points().where(F.col("index_version") == self.state()["active"])
+        """Points of the active version; files of others aren't even listed."""
+        return self.placed(self.state()["active"]).select(*POINT.names)
 
     def retrieve(self, ids: DataFrame) -> DataFrame:
         return self.points().join(ids.select("id").distinct(), "id", "left_semi")
@@ -87,38 +133,106 @@ class PointIndex:
 
     # --- writing ---
 
-    def _replace(self, points: DataFrame, **changes) -> dict:
-        data = f"data-{uuid.uuid4().hex}"
-        points.select(*POINT.names).write.partitionBy("index_version").parquet(f"{self.root}/{data}")
-        return self._commit(data=data, **changes)
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64("document_id", F.floor(F.col("chunk_index") / SPREAD)), F.lit(buckets)).cast("int").alias("bucket")
+
+    def _swap(self, state: dict, rows: DataFrame, touched: list[str], **changes) -> dict:
+        """Write the rows of the touched parts as a new generation and point to it. rows have a bucket and hold all that these parts are to have."""
+        gen = uuid.uuid4().hex
+        own = Window.partitionBy("index_version", "bucket").orderBy("id")
+        rows = rows.select(*POINT.names, "bucket").withColumn("ord", F.row_number().over(own) - 1)
+        rows.write.partitionBy("index_version", "bucket").parquet(f"{self.root}/points/gen={gen}")
+        there = {p: gen for p in touched if self._fs.exists(self._path(f"{self.root}/points/gen={gen}/index_version={p.split('/')[0]}/bucket={p.split('/')[1]}"))}
+        if there:
+            self._write_postings(self._read("points", _PLACED, there), gen, state["shards"])
+        parts = {k: g for k, g in state["parts"].items() if k not in touched} | there
+        new = self._commit(state, parts=parts, before=state["parts"], **changes)
+        self._vacuum(new)
+        return new
+
+    def _write_postings(self, placed: DataFrame, gen: str, shards: int) -> None:
+        keys = ["index_version", "bucket", "idx"]
+        each = placed.select("index_version", "bucket", "ord", F.inline("sparse").alias("idx", "weight"))
+        block = (F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1) / BLOCK)).cast("int")
+        listed = each.withColumn("block", block).groupBy(*keys, "block").agg(F.max("weight").alias("best"), F.array_sort(F.collect_list(F.struct("ord", "weight"))).alias("l"))
+        rows = listed.select(*keys, "block", "best", F.col("l.ord").alias("ords"), F.col("l.weight").alias("weights"), F.pmod("idx", F.lit(shards)).cast("int").alias("shard"))
+        order = ["index_version", "bucket", "shard"]
+        rows.repartition(*order).sortWithinPartitions(*order, "idx", "block").write.partitionBy(*order).parquet(f"{self.root}/postings/gen={gen}")
+
+    def _vacuum(self, state: dict) -> None:
+        """Delete the folders of parts that neither the pointer nor the one before it names."""
+        live = {(g, *k.split("/")) for parts in (state["parts"], state["before"]) for k, g in parts.items()}
+        name = lambda status: status.getPath().getName()
+        for kind in ("points", "postings"):
+            top = self._path(f"{self.root}/{kind}")
+            for gen in self._fs.listStatus(top) if self._fs.exists(top) else []:
+                g = name(gen).partition("=")[2]
+                if not any(x[0] == g for x in live):
+                    self._fs.delete(gen.getPath(), True)
+                    continue
+                for version in self._fs.listStatus(gen.getPath()):
+                    for bucket in self._fs.listStatus(version.getPath()) if version.isDirectory() else []:
+                        if (g, name(version).partition("=")[2], name(bucket).partition("=")[2]) not in live:
+                            self._fs.delete(bucket.getPath(), True)
+
+    def _staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), path
 
     def upsert(self, new: DataFrame) -> dict:
-        """Add points; those whose id is there are replaced. Repeated ids in new keep one row. Bad vectors are an error."""
-        dimension = self.state()["dimension"]
-        if dimension is not None and not new.where(~is_valid(F.col("dense"), dimension)).isEmpty():
-            raise ValueError("INVALID_DIMENSION: a dense vector has the wrong size or a number that isn't finite")
-        new = new.dropDuplicates(["id"])
-        return self._replace(self.points().join(new.select("id"), "id", "left_anti").unionByName(new.select(*POINT.names)))
+        """Add points; those whose id is there are replaced. Repeated ids in new keep one row. Bad vectors are an error.
+
+        new is computed once, into a staged copy. The buckets it touches are rewritten, the files of all others stay as they are.
+        """
+        state = self.state()
+        staged, path = self._staged(new.select(*POINT.names, self._bucket(state["buckets"])))
+        try:
+            dimension = state["dimension"]
+            if dimension is not None and not staged.where(~is_valid(F.col("dense"), dimension)).isEmpty():
+                raise ValueError("INVALID_DIMENSION: a dense vector has the wrong size or a number that isn't finite")
+            touched = [f"{r[0]}/{r[1]}" for r in staged.select("index_version", "bucket").distinct().collect()]  # versions x buckets at most
+            if not touched:
+                return state
+            staged = staged.dropDuplicates(["bucket", "id"])
+            old = self._read("points", _PLACED, {k: g for k, g in state["parts"].items() if k in touched})
+            kept = old.join(staged.select("bucket", "id"), ["bucket", "id"], "left_anti")
+            return self._swap(state, kept.select(*POINT.names, "bucket").unionByName(staged), touched)
+        finally:
+            self._fs.delete(self._path(path), True)
 
     def delete_documents(self, documents: DataFrame, version: int | None = None) -> dict:
-        """Delete the points of documents (document_id), of one version or of all. Missing ones do no harm."""
+        """Delete the points of documents (document_id), of one version or of all. Missing ones do no harm. Only buckets that hold points of theirs are rewritten."""
+        state = self.state()
         gone = documents.select("document_id").distinct()
-        if version is not None:
-            gone = gone.withColumn("index_version", F.lit(version))
-        return self._replace(self.points().join(gone, gone.columns, "left_anti"))
+        mine = self.placed(version).select("document_id", "index_version", "bucket").join(gone, "document_id", "left_semi")
+        touched = [f"{r[0]}/{r[1]}" for r in mine.select("index_version", "bucket").distinct().collect()]
+        if not touched:
+            return state
+        old = self._read("points", _PLACED, {k: g for k, g in state["parts"].items() if k in touched})
+        return self._swap(state, old.join(gone, "document_id", "left_anti"), touched)
 
     def verify(self, document: str, version: int, expected: int, sample: list[str]) -> bool:
         """Whether a document has as many points as it should, the sampled ids among them."""
-        mine = self.points().where((F.col("document_id") == document) & (F.col("index_version") == version))
+        mine = self.placed(version).where(F.col("document_id") == document)
         return mine.count() == expected and mine.where(F.col("id").isin(*sample)).count() == len(set(sample))
 
+    def counted(self, documents: DataFrame, version: int) -> DataFrame:
+        """documents (document_id, expected) with n, their points in a version, and whether that is what is expected."""
+        n = self.placed(version).groupBy("document_id").agg(F.count("*").alias("n"))
+        found = documents.join(n, "document_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        return found.withColumn("whole", F.col("n") == F.col("expected"))
+
     def cutover(self, target: int, drop_source: bool = True) -> dict:
-        """Make a version the active one, if every document of the old one is in it; then drop the old."""
-        source = self.state()["active"]
-        missing = self.points().where(F.col("index_version") == source).select("document_id").distinct().join(self.points().where(F.col("index_version") == target).select("document_id"), "document_id", "left_anti")
-        if source != target and not missing.isEmpty():
+        """Make a version the active one, if every document of the old one is in it; then drop the old, which takes no rewriting."""
+        state = self.state()
+        source = state["active"]
+        if source == target:
+            return state
+        missing = self.placed(source).select("document_id").distinct().join(self.placed(target).select("document_id"), "document_id", "left_anti")
+        if not missing.isEmpty():
             raise ValueError("documents of the active version are missing in the target")
-        state = self._commit(active=target)
-        if drop_source and source is not None and source != target:
-            state = self._replace(self.points().where(F.col("index_version") != source))
-        return state
+        keep = {k: g for k, g in state["parts"].items() if not (drop_source and k.startswith(f"{source}/"))}
+        new = self._commit(state, active=target, parts=keep, before=state["parts"])
+        self._vacuum(new)
+        return new
