@@ -1,12 +1,14 @@
 """Markdown structure as DataFrame plans: lines, tables, section paths, chunks and table facts.
 
-A document becomes a row for each line; windows over its lines give the sections and the ends of tables. Which
-table headers count is sequential (a header inside an earlier table doesn't), so the few candidates of a
-document are folded. Rows carry the document's id only; no step gathers more than one document.
+A document becomes a row for each line, and running windows over its lines give sections and tables, so that a line carries what
+the lines before it come to and no list of them. Which table headers count seems sequential, as a header inside an earlier table doesn't. But the line
+after a header is a rule, which ends the table before it; so a header lies in the table of the header just before it or in none, and of
+headers that each lie in the one before every second counts. Rows carry the document's id only; no step gathers more than one table.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +41,19 @@ def outlined(lined: DataFrame, id: str = "doc_id") -> DataFrame:
     L is on the path if no heading of level L or less came after it. All of this is windows over the lines of one document: one shuffle.
     """
     order, back, whole = Window.partitionBy(id).orderBy("line"), Window.partitionBy(id).orderBy(F.desc("line")), Window.partitionBy(id)
+    sofar, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     body = F.col("row") & ~F.col("separator")
     ends = lined.withColumn("_stop", F.min(F.when(~body, F.col("line"))).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = ends.withColumn("_stop", F.lead("_stop", 2).over(order)).withColumn("_head", F.col("row") & F.lead("separator").over(order))
-    head = F.when(F.col("_head"), F.struct(F.col("line").alias("start"), F.coalesce("_stop", F.max("line").over(whole) + 1).alias("end")))
-    listed = ends.withColumn("_t", head).withColumn("_t", F.array_sort(F.collect_list("_t").over(whole)))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    free = lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(acc, F.array(x))).otherwise(acc)
-    taken = F.when(F.size("_t") == 0, none).otherwise(F.aggregate("_t", none, free))
-    mine = F.filter(F.transform(taken, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("table"))), lambda x: (F.col("line") >= x["start"]) & (F.col("line") < x["end"]))
-    marked = listed.withColumn("_m", F.get(mine, F.lit(0))).select(*lined.columns, F.col("_m.table").alias("table"), F.col("_m.start").alias("start"), F.col("_m.end").alias("end"))
+    ends = ends.withColumn("_end", F.coalesce(F.lead("_stop", 2).over(order), F.max("line").over(whole) + 1)).withColumn("_head", F.col("row") & F.coalesce(F.lead("separator").over(order), F.lit(False)))
+    within = F.coalesce(F.last(F.when(F.col("_head"), F.col("_end")), ignorenulls=True).over(before) > F.col("line"), F.lit(False))
+    nested = ends.withColumn("_n", F.sum(F.col("_head").cast("int")).over(sofar)).withColumn("_first", F.col("_head") & ~within)
+    since = F.col("_n") - F.last(F.when(F.col("_first"), F.col("_n")), ignorenulls=True).over(sofar)
+    counted = nested.withColumn("_taken", F.col("_head") & (since % 2 == 0))
+    own = F.last(F.when(F.col("_taken"), F.struct(F.col("line").alias("start"), F.col("_end").alias("end"))), ignorenulls=True).over(sofar)
+    held = counted.withColumn("_m", own).withColumn("_t", F.sum(F.col("_taken").cast("int")).over(sofar).cast("int") - 1)
+    inside = F.col("line") < F.col("_m.end")
+    marked = held.select(*lined.columns, *(F.when(inside, c).alias(n) for c, n in ((F.col("_t"), "table"), (F.col("_m.start"), "start"), (F.col("_m.end"), "end"))))
     marked = marked.withColumn("heading", (F.col("level") > 0) & F.col("table").isNull())
-    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
     for n in _LEVELS:
         marked = marked.withColumn(f"_h{n}", F.last(F.when(F.col("heading") & (F.col("level") == n), F.struct("line", "title")), ignorenulls=True).over(sofar))
     keeps = []
@@ -122,27 +125,40 @@ def _prose(docs: DataFrame, marked: DataFrame, size: int, overlap: int, id: str,
     return span.select(id, "from", "to", F.lit(0).alias("part"), body.alias("text"), "path", "token_count", F.lit(None).cast("int").alias("table_index"))
 
 
+def _groups(size: int):
+    """A column function from the word counts of a table's rows and of its header to the number of each row's group: rows go in order into groups of as many words as the size leaves."""
+
+    @F.pandas_udf("array<int>")
+    def place(counts: pd.Series, header: pd.Series, whole: pd.Series) -> pd.Series:
+        def one(n, head, total):
+            group, used, out = 0, None, []
+            for x in n:
+                if total > size and used is not None and used + x > max(1, size - head):
+                    group, used = group + 1, 0
+                used = (used or 0) + x
+                out.append(group)
+            return out
+
+        return pd.Series([one(*x) for x in zip(counts, header, whole, strict=True)])
+
+    return place
+
+
 def _table_chunks(marked: DataFrame, size: int, id: str) -> DataFrame:
+    """A chunk for each group of rows of a table, with the table's two head lines; a table without rows is one chunk."""
     count = lambda c: F.size(X.words(c))
     inside = marked.where("table is not null").withColumn("n", count(F.col("bare")))
-    grouped = inside.groupBy(id, "table", "start", "end").agg(F.array_sort(F.collect_list(F.struct("line", "bare", "n", "at", F.length("raw").alias("len"), "path"))).alias("l"))
-    head, rows = F.slice("l", 1, 2), F.slice("l", 3, F.greatest(F.size("l") - 2, F.lit(0)))
-    total = F.aggregate("l", F.lit(0), lambda acc, x: acc + x["n"])
-    budget = F.greatest(F.lit(1), F.lit(size) - F.col("l")[0]["n"])
-    # greedy groups as a fold: the group of each row, and what the open group holds
-    start = F.struct(F.array().cast("array<int>").alias("g"), F.lit(0).alias("k"), F.lit(0).alias("used"), F.lit(False).alias("any"))
-
-    def place(acc: Column, x: Column) -> Column:
-        over = acc["any"] & (acc["used"] + x["n"] > budget)
-        k = F.when(over, acc["k"] + 1).otherwise(acc["k"])
-        return F.struct(F.concat(acc["g"], F.array(k)).alias("g"), k.alias("k"), F.when(over, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), F.lit(True).alias("any"))
-
-    split = F.when(total <= size, F.transform(rows, lambda x: F.lit(0))).otherwise(F.aggregate(rows, start, place)["g"])
-    parts = grouped.select(id, "table", head.alias("head"), rows.alias("rows"), split.alias("g"), "l").select("*", F.explode(F.sequence(F.lit(0), F.coalesce(F.array_max("g"), F.lit(0)))).alias("part"))
-    mine = F.filter(F.col("rows"), lambda x, i: F.element_at("g", i + 1) == F.col("part"))
-    body = X.strip(F.array_join(F.transform(F.concat("head", mine), lambda x: x["bare"]), "\n"))
-    last = F.element_at("l", -1)
-    return parts.select(id, F.col("l")[0]["at"].cast("int").alias("from"), (last["at"] + last["len"]).cast("int").alias("to"), "part", body.alias("text"), F.col("l")[0]["path"].alias("path"), count(body).cast("long").alias("token_count"), F.col("table").alias("table_index"))
+    line = F.struct("line", "bare", "n", "at", F.length("raw").alias("len"), "path")
+    is_head = F.col("line") < F.col("start") + 2
+    grouped = inside.groupBy(id, "table").agg(F.array_sort(F.collect_list(F.when(is_head, line))).alias("head"), F.array_sort(F.collect_list(F.when(~is_head, F.struct("line", "n")))).alias("r"), F.sum("n").alias("total"), F.max_by(F.col("at") + F.length("raw"), "line").cast("int").alias("to"))
+    spread = grouped.select(id, "table", "head", "to", "r", _groups(size)(F.col("r.n"), F.col("head")[0]["n"], F.col("total")).alias("g"))
+    first = F.struct(F.lit(-1).alias("line"), F.lit(0).alias("part"))  # the first part is there without rows, too
+    parts = spread.select(id, "table", F.inline(F.concat(F.array(first), F.arrays_zip(F.col("r.line").alias("line"), F.col("g").alias("part")))))
+    said = inside.select(id, "table", "line", "bare")
+    texts = parts.join(said, [id, "table", "line"], "left").groupBy(id, "table", "part").agg(F.array_sort(F.collect_list(F.when(F.col("line") >= 0, F.struct("line", "bare")))).alias("rows"))
+    each = texts.join(spread.select(id, "table", "head", "to"), [id, "table"])
+    body = X.strip(F.array_join(F.concat(F.col("head.bare"), F.col("rows.bare")), "\n"))
+    return each.select(id, F.col("head")[0]["at"].cast("int").alias("from"), "to", "part", body.alias("text"), F.col("head")[0]["path"].alias("path"), count(body).cast("long").alias("token_count"), F.col("table").alias("table_index"))
 
 
 def chunks(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: str = "text", pages: str | None = None) -> DataFrame:
@@ -163,36 +179,48 @@ def chunks(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: s
     )
 
 
-def facts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fact, table_index, row_index, caption, section_path, headers, cells, text, table_markdown): a row for each table row that isn't blank."""
-    lined = lines(docs, id, text)
-    marked = outlined(lined, id)
+def _facts(marked: DataFrame, id: str) -> DataFrame:
     order = Window.partitionBy(id).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     above = F.last(F.when(X.strip(F.col("bare")) != "", F.struct("bare", "row", "separator", "level")), ignorenulls=True).over(order)
-    captioned = marked.withColumn("_above", above)
     a = F.col("_above")
     caption = F.when(a.isNull() | a["row"] | a["separator"] | (a["level"] > 0), F.lit("")).otherwise(X.strip_cell(a["bare"]))
-    inside = captioned.where("table is not null")
-    heads = inside.where("line = start").select(id, "table", caption.alias("caption"), X.split_row(F.col("bare")).alias("headers"), F.col("path").alias("section_path"))
-    whole = inside.groupBy(id, "table").agg(F.array_sort(F.collect_list(F.struct("line", X.rstrip(F.col("bare")).alias("t")))).alias("l")).select(id, "table", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("body"))
-    rows = inside.where("line > start + 1").select(id, "table", "line", X.split_row(F.col("bare")).alias("cells")).where(F.exists("cells", lambda c: c != ""))
+    head = F.when(F.col("line") == F.col("start"), F.struct(caption.alias("caption"), X.split_row(F.col("bare")).alias("headers"), F.col("path").alias("section_path")))
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    inside = marked.withColumn("_above", above).withColumn("_own", F.last(head, ignorenulls=True).over(sofar)).where("table is not null and line > start + 1")
+    cells = inside.withColumn("cells", X.split_row(F.col("bare"))).where(F.exists("cells", lambda c: c != "")).select(id, "table", "line", "cells", "_own.*")
     named = F.transform("cells", lambda c, i: F.when(c == "", None).when((i < F.size("headers")) & (F.get("headers", i) != ""), F.concat(F.get("headers", i), F.lit(": "), c)).otherwise(c))
     said = F.array_join(F.filter(named, lambda p: p.isNotNull()), "; ")
     lead = F.when(F.col("caption") == "", F.lit("")).otherwise(F.concat("caption", F.lit(". ")))
-    joined = rows.join(heads, [id, "table"]).join(whole, [id, "table"])
-    return joined.select(
+    return cells.select(
         id, (F.row_number().over(Window.partitionBy(id).orderBy("line")) - 1).cast("long").alias("fact"), F.col("table").alias("table_index"), (F.row_number().over(Window.partitionBy(id, "table").orderBy("line")) - 1).cast("long").alias("row_index"),
-        "caption", "section_path", "headers", "cells", F.concat(lead, said, F.lit(".")).alias("text"), F.concat(F.when(F.col("caption") == "", F.lit("")).otherwise(F.concat("caption", F.lit("\n"))), "body").alias("table_markdown"),
+        "caption", "section_path", "headers", "cells", F.concat(lead, said, F.lit(".")).alias("text"),
     )
 
 
-def units(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: str = "text", pages: str | None = None) -> DataFrame:
-    """Chunks and facts as one table: facts are numbered from FACT_BASE, and table chunks carry their whole table. kind is prose, table or fact."""
-    told = facts(docs, id, text)
-    wholes = told.select(id, "table_index", "table_markdown").distinct()
-    cut = chunks(docs, size, overlap, id, text, pages).join(wholes, [id, "table_index"], "left")
-    rows = told.select(
-        id, (F.col("fact") + FACT_BASE).alias("chunk_index"), "text", "section_path", F.lit(None).cast("int").alias("page_from"), F.lit(None).cast("int").alias("page_to"), F.size(X.words(F.col("text"))).cast("long").alias("token_count"), "table_index", "table_markdown",
-    )
+def _wholes(marked: DataFrame, told: DataFrame, id: str) -> DataFrame:
+    """(id, table_index, table_markdown) of tables that have facts: the caption over the table's lines."""
+    lined = marked.where("table is not null").groupBy(id, F.col("table").alias("table_index")).agg(F.array_sort(F.collect_list(F.struct("line", X.rstrip(F.col("bare")).alias("t")))).alias("l"))
+    named = told.groupBy(id, "table_index").agg(F.first("caption").alias("caption"))
+    whole = F.concat(F.when(F.col("caption") == "", F.lit("")).otherwise(F.concat("caption", F.lit("\n"))), F.array_join("l.t", "\n"))
+    return lined.join(named, [id, "table_index"]).select(id, "table_index", whole.alias("table_markdown"))
+
+
+def facts(docs: DataFrame, id: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
+    """(id, fact, table_index, row_index, caption, section_path, headers, cells, text[, table_markdown]): a row for each table row that isn't blank.
+
+    With `whole` each fact carries its whole table, which is what the index stores; without it the table's size doesn't matter.
+    """
+    marked = outlined(lines(docs, id, text), id)
+    told = _facts(marked, id)
+    return told.join(_wholes(marked, told, id), [id, "table_index"]).select(*told.columns, "table_markdown") if whole else told
+
+
+def units(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: str = "text", pages: str | None = None, whole: bool = True) -> DataFrame:
+    """Chunks and facts as one table: facts are numbered from FACT_BASE, and what comes from tables carries its whole table (if `whole`). kind is prose, table or fact."""
+    told = facts(docs, id, text, whole=False)
+    rows = told.select(id, (F.col("fact") + FACT_BASE).alias("chunk_index"), "text", "section_path", F.lit(None).cast("int").alias("page_from"), F.lit(None).cast("int").alias("page_to"), F.size(X.words(F.col("text"))).cast("long").alias("token_count"), "table_index")
+    both = chunks(docs, size, overlap, id, text, pages).select(rows.columns).unionByName(rows)
+    if whole:
+        both = both.join(_wholes(outlined(lines(docs, id, text), id), told, id), [id, "table_index"], "left").select(*rows.columns, "table_markdown")
     kind = F.when(F.col("chunk_index") >= FACT_BASE, "fact").when(X.strip(F.col("text")).startswith("|"), "table").otherwise("prose")
-    return cut.select(rows.columns).unionByName(rows).withColumn("kind", kind)
+    return both.withColumn("kind", kind)

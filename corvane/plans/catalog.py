@@ -26,15 +26,6 @@ _S: dict[str, str] = {}
 EVERY = 20
 SIZE, OVERLAP = 512, 64
 
-#: A small corpus with what the tables lack: headings, tables and Russian text.
-MARKDOWN = [
-    (1, "policy.md", "# Leave\n\nStaff get leave every year.\n\n## Sick leave\n\nTell **your lead** on the first day.\n\n# Travel\nBook early.\n"),
-    (2, "costs.md", "## Costs\n\nAll sums are in roubles.\n\n**Table 1 — Costs**\n\n| Item | 2045 | Note |\n|---|---:|---|\n| Rent | 562 500 | yearly |\n| Heat |  | none |\n| | | |\n| Light | 1 200 | x | extra |\n\nMore prose | with a bar\nand an end.\n"),
-    (3, "rules.md", "a pipe | b\n---\nc | d\n### Deep\n| h |\n|---|\n# Top\n\ntail words here\n"),
-    (4, "opex.md", "# Затраты\n\nТаблица 17 Операционные затраты\n| Год | Сумма |\n|:--|--:|\n" + "".join(f"| {2020 + i} | {i * 12} 500 |\n" for i in range(30)) + "\nКонец раздела.\n"),
-    (5, "empty.md", ""),
-]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -489,23 +480,50 @@ def point_ids(spark, d):
     return _windows(spark, d).select("doc_id", "chunk_index", identity.point_id(F.col("doc_id"), F.lit(1), F.lit(1), F.col("chunk_index")).alias("point_id"))
 
 
-def _markdown(spark) -> DataFrame:
-    return spark.createDataFrame(MARKDOWN, "doc_id long, filename string, text string")
+#: Characters that end lines beside the line feed, and those that mean something in Markdown.
+_BREAKS, _MARKS = r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", "|#*_`"
 
 
-@register("table_facts")
-def table_facts(spark, d):
-    return structure.facts(_markdown(spark))
+def _markdown(spark, d) -> DataFrame:
+    """A Markdown file of each document: two headings, its text, a captioned table of its words by eight, and a last section."""
+    clean = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), _BREAKS, " "), _MARKS, " " * len(_MARKS))
+    eight = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 8).cast("int")), lambda i: F.slice("w", i * 8 + 1, 8))
+    rows = F.transform(eight, lambda x: F.concat(F.lit("| "), F.array_join(x, " "), F.lit(" | "), F.size(x).cast("string"), F.lit(" |")))
+    said = F.when(F.size("w") > 0, F.array_join(rows, "\n")).otherwise(F.lit(""))
+    whole = F.concat(F.lit("# S"), "source", F.lit("\n\n## L"), "lang", F.lit("\n\n"), F.col("clean"), F.lit("\n\nTable "), F.col("doc_id").cast("string"), F.lit("\n| words | n |\n|---|---:|\n"), said, F.lit("\n\n# End\n\ndone\n"))
+    return table(spark, d, "documents").withColumn("clean", clean).withColumn("w", X.words(F.col("clean"))).select("doc_id", whole.alias("text"))
+
 
+_MD = rf"""WITH c AS (SELECT doc_id, source, lang, translate(regexp_replace(coalesce(text, ''), '{_BREAKS}', ' ', 'g'), '{_MARKS}', '{" " * len(_MARKS)}') AS clean FROM documents),
+  md AS (SELECT *, {_words('clean')} AS w FROM c),
+  r AS (SELECT doc_id, source, lang, i, w[i * 8 + 1 : i * 8 + 8] AS e FROM (SELECT *, unnest(range(0, (len(w) + 7) // 8)) AS i FROM md))"""
 
-@register("table_chunks")
+
+@register("table_facts", f"{_MD} SELECT doc_id, i AS fact, 'Table ' || doc_id AS caption, concat('S', source, ' / L', lang) AS path, concat('Table ', doc_id, '. words: ', array_to_string(e, ' '), '; n: ', len(e), '.') AS text FROM r")
+def table_facts(spark, d):
+    told = structure.facts(_markdown(spark, d), whole=False)
+    return told.select("doc_id", "fact", "caption", F.array_join("section_path", " / ").alias("path"), "text")
+
+
+#: Chunks: word windows of the text and the caption, groups of 42 table rows (a row has up to 12 words, and 507 are left beside the header), and the last section.
+@register("table_chunks", rf"""{_MD}, p AS (SELECT doc_id, source, lang, regexp_extract_all(regexp_replace(concat(clean, chr(10), chr(10), 'Table ', doc_id), '^{_SPACE}+', ''), '{_SPACE}+|[^\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+') AS p FROM md),
+  n AS (SELECT *, (len(p) + 1) // 2 AS n FROM p), s AS (SELECT *, unnest(range(0, CAST(ceil(greatest(n - {SIZE}, 0) / {SIZE - OVERLAP}.0) AS BIGINT) + 1)) AS k FROM n),
+  prose AS (SELECT doc_id, k AS o, k, least({SIZE}, n - k * {SIZE - OVERLAP}) AS token_count, concat('S', source, ' / L', lang) AS path, 'prose' AS kind, array_to_string(p[k * {2 * (SIZE - OVERLAP)} + 1 : k * {2 * (SIZE - OVERLAP)} + 2 * least({SIZE}, n - k * {SIZE - OVERLAP}) - 1], '') AS text FROM s),
+  t AS (SELECT doc_id, any_value(source) AS source, any_value(lang) AS lang, coalesce(i // 42, 0) AS k, count(i) AS rows, coalesce(sum(len(e) + 4), 0) AS words, string_agg(concat('| ', array_to_string(e, ' '), ' | ', len(e), ' |'), chr(10) ORDER BY i) AS body FROM (SELECT md.doc_id, md.source, md.lang, r.i, r.e FROM md LEFT JOIN r USING (doc_id)) GROUP BY doc_id, coalesce(i // 42, 0)),
+  tables AS (SELECT doc_id, 1000000 + k AS o, k, 6 + words AS token_count, concat('S', source, ' / L', lang) AS path, 'table' AS kind, concat('| words | n |', chr(10), '|---|---:|', CASE WHEN rows > 0 THEN concat(chr(10), body) ELSE '' END) AS text FROM t),
+  ends AS (SELECT doc_id, 2000000 AS o, 0 AS k, 1 AS token_count, 'End' AS path, 'prose' AS kind, 'done' AS text FROM md)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS chunk_index, CAST(token_count AS BIGINT) AS token_count, path, kind, sha256(text) AS digest FROM (SELECT * FROM prose UNION ALL SELECT * FROM tables UNION ALL SELECT * FROM ends)
+  UNION ALL SELECT doc_id, {identity.FACT_BASE} + i, CAST(len(e) + 5 AS BIGINT), concat('S', source, ' / L', lang), 'fact', sha256(concat('Table ', doc_id, '. words: ', array_to_string(e, ' '), '; n: ', len(e), '.')) FROM r""")
 def table_chunks(spark, d):
-    return structure.units(_markdown(spark), 40, 8)
+    cut = structure.units(_markdown(spark, d), SIZE, OVERLAP, whole=False)
+    return cut.select("doc_id", "chunk_index", "token_count", F.array_join("section_path", " / ").alias("path"), "kind", F.sha2("text", 256).alias("digest"))
 
 
-@register("section_paths")
+@register("section_paths", rf"""{_MD}, l AS (SELECT doc_id, source, lang, len(string_split(clean, chr(10))) AS t, (len(w) + 7) // 8 AS n FROM md),
+  e AS (SELECT *, unnest(range(0, 4 + t + 2 + 2 + greatest(n, 1) + 4)) AS line FROM l)
+  SELECT doc_id, line, CASE WHEN line < 2 THEN concat('S', source) WHEN line < 4 + t + 2 + 2 + greatest(n, 1) + 1 THEN concat('S', source, ' / L', lang) ELSE 'End' END AS path, CAST(line >= 4 + t + 2 AS BIGINT) AS segment FROM e""")
 def section_paths(spark, d):
-    lined = structure.lines(_markdown(spark))
+    lined = structure.lines(_markdown(spark, d))
     return structure.outlined(lined).select("doc_id", F.col("line").cast("long").alias("line"), F.array_join("path", " / ").alias("path"), "segment")
 
 
