@@ -144,36 +144,47 @@ def products(a: Vectors, b: Vectors, i: np.ndarray, j: np.ndarray) -> np.ndarray
     return out
 
 
-def survivors(a: Vectors, b: Vectors, cuts: list[int], mine: slice, alive: np.ndarray, seen, keep) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i, j) of the anchors `mine` and b's rows, alive at first, that no cut discards.
+def survivors(a: Vectors, b: Vectors, cuts: list[int], mine: slice, alive: np.ndarray, floor: np.ndarray, roof: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, integer product) of the anchors `mine` and b's rows that are alive, where the product is from the anchor's floor to its roof.
 
-    seen(low, high, alive) is told bounds of the scores of all pairs; keep(i, low, high) says which pairs of some anchors are to stay.
+    After each cut the pairs are discarded whose bounds lie outside. While many are left, products of all with all are quicker than those of single pairs.
     """
     dims = a.q.shape[1]
     rounding = (8.0 * dims**1.5 + 64) * np.finfo(np.float64).eps  # the rotation's error and that of sums of dims products, relative to the norms
-    part, slack, done = np.zeros(alive.shape), rounding * np.outer(a.norm[mine], b.norm), 0
-    i, j = np.nonzero(alive)
+    part, done, pairs = np.zeros(alive.shape), 0, None
     for at, cut in enumerate(cuts):
-        if len(i) * 8 > alive.size:  # products of all with all are quicker than those of single pairs
+        left_a, left_b = a.left[at][mine], b.left[at]
+        if pairs is None:
             part += a.turned[mine, done:cut] @ b.turned[:, done:cut].T
-            rest = np.outer(a.left[at][mine], b.left[at]) + slack
-            seen(part - rest, part + rest, alive)
-            total = part[i, j]
+            rest = np.outer(left_a, left_b) + np.outer(rounding * a.norm[mine], b.norm)
+            alive = alive & (part + rest >= floor[:, None])
+            if roof is not None:
+                alive &= part - rest <= roof[:, None]
+            if np.count_nonzero(alive) * 8 < alive.size:
+                pairs = np.nonzero(alive)
+                part = part[pairs]
         else:
-            total = part[i, j] + np.einsum("ij,ij->i", a.turned[mine.start + i, done:cut], b.turned[j, done:cut])
-            part[i, j] = total
+            i, j = pairs
+            part += np.einsum("ij,ij->i", a.turned[mine.start + i, done:cut], b.turned[j, done:cut])
+            rest = left_a[i] * left_b[j] + rounding * a.norm[mine.start + i] * b.norm[j]
+            stay = part + rest >= floor[i]
+            if roof is not None:
+                stay &= part - rest <= roof[i]
+            pairs, part = (i[stay], j[stay]), part[stay]
         done = cut
-        rest = a.left[at][mine.start + i] * b.left[at][j] + slack[i, j]
-        stay = keep(i, total - rest, total + rest)
-        i, j = i[stay], j[stay]
-        alive = np.zeros_like(alive)
-        alive[i, j] = True
-    return mine.start + i, j
-
-
-def kth(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest of each row, or minus infinity where there are fewer."""
-    return np.full(len(values), -np.inf) if values.shape[1] < k else np.partition(values, -k, axis=1)[:, -k]
+    if pairs is None and a.largest * b.largest * dims < EXACT:
+        whole = a.q[mine] @ b.q.T  # exact, in whatever order it is summed
+        alive = alive & (whole >= floor[:, None])
+        if roof is not None:
+            alive &= whole <= roof[:, None]
+        i, j = np.nonzero(alive)
+        return mine.start + i, j, whole[i, j].astype(np.int64)
+    i, j = np.nonzero(alive) if pairs is None else pairs
+    score = products(a, b, mine.start + i, j)
+    fit = score >= floor[i]
+    if roof is not None:
+        fit &= score <= roof[i]
+    return mine.start + i[fit], j[fit], score[fit]
 
 
 def first(b: Vectors, i: np.ndarray, j: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,50 +215,33 @@ def _best_rows(a: Vectors, b: Vectors, cuts: list[int], least: np.ndarray, k: in
     """Each anchor's first k other rows of its label in a block."""
     for mine in _tiles(len(a.q)):
         same = (a.labels[mine, None] == b.labels) & (a.rows[mine, None] != b.rows)
-
-        def seen(low, high, alive, mine=mine):
-            least[mine] = np.maximum(least[mine], kth(np.where(alive, low, -np.inf), k))
-
-        i, j = survivors(a, b, cuts, mine, same, seen, lambda i, low, high, mine=mine: high >= least[mine.start + i])
-        score = products(a, b, i, j)
+        i, j, score = survivors(a, b, cuts, mine, same, least[mine])
         best, last = first(b, i, j, score, k)
-        least[i[last]] = np.maximum(least[i[last]], score[last])
+        least[i[last]] = np.maximum(least[i[last]], np.nextafter(score[last].astype(np.float64), -np.inf))
         i, j = i[best], j[best]
         yield {"a_row": a.rows[i].tolist(), "a_id": a.names(i), "row": b.rows[j].tolist(), "id": b.names(j), "score": score[best].tolist()}
 
 
 def _rows_in_windows(a: Vectors, b: Vectors, cuts: list[int], least: np.ndarray, k: int, given: list[list[dict]], shares: tuple[int, int]) -> Iterator[dict]:
-    """For each positive of each anchor, the first k rows of other labels in a block whose scores lie in the positive's window."""
+    """For each positive of each anchor, the first k rows of other labels in a block whose scores lie in the positive's window.
+
+    An anchor's windows overlap, so pairs are kept that may lie between the lowest end, or score to reach, and the highest end; then each window takes its own.
+    """
     most = least.shape[1]
     low_end, high_end = np.full(least.shape, (1 << 63) - 1, dtype=np.int64), np.full(least.shape, -(1 << 63), dtype=np.int64)
     for x, positives in enumerate(given):
         for y, p in enumerate(positives):  # Python's integers, as 100 times a score may not fit in 64 bits
             low_end[x, y], high_end[x, y] = -(-shares[0] * p["score"] // 100), shares[1] * p["score"] // 100
-    # as doubles, rounded outwards and inwards
-    outer = np.nextafter(low_end.astype(np.float64), -np.inf), np.nextafter(high_end.astype(np.float64), np.inf)
-    inner = np.nextafter(low_end.astype(np.float64), np.inf), np.nextafter(high_end.astype(np.float64), -np.inf)
+    # doubles, rounded outwards
+    lowest, roof = np.nextafter(low_end.astype(np.float64), -np.inf), np.nextafter(high_end.max(axis=1).astype(np.float64), np.inf)
     for mine in _tiles(len(a.q)):
-        other = a.labels[mine, None] != b.labels
-
-        def seen(low, high, alive, mine=mine):
-            for y in range(most):
-                sure = alive & (low >= inner[0][mine, y, None]) & (high <= inner[1][mine, y, None])
-                least[mine, y] = np.maximum(least[mine, y], kth(np.where(sure, low, -np.inf), k))
-
-        def keep(i, low, high, mine=mine):
-            x = mine.start + i
-            stay = np.zeros(len(i), dtype=bool)
-            for y in range(most):
-                stay |= (high >= np.maximum(outer[0][x, y], least[x, y])) & (low <= outer[1][x, y])
-            return stay
-
-        i, j = survivors(a, b, cuts, mine, other, seen, keep)
-        score = products(a, b, i, j)
+        floor = np.where(low_end[mine] <= high_end[mine], np.maximum(lowest[mine], least[mine]), np.inf).min(axis=1)
+        i, j, score = survivors(a, b, cuts, mine, a.labels[mine, None] != b.labels, floor, roof[mine])
         for y in range(most):
-            inside = np.flatnonzero((score >= low_end[i, y]) & (score <= high_end[i, y]))
+            inside = np.flatnonzero((score >= low_end[i, y]) & (score <= high_end[i, y]) & (score >= least[i, y]))
             best, last = first(b, i[inside], j[inside], score[inside], k)
             best, last = inside[best], inside[last]
-            least[i[last], y] = np.maximum(least[i[last], y], score[last])
+            least[i[last], y] = np.maximum(least[i[last], y], np.nextafter(score[last].astype(np.float64), -np.inf))
             u, v = i[best], j[best]
             p = [given[x][y] for x in u]
             yield {"a_row": a.rows[u].tolist(), "a_id": a.names(u), "p_row": [x["row"] for x in p], "p_id": [x["id"] for x in p], "p_score": [x["score"] for x in p], "row": b.rows[v].tolist(), "id": b.names(v), "score": score[best].tolist()}

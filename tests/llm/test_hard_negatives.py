@@ -55,16 +55,19 @@ def test_correlated_vectors_are_discarded_early():
     axes = np.linalg.eigh(q.T @ q)[1][:, ::-1].copy()
     row = lambda s: {"n": len(s), "rows": np.arange(len(s)).tobytes(), "ids": list(range(len(s))), "labels": np.zeros(len(s), np.int64).tobytes(), "q": np.ascontiguousarray(s).tobytes()}
     a, b = H.Vectors(row(q[:50]), "", axes, [4, 8, 16]), H.Vectors(row(q), "", axes, [4, 8, 16])
-    least = np.full(50, -np.inf)
-
-    def seen(low, high, alive):
-        least[:] = np.maximum(least, H.kth(low, 5))
-        exact = q[:50] @ q.T
-        assert (low <= exact).all() and (exact <= high).all()
-
-    i, j = H.survivors(a, b, [4, 8, 16], slice(0, 50), np.ones((50, 3000), bool), seen, lambda i, low, high: high >= least[i])
-    assert 250 <= len(i) < 2000
-    assert all(set(np.argsort(-(q[x] @ q.T), kind="stable")[:5]) <= set(j[i == x]) for x in range(50))
+    exact = (q[:50] @ q.T).astype(np.int64)
+    least = np.sort(exact, axis=1)[:, -9].astype(float)  # a score that nine rows reach
+    everything = np.ones((50, 3000), bool)
+    i, j, score = H.survivors(a, b, [4, 8, 16], slice(0, 50), everything, least, least * 1.001 + 9)
+    want = {(x, y) for x, y in zip(*np.nonzero((exact >= least[:, None]) & (exact <= least[:, None] * 1.001 + 9)), strict=True)}
+    assert set(zip(i, j, strict=True)) == want and (score == exact[i, j]).all() and len(want) >= 50
+    checked = []
+    real, H.products = H.products, lambda a, b, i, j: checked.append(len(i)) or real(a, b, i, j)
+    try:
+        H.survivors(a, b, [4, 8, 16], slice(0, 50), everything, least)
+    finally:
+        H.products = real
+    assert 450 <= sum(checked) < 1500  # of 150,000 pairs few are verified
 
 
 def test_odd_rows(spark):
