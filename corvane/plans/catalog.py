@@ -745,15 +745,34 @@ def _requests(spark, d) -> DataFrame:
     return table(spark, d, "events").select(i.cast("string").alias("document_id"), F.explode(keys).alias("idempotency_key"))
 
 
-@register("start_deletions", f"""WITH r AS (SELECT event_id = min(event_id) OVER (PARTITION BY event_id - event_id % 2) AS own, {_STATE}[CAST(doc_id % 10 AS BIGINT) + 1] AS s
-    FROM (SELECT DISTINCT event_id FROM events) LEFT JOIN documents ON doc_id = event_id),
-  a AS (SELECT s, NOT own AS taken, false AS late FROM r UNION ALL SELECT s, false, own FROM r)
-  SELECT CASE WHEN taken THEN 'IDEMPOTENCY_CONFLICT' WHEN s IS NULL THEN 'NOT_FOUND' WHEN late OR s NOT IN ('UPLOADED', 'FAILED', 'READY', 'DELETE_FAILED') THEN 'INVALID_STATE' ELSE 'started' END AS outcome, count(*) AS n FROM a GROUP BY 1""")
+#: Two documents share a key: the first in order takes it if it can start, else it is left to the second; keys of their own come after it.
+_STARTS = """WITH r AS (SELECT event_id, event_id - event_id % 2 AS pair, {reason} AS why FROM (SELECT DISTINCT event_id FROM events) LEFT JOIN documents ON doc_id = event_id),
+  o AS (SELECT why, row_number() OVER w = 1 AS leads, first_value(why) OVER w IS NULL AS lead_starts FROM r WINDOW w AS (PARTITION BY pair ORDER BY CAST(event_id AS VARCHAR))),
+  a AS (SELECT CASE WHEN NOT leads AND lead_starts THEN 'IDEMPOTENCY_CONFLICT' ELSE coalesce(why, 'started') END AS outcome FROM o
+    UNION ALL SELECT coalesce(why, CASE WHEN NOT leads AND lead_starts THEN 'started' ELSE 'INVALID_STATE' END) FROM o)
+  SELECT outcome, count(*) AS n FROM a GROUP BY 1"""
+
+
+@register("start_deletions", _STARTS.format(reason=f"CASE WHEN doc_id IS NULL THEN 'NOT_FOUND' WHEN {_STATE}[CAST(doc_id % 10 AS BIGINT) + 1] NOT IN ('UPLOADED', 'FAILED', 'READY', 'DELETE_FAILED') THEN 'INVALID_STATE' END"))
 def start_deletions(spark, d):
     told, _, _ = lifecycle.start_deletion(_control_documents(spark, d), spark.createDataFrame([], JOB), _requests(spark, d), F.lit(_NOW).cast("timestamp"))
     return told.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@register("start_ingestion", _STARTS.format(reason=f"""CASE WHEN doc_id IS NULL THEN 'NOT_FOUND' WHEN doc_id % 13 = 0 THEN 'OBJECT_MISSING' WHEN doc_id % 7 = 0 THEN 'SIZE_MISMATCH' WHEN doc_id % 3 = 0 AND doc_id % 5 = 0 THEN 'CHECKSUM_CONFLICT'
+  WHEN {_STATE}[CAST(doc_id % 10 AS BIGINT) + 1] NOT IN ('UPLOADING', 'UPLOADED', 'FAILED') THEN 'INVALID_STATE' END"""))
+def start_ingestion(spark, d):
+    """Requests for objects of which some are missing, some have another size than declared, and some another checksum."""
+    i, own = F.col("doc_id"), identity.checksum(F.col("text"))
+    told = table(spark, d, "documents").select(i.cast("string").alias("id"), F.col("n_chars").alias("size"), F.when(i % 3 == 0, own).alias("checksum"))
+    documents = _control_documents(spark, d).join(told, "id")
+    objects = table(spark, d, "documents").where("doc_id % 13 <> 0").select(i.cast("string").alias("document_id"), (F.col("n_chars") + F.when(i % 7 == 0, 1).otherwise(0)).alias("object_size"))
+    given = table(spark, d, "documents").select(i.cast("string").alias("document_id"), F.when(i % 5 == 0, "another").otherwise(own).alias("checksum"))
+    requests = _requests(spark, d).join(given, "document_id", "left")
+    outcomes, _, _ = lifecycle.start_ingestion(documents, spark.createDataFrame([], JOB), requests, F.lit(_NOW).cast("timestamp"), objects)
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @register("deleted_documents", f"""WITH s AS (SELECT doc_id, {_STATE}[CAST(doc_id % 10 AS BIGINT) + 1] AS s FROM documents),
   g AS (SELECT s.*, s IN ('UPLOADED', 'FAILED', 'READY', 'DELETE_FAILED') AND doc_id IN (SELECT event_id FROM events) AS gone FROM s)
   SELECT CASE WHEN gone THEN 'DELETED' ELSE s END AS status, CASE WHEN gone THEN 2 ELSE 0 END AS row_version, count(*) AS n FROM g GROUP BY 1, 2""")

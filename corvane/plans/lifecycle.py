@@ -6,11 +6,12 @@ request with its outcome, so that a caller writes them in one commit. What the c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import identity
 from corvane.operators import control
+from corvane.sources.scratch import written
 
 #: What may be uploaded, and from which states deletion and reindexing may start.
 UPLOAD_TYPES = ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "text/plain", "text/markdown")
@@ -28,30 +29,50 @@ def prepare_uploads(requests: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def start_jobs(documents: DataFrame, jobs: DataFrame, requests: DataFrame, kind: str, sources: tuple[str, ...], state: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(outcomes, new jobs, documents) of requests (document_id, idempotency_key[, target_index_version]).
+def _started(able: DataFrame) -> DataFrame:
+    """(document_id, _key, _at) of the requests that start, of able ones (with their place _at): as if gone through in order, each document and each key once.
 
-    There is an outcome for each pair of document and key; of repeats of a pair that with the least other columns counts. A known key gives its document's job again and
-    changes nothing. A key belongs to the document that it is known for, else to the smallest document_id that asks with it; for others it is an IDEMPOTENCY_CONFLICT.
-    A document must exist and be in one of the source states, and goes to `state`; of its own new keys the smallest starts, and finds it in another state
-    (INVALID_STATE) the rest. Job ids are name-based on kind and key, so a repeated run gives the same.
+    In a round those start that come first for both their document and their key; the others of these documents and keys drop out. What is
+    left goes to the next round, so rounds are as many as requests wait for one another in a row. At least one starts in each.
+    """
+    done, left = None, written(able, "able")
+    while not left.isEmpty():
+        first = lambda key: F.min("_at").over(Window.partitionBy(key))
+        now = written(left.withColumn("_d", first("document_id")).withColumn("_k", first("_key")).where("_at = _d and _at = _k").select(*able.columns), "started")
+        done = now if done is None else done.unionByName(now)
+        left = written(left.join(now.select("document_id"), "document_id", "left_anti").join(now.select("_key"), "_key", "left_anti").select(*able.columns), "waiting")
+    return able.where("false") if done is None else done
+
+
+def start_jobs(documents: DataFrame, jobs: DataFrame, requests: DataFrame, kind: str, sources: tuple[str, ...], state: str, now: Column, refused: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outcomes, new jobs, documents) of requests (document_id, idempotency_key[, requested_at][, target_index_version and other columns]).
+
+    There is an outcome for each pair of document and key; of repeats of a pair that with the least other columns counts. Outcomes are as if the pairs were gone through by
+    requested_at (none: last), document and key. A known key gives its document's job again and changes nothing, and is an IDEMPOTENCY_CONFLICT for other documents.
+    A document must exist (NOT_FOUND), must not be refused, and be in one of the source states (INVALID_STATE); then the request starts a job, the key is the document's from
+    then on, and the document goes to `state`, in which its later requests find it. A request that is refused makes no job, so its key stays free. refused: why a request
+    is refused, or null, over its columns and the document's as doc_size and doc_checksum. Job ids are name-based on kind and key, so a repeated run gives the same.
     """
     pair = ["document_id", "idempotency_key"]
     extra = [c for c in requests.columns if c not in pair]
     asked = requests.groupBy(*pair).agg(F.min(F.struct(*extra)).alias("_least")).select(*pair, *(F.col(f"_least.{c}") for c in extra)) if extra else requests.select(*pair).distinct()
-    owners = asked.groupBy(F.col("idempotency_key").alias("_key")).agg(F.min("document_id").alias("_owner"))
+    moment = F.col("requested_at") if "requested_at" in extra else F.lit(None).cast("timestamp")
     known = jobs.where(F.col("kind") == kind).select("idempotency_key", F.col("id").alias("_job"), F.col("document_id").alias("_of"))
-    joined = asked.join(owners, F.col("idempotency_key").eqNullSafe(F.col("_key")), "left").join(known, "idempotency_key", "left")
-    joined = joined.join(documents.select(F.col("id").alias("document_id"), F.col("status").alias("_status")), "document_id", "left")
-    mine = F.col("document_id") == F.coalesce("_of", "_owner")
-    able = F.when(F.col("_job").isNotNull() & mine, "known").when(~mine, "IDEMPOTENCY_CONFLICT").when(F.col("_status").isNull(), "NOT_FOUND").when(~F.col("_status").isin(*sources), "INVALID_STATE").otherwise("started")
-    judged = joined.withColumn("_able", able)
-    first = judged.where("_able = 'started'").groupBy(F.col("document_id").alias("_document")).agg(F.min("idempotency_key").alias("_first"))
-    judged = judged.join(first, F.col("document_id") == F.col("_document"), "left")
-    own = identity.uuid5(F.concat_ws(":", F.lit(kind), "idempotency_key"))
-    late = (F.col("_able") == "started") & ~F.col("idempotency_key").eqNullSafe(F.col("_first"))
-    told = judged.withColumn("outcome", F.when(late, "INVALID_STATE").otherwise(F.col("_able")))
-    told = told.withColumn("job_id", F.when(F.col("outcome") == "known", F.col("_job")).when(F.col("outcome") == "started", own))
+    about = documents.select(F.col("id").alias("document_id"), F.col("status").alias("_status"), *(F.col(c).alias(f"doc_{c}") for c in ("size", "checksum") if c in documents.columns))
+    joined = asked.join(known, "idempotency_key", "left").join(about, "document_id", "left")
+    reason = F.when(F.col("_status").isNull(), "NOT_FOUND")
+    if refused is not None:
+        reason = F.coalesce(reason, refused)
+    reason = F.coalesce(reason, F.when(~F.col("_status").isin(*sources), "INVALID_STATE"))
+    place = F.struct(moment.isNull().alias("late"), moment.alias("moment"), "document_id", "idempotency_key")
+    own_key = F.coalesce("idempotency_key", F.concat(F.lit("\0"), "document_id"))  # no key is nobody else's
+    judged = written(joined.withColumn("_reason", reason).withColumn("_at", place), "judged")
+    started = written(_started(judged.where("_job is null and _reason is null").select("document_id", own_key.alias("_key"), "_at")), "matched")
+    owners = started.select("_key", F.col("document_id").alias("_owner"), F.col("_at").alias("_since"))
+    told = judged.withColumn("_key", own_key).join(owners, "_key", "left")
+    outcome = F.when(F.col("_job").isNotNull(), F.when(F.col("_of") == F.col("document_id"), "known").otherwise("IDEMPOTENCY_CONFLICT")).when(F.col("_owner") == F.col("document_id"), "started").when(F.col("_since") < F.col("_at"), "IDEMPOTENCY_CONFLICT").otherwise(F.coalesce("_reason", F.lit("INVALID_STATE")))
+    own = identity.uuid5(F.concat_ws(":", F.lit(kind), "_key"))
+    told = written(told.withColumn("outcome", outcome).withColumn("job_id", F.when(F.col("outcome") == "known", F.col("_job")).when(F.col("outcome") == "started", own)), "outcomes")
     started = told.where("outcome = 'started'")
     target = F.col("target_index_version") if "target_index_version" in requests.columns else F.lit(None).cast("int")
     rows = started.select(
@@ -66,8 +87,20 @@ def start_jobs(documents: DataFrame, jobs: DataFrame, requests: DataFrame, kind:
     return told.select("document_id", "idempotency_key", "job_id", "outcome"), rows, after
 
 
-def start_ingestion(documents: DataFrame, jobs: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return start_jobs(documents, jobs, requests, "ingestion", ("UPLOADING", "UPLOADED", "FAILED"), "QUEUED", now)
+def start_ingestion(documents: DataFrame, jobs: DataFrame, requests: DataFrame, now: Column, objects: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As start_jobs. objects: (document_id, object_size) of what was uploaded; one that is missing or has another size than declared is refused, and so is a checksum
+    that isn't the document's. A document without one takes over the request's."""
+    asked, refused = requests, F.lit(None).cast("string")
+    if objects is not None:
+        asked = asked.join(objects.select("document_id", F.col("object_size").cast("long").alias("object_size")), "document_id", "left")
+        refused = F.when(F.col("object_size").isNull(), "OBJECT_MISSING").when(F.col("object_size") != F.col("doc_size"), "SIZE_MISMATCH")
+    if "checksum" in requests.columns:
+        refused = F.coalesce(refused, F.when(F.col("checksum") != F.col("doc_checksum"), "CHECKSUM_CONFLICT"))
+    told, rows, after = start_jobs(documents, jobs, asked, "ingestion", ("UPLOADING", "UPLOADED", "FAILED"), "QUEUED", now, refused)
+    if "checksum" in requests.columns and "checksum" in documents.columns:
+        new = told.where("outcome = 'started'").join(asked.groupBy("document_id", "idempotency_key").agg(F.min("checksum").alias("_sum")), ["document_id", "idempotency_key"]).select(F.col("document_id").alias("id"), "_sum")
+        after = after.join(new, "id", "left").withColumn("checksum", F.coalesce("checksum", "_sum")).select(*documents.columns)
+    return told, rows, after
 
 
 def start_deletion(documents: DataFrame, jobs: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:

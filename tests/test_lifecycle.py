@@ -142,3 +142,49 @@ def test_metrics(spark):
     m.add("searches", status="ok")
     m.observed(spark.range(5), "results").collect()
     assert m.render() == 'results 5\nsearches{status="ok"} 2'
+
+
+def test_a_refused_request_leaves_the_key_free(spark):
+    docs = _documents(spark, _doc("b", "UPLOADED"), _doc("c", "DELETED"), _doc("d", "UPLOADED"), _doc("e", "UPLOADED"))
+    asked = spark.createDataFrame([("a", "k1"), ("b", "k1"), ("c", "k2"), ("d", "k2"), ("e", "k2"), ("e", "k3")], "document_id string, idempotency_key string")
+    told, jobs, _ = lifecycle.start_ingestion(docs, _jobs(spark), asked, now())
+    assert sorted(tuple(r) for r in told.select("document_id", "idempotency_key", "outcome").collect()) == [
+        ("a", "k1", "NOT_FOUND"), ("b", "k1", "started"), ("c", "k2", "INVALID_STATE"), ("d", "k2", "started"), ("e", "k2", "IDEMPOTENCY_CONFLICT"), ("e", "k3", "started"),
+    ]
+    again, _, _ = lifecycle.start_ingestion(docs, jobs, asked, now())
+    assert {(r["document_id"], r["outcome"]) for r in again.where("idempotency_key = 'k2'").collect()} == {("c", "IDEMPOTENCY_CONFLICT"), ("d", "known"), ("e", "IDEMPOTENCY_CONFLICT")}
+
+
+def test_requests_are_gone_through_in_order(spark):
+    """Against a plain loop: requests that wait for one another, by moment, document and key."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(6)
+    asked = sorted({(rng.choice([None, rng.randrange(9)]), f"d{rng.randrange(12)}", f"k{rng.randrange(12)}") for _ in range(90)}, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+    asked = list({r[1:]: r for r in reversed(asked)}.values())  # one moment for a pair
+    states = {f"d{i}": ["UPLOADED", "READY", None, "FAILED"][i % 4] for i in range(12)}
+    jobs, started, want = {}, set(), {}
+    for _, d, k in sorted(asked, key=lambda r: (r[0] is None, r[0] or 0, *r[1:])):
+        if k in jobs:
+            want[d, k] = "IDEMPOTENCY_CONFLICT"
+        elif states[d] is None:
+            want[d, k] = "NOT_FOUND"
+        elif states[d] == "READY" or d in started:
+            want[d, k] = "INVALID_STATE"
+        else:
+            want[d, k], jobs[k] = "started", d
+            started.add(d)
+    rows = [(d, k, None if t is None else datetime(2024, 1, 1) + timedelta(days=t)) for t, d, k in asked]
+    docs = _documents(spark, *(_doc(d, s) for d, s in states.items() if s))
+    told, _, _ = lifecycle.start_ingestion(docs, _jobs(spark), spark.createDataFrame(rows, "document_id string, idempotency_key string, requested_at timestamp"), now())
+    assert {(r["document_id"], r["idempotency_key"]): r["outcome"] for r in told.collect()} == want
+
+
+def test_uploads_are_checked_at_the_start(spark):
+    docs = _documents(spark, *(_doc(x, "UPLOADED") for x in "abcd")).withColumn("size", F.lit(5).cast("long")).withColumn("checksum", F.when(F.col("id").isin("c", "d"), "s"))
+    asked = spark.createDataFrame([("a", "1", "x"), ("b", "2", "x"), ("c", "3", "x"), ("d", "4", "s"), ("e", "5", "x")], "document_id string, idempotency_key string, checksum string")
+    objects = spark.createDataFrame([("a", 5), ("b", 6), ("c", 5), ("d", 5)], "document_id string, object_size long")
+    told, _, after = lifecycle.start_ingestion(docs, _jobs(spark), asked, now(), objects)
+    assert {r["document_id"]: r["outcome"] for r in told.collect()} == {"a": "started", "b": "SIZE_MISMATCH", "c": "CHECKSUM_CONFLICT", "d": "started", "e": "NOT_FOUND"}
+    assert {r["id"]: r["checksum"] for r in after.collect()} == {"a": "x", "b": None, "c": "s", "d": "s"}
