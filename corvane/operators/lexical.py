@@ -58,6 +58,13 @@ def encode(posted: DataFrame, average: float, id: str = "doc_id", key: str = "te
     return posted.select(id, key, saturation(F.col("tf"), F.col("len"), float(average)).alias("weight"))
 
 
+def vector(text: Column, average: float = AVERAGE, name: Callable[[str], int] | None = None) -> Column:
+    """A text's lexical vector, (idx, weight) by idx: its stems by hashed place (or by `name`), counted where the text stands."""
+    listed = X.terms(text)
+    weigh = lambda c: F.struct(c["term"].alias("idx"), saturation(c["tf"], F.size(listed), float(average)).alias("weight"))
+    return F.array_sort(F.transform(counted(listed, name or (lambda term: place_of(stem_word(term))), T.LongType()), weigh))
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row (n_docs, avgdl): all documents count, those without tokens too."""
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(X.terms(F.col(text)))).alias("avgdl"))

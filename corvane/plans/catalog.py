@@ -329,15 +329,6 @@ def _place(term: str) -> int:
     return int(hashlib.sha256(term.encode()).hexdigest()[:8], 16) % _PLACES
 
 
-def _sparse_vector(docs: DataFrame, id: str) -> DataFrame:
-    """docs with their lexical vector (sparse), counted where they stand."""
-    from pyspark.sql import types as T
-
-    listed = docs.withColumn("_t", X.terms(F.col("text"))).withColumn("_n", F.size("_t"))
-    weigh = lambda c: F.struct(c["term"].alias("idx"), lexical.saturation(c["tf"], F.col("_n"), float(lexical.AVERAGE)).alias("weight"))
-    return listed.withColumn("sparse", F.transform(encoders.counted(F.col("_t"), _place, T.LongType()), weigh)).drop("_t", "_n")
-
-
 def _index(spark, d):
     """An index of all documents, a point each, in version 2; version 1 has other points."""
     from corvane.schemas import POINT
@@ -346,7 +337,7 @@ def _index(spark, d):
 
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), V.doubles(F.col("embedding")).alias("dense"))
     most = vectors.agg(F.max("_v")).first()[0] + 1
-    docs = _sparse_vector(table(spark, d, "documents"), "doc_id").withColumn("_v", F.col("doc_id") % most).join(vectors, "_v")
+    docs = table(spark, d, "documents").withColumn("sparse", lexical.vector(F.col("text"), name=_place)).withColumn("_v", F.col("doc_id") % most).join(vectors, "_v")
     given = {"id": F.format_string("p%09d", "doc_id"), "document_id": F.col("doc_id").cast("string"), "document_version": (F.col("doc_id") % 3 + 1).cast("int"), "index_version": F.lit(2), "chunk_index": F.lit(0).cast("long"), "filename": F.col("source"), "content_type": F.lit("text/plain"), "text": F.col("text"), "created_at": F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 100 as int))"), "dense": F.col("dense"), "sparse": F.col("sparse")}
     points = docs.select(*((given[f.name] if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in POINT))
     index = PointIndex(spark, folder(spark, "index"), buckets=8, shards=4)
@@ -359,7 +350,7 @@ def _index_requests(spark, d) -> DataFrame:
     """Benchmark items as requests with vectors."""
     most = table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), V.doubles(F.col("embedding")).alias("dense"))
-    asked = _sparse_vector(_asked(spark, d), "query_id").withColumn("_v", F.col("query_id") % most)
+    asked = _asked(spark, d).withColumn("sparse", lexical.vector(F.col("text"), name=_place)).withColumn("_v", F.col("query_id") % most)
     return asked.join(vectors, "_v").drop("_v")
 
 

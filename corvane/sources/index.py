@@ -212,6 +212,15 @@ class PointIndex:
         old = self._read("points", _PLACED, {k: g for k, g in state["parts"].items() if k in touched})
         return self._swap(state, old.join(gone, "document_id", "left_anti"), touched)
 
+    def restore(self, state: dict) -> dict:
+        """Point to the parts of an earlier state again, if there has been one write since at most: its files are then still there."""
+        now = self.state()
+        if now["parts"] != state["parts"] and now["before"] != state["parts"]:
+            raise ValueError("the earlier state's files are gone")
+        new = self._commit(now, active=state["active"], parts=state["parts"], before=now["parts"])
+        self._vacuum(new)
+        return new
+
     def verify(self, document: str, version: int, expected: int, sample: list[str]) -> bool:
         """Whether a document has as many points as it should, the sampled ids among them."""
         mine = self.placed(version).where(F.col("document_id") == document)
