@@ -112,12 +112,16 @@ class Reader(dict):
             for p in own:
                 places[p] = places.get(p, 0) + k
         found = Signals(
-            len(words), len(set(words)) / n, sum(map(eq, words, words[1:])) / n, len(parts), 1 - len(set(parts)) / max(1, len(parts)),
+            len(words), sum(len(set(words[at : at + WINDOW])) for at in range(0, len(words), WINDOW)) / n, sum(map(eq, words, words[1:])) / n, len(parts), 1 - len(set(parts)) / max(1, len(parts)),
             upper / max(1, letters), letters, symbols / max(1, len(text)), doubled / n, bare / n, stops / n,
         )
         return found, places
 
 
+#: Words of a window in which different words are counted, so that a text's length says nothing by itself.
+WINDOW = 500
+
+
 def _between(value: float, good: float, bad: float) -> int:
     """Good up to `good`, bad from `bad`, else no vote."""
     return GOOD if value <= good else BAD if value >= bad else ABSTAIN
@@ -131,7 +135,7 @@ LABELLERS: dict[str, Callable[[Signals], int]] = {
     "capitals": lambda s: ABSTAIN if s.letters < 20 else _between(s.upper, 0.15, 0.5),
     "repeated words": lambda s: _between(s.adjacent, 0.06, 0.3),
     "repeated sentences": lambda s: ABSTAIN if s.sentences < 4 else _between(s.repeated, 0.15, 0.5),
-    "few different words": lambda s: ABSTAIN if s.words < 40 or s.words > 3000 else _between(1 - s.distinct, 0.65, 0.85),
+    "few different words": lambda s: ABSTAIN if s.words < 40 else _between(1 - s.distinct, 0.65, 0.85),
     "function words": lambda s: GOOD if s.stops >= 0.15 else BAD if s.words >= 20 and s.stops < 0.02 else ABSTAIN,
     "empty": lambda s: BAD if not s.letters else ABSTAIN,
 }

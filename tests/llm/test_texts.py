@@ -501,3 +501,17 @@ def test_pages_that_repeat_and_extra_columns(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got.collect()) == [(0, "", 0), (1, PROSE, len(PROSE)), (1, PROSE, len(PROSE)), (2, "", 0)]
     assert html.extract(pages.limit(0)).collect() == []
+
+
+def test_length_alone_casts_no_vote():
+    """Few different words count at any length: the same text, longer and longer."""
+    at = list(quality.LABELLERS).index("few different words")
+    few, many = [f"word{i}" for i in range(30)], [f"word{i}" for i in range(450)]
+    reader = quality.Reader()
+    for n in (500, 2_900, 3_100, 40_000):
+        assert quality.votes(reader.read(" ".join(few[i % 30] for i in range(n)))[0])[at] == str(quality.BAD), n
+        assert quality.votes(reader.read(" ".join(many[i % 450] for i in range(n)))[0])[at] == str(quality.GOOD), n
+    # against counting window by window
+    text = " ".join(random.Random(3).choice(many) for _ in range(1_234)).split()
+    want = sum(len(set(text[a : a + quality.WINDOW])) for a in (0, 500, 1000)) / 1_234
+    assert reader.read(" ".join(text))[0].distinct == want
