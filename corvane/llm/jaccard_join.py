@@ -11,7 +11,7 @@ Signatures go to buckets in blobs: of a slice of texts the smallest node of each
 a slice nor the shuffle holds pairs within a group. Star pairs are verified on the whole sets; components
 follow from the verified links. Where a signature still holds nodes of different components, the pairs across
 components are gone through in blocks, pruned by a lower bound of the Hamming distance (bin counts of
-the sets), and verified; signatures with the same nodes are one there. So no link that could join two components is missed, and no group is capped.
+the sets), and verified; signatures with the same nodes are one there, and a pair is given under the smallest signature that it is known to share. So no link that could join two components is missed, and no group is capped.
 For a group of m near misses that costs a row for each node and block, m * m / BLOCK rows: verification across components is the part that grows faster than the input.
 """
 
@@ -39,6 +39,8 @@ RATIO = 1.4
 CELLS = 3
 #: Nodes of a block when pairs across components are gone through.
 BLOCK = 1024
+#: Signatures of a node that tell whether a pair was met under a smaller one, at most.
+KNOWN = 16
 #: Documents that a bucket of signatures stands for, about.
 BUCKET_DOCS = 4096
 
@@ -350,20 +352,29 @@ def pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a signature and lie in different components, in blocks, pruned. members: (sig, node, component), a table."""
+    """Pairs (a, b) of nodes that share a signature and lie in different components, in blocks, pruned. members: (sig, node, component), a table.
+
+    A node brings its KNOWN smallest signatures along. A pair is passed over where both have one that is smaller than the group's, as it is met there; under the
+    smallest that they share it never is.
+    """
     sizes = members.groupBy("sig").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = members.join(sizes.where("m > 2"), "sig").join(nodes.select("node", "n", "bins"), "node").withColumn("_blocks", blocks)
+    small = members.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, KNOWN).alias("known"))
+    rows = members.join(sizes.where("m > 2"), "sig").join(nodes.select("node", "n", "bins"), "node").join(small, "node").withColumn("_blocks", blocks)
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     # a block meets itself and the others once: the pair of blocks is the key
-    met = rows.select("sig", "node", "component", "n", "bins", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    keyed = met.select("sig", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "component", "n", "bins", "_own")
+    met = rows.select("sig", "node", "component", "n", "bins", "known", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    keyed = met.select("sig", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "component", "n", "bins", "known", "_own")
     schema = "a long, b long"
 
     def pairs(table: pa.Table) -> pa.Table:
         node, comp, n, own = (table.column(c).to_numpy() for c in ("node", "component", "n", "_own"))
         bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        sig, x, y = (table.column(c)[0].as_py() for c in ("sig", "x", "y"))
+        known = np.full((len(node), KNOWN), -1, dtype=np.int64)
+        for row, own_sigs in enumerate(table.column("known").to_pylist()):
+            less = [s for s in own_sigs if s < sig]
+            known[row, : len(less)] = less
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         right = right[np.argsort(n[right], kind="stable")]  # partners of a size are next to each other
         small = n[right]
@@ -373,11 +384,14 @@ def across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             js = js[(comp[js] != comp[i]) & (node[js] > node[i] if x == y else True)]
             if len(js):
                 js = js[close_enough(n[js], n[i], np.abs(bins[js] - bins[i]).sum(axis=1, dtype=np.int64), percent)]
+                mine = known[i][known[i] >= 0]
+                if len(mine) and len(js):
+                    js = js[~(known[js][:, :, None] == mine).any(axis=(1, 2))]
                 a.append(np.minimum(node[js], node[i]))
                 b.append(np.maximum(node[js], node[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return keyed.groupBy("sig", "x", "y").applyInArrow(pairs, schema).distinct()  # a pair may share several signatures
+    return keyed.groupBy("sig", "x", "y").applyInArrow(pairs, schema).distinct()  # of a pair's signatures the smallest may not be known
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
