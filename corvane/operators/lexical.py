@@ -81,28 +81,37 @@ def top(scored: DataFrame, k: int, query: str = "query_id", id: str = "doc_id",
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query, id, F.round(score, 6).alias(score), F.col("rank").cast("long").alias("rank"))
 
 
+#: Rows of query terms that are broadcast at most; more are joined by shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def _near(terms: DataFrame) -> DataFrame:
+    """The terms of queries, broadcast if they are few: then documents meet them where they stand, and no term is one task's."""
+    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, query_text: str = "text") -> DataFrame:
     """The k best documents of each query by BM25 with measured length and frequency. queries: (query_id, text).
 
     Only terms of the queries are kept before anything is shuffled; matches alone are returned.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(X.terms(F.col(query_text)))).alias("term"))
-    terms = wanted.select("term").distinct()
+    wanted = _near(queries.select("query_id", F.explode(F.array_distinct(X.terms(F.col(query_text)))).alias("term")))
+    terms = _near(wanted.select("term").distinct())
     stats = statistics(docs)
     listed = docs.select("doc_id", X.terms(F.col("text")).alias("_t"))
     hit = listed.select("doc_id", F.size("_t").alias("len"), F.explode("_t").alias("term")).join(terms, "term", "left_semi")
     posted = hit.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = posted.join(df, "term").crossJoin(F.broadcast(stats)).select("doc_id", "term", (idf * saturation(F.col("tf"), F.col("len"), F.col("avgdl"))).alias("w"))
-    scored = wanted.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    weighted = posted.join(_near(terms.join(df, "term")), "term").crossJoin(F.broadcast(stats)).select("doc_id", "term", (idf * saturation(F.col("tf"), F.col("len"), F.col("avgdl"))).alias("w"))
+    scored = weighted.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     return top(scored, k)
 
 
 def sparse_dot(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best documents of each query by the dot product of stored weights and query counts; no document frequency. Only scores over 0."""
-    asked = queries.select("query_id", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("q"))
+    asked = _near(queries.select("query_id", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("q")))
     stored = docs.select("doc_id", X.terms(F.col("text")).alias("_t")).select("doc_id", F.size("_t").alias("len"), F.explode("_t").alias("term"))
-    stored = stored.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    stored = stored.join(_near(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     weights = encode(stored, AVERAGE)
-    return top(asked.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("weight")).alias("score")).where("score > 0"), k)
+    return top(weights.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("weight")).alias("score")).where("score > 0"), k)

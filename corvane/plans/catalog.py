@@ -6,7 +6,6 @@ then id, and shown with six.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -676,21 +675,14 @@ def reindex_cutover(spark, d):
 @register("stream_ingest_counts", "SELECT event_type, count(*) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY event_type")
 def stream_ingest_counts(spark, d):
     """The events table read as a stream of files, deduplicated by id, counted by kind."""
+    from corvane.sources.scratch import folder
+
     source = table(spark, d, "events")
-    name = f"events_{abs(hash((d, id(source))))}"
     stream = spark.readStream.schema(source.schema).parquet(f"{d}/events*.parquet")
     seen = stream.dropDuplicates(["event_id"]).select("event_type", "user_id")
-    q = seen.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", _stream_folder(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
-
-
-def _stream_folder(spark: SparkSession) -> str:
-    """A fresh checkpoint folder: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    sink = folder(spark, "stream")
+    seen.writeStream.format("parquet").option("path", f"{sink}/rows").option("checkpointLocation", f"{sink}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(seen.schema).parquet(f"{sink}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
 @register("event_hours", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -700,10 +692,22 @@ def event_hours(spark, d):
     return counts(table(spark, d, "events"), "event_type", "ts").select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
-@register("event_parse", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_valid(props) AS BIGINT)) AS BIGINT) AS valid FROM events GROUP BY event_type")
+#: Kinds of control events that the table's kinds stand for here; views have no document, and purchases aren't JSON.
+_KINDS = {"click": "DocumentIngestionRequested", "signup": "DocumentDeleted", "error": "Nonsense", "view": "DocumentReindexRequested", "purchase": "DocumentReindexFailed"}
+
+
+@register("event_parse", "SELECT coalesce(error, 'OK') AS error, event_type, count(*) AS n, CAST(sum(CASE WHEN error IS NULL OR error <> 'BROKEN' THEN user_id ELSE 0 END) AS BIGINT) AS users FROM (SELECT user_id, CASE WHEN event_type = 'purchase' THEN NULL ELSE CASE event_type "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items()) + """ ELSE 'Other' END END AS event_type,
+    CASE WHEN event_type IN ('click', 'signup') THEN NULL WHEN event_type IN ('view', 'purchase') THEN 'INVALID_EVENT' ELSE 'UNKNOWN_EVENT' END AS error FROM events) GROUP BY 1, 2""")
 def event_parse(spark, d):
-    ok = F.try_parse_json("props").isNotNull()
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("valid"))
+    """Events as JSON lines, parsed and typed; each line's user is kept beside it."""
+    from corvane.sources.parsers import parse_events
+
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair)), F.col("event_type")), F.lit("Other"))
+    line = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.col("event_id").cast("string").alias("event_id"), kind.alias("event_type"), F.lit("hr").alias("domain"), F.when(F.col("event_type") != "view", F.col("user_id").cast("string")).alias("document_id")))
+    lines = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "purchase", F.concat(F.lit("?"), line)).otherwise(line).alias("value"))
+    told = parse_events(lines, "value", "user_id")
+    return told.groupBy(F.coalesce("error", F.lit("OK")).alias("error"), "event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
 
 
 # --- lifecycle -----------------------------------------------------------------------------------------------------

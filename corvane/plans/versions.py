@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources.scratch import folder
+
 
 def cutover_counts(rows: DataFrame, source: int = 1, target: int = 2) -> DataFrame:
     """Write rows under two versions, check that no document of the old is missing in the new, and count the new by source.
@@ -14,12 +14,7 @@ def cutover_counts(rows: DataFrame, source: int = 1, target: int = 2) -> DataFra
     The old partition is passed over by partition pruning and never read.
     """
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-    path = f"{base.rstrip('/')}/versions-{uuid.uuid4().hex}"
+    path = folder(spark, "versions")
     both = rows.select("doc_id", "chunk_index", "source").withColumn("index_version", F.explode(F.array(F.lit(source), F.lit(target))))
     both.write.partitionBy("index_version").parquet(path)
     stored = spark.read.parquet(path)

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import strip
 from corvane.schemas import EVENT, EVENT_TYPES
+from corvane.sources.office import document_markdown, sheet_markdown
 
 #: Content types and what reads them.
 PARSERS = {
     "text/plain": "text", "text/markdown": "text", "text/x-markdown": "text", "text/csv": "text",
-    "application/pdf": "layout", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "layout",
+    "application/pdf": "layout", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "document",
     "application/vnd.openxmlformats-officedocument.presentationml.presentation": "layout", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "sheet",
 }
 
@@ -41,20 +42,8 @@ def decode_text(content: Column) -> Column:
     return F.when(text != "", text)
 
 
-def sheet_markdown(data: bytes) -> str:
-    """Sheets as headed sections of rows with cells between bars. Needs openpyxl."""
-    import openpyxl
-
-    book = openpyxl.load_workbook(io.BytesIO(data), read_only=True, data_only=True)
-    parts = []
-    for sheet in book.worksheets:
-        rows = [" | ".join("" if c is None else str(c) for c in row) for row in sheet.iter_rows(values_only=True)]
-        parts.append("\n".join([f"## {sheet.title}", *(r for r in rows if r.replace("|", "").strip())]))
-    return "\n\n".join(parts)
-
-
 def layout_markdown(data: bytes) -> str:
-    """PDF and office documents as markdown. Needs docling."""
+    """PDF and presentations as markdown. Needs docling."""
     from docling.datamodel.base_models import DocumentStream
     from docling.document_converter import DocumentConverter
 
@@ -66,12 +55,12 @@ def parse(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None =
 
     Texts are decoded by Spark; other kinds go through readers, in Python, and only their rows do.
     """
-    readers = {"sheet": sheet_markdown, "layout": layout_markdown} | (readers or {})
+    readers = {"sheet": sheet_markdown, "document": document_markdown, "layout": layout_markdown} | (readers or {})
     kind = F.element_at(F.create_map(*(F.lit(x) for pair in PARSERS.items() for x in pair)), F.col("content_type"))
     typed = files.withColumn("_kind", kind)
     plain = typed.where("_kind is null or _kind = 'text'").withColumn("markdown", F.when(F.col("_kind") == "text", decode_text(F.col("content"))))
     plain = plain.withColumn("error", F.when(F.col("_kind").isNull(), "UNSUPPORTED_FILE").when(F.col("markdown").isNull(), "EMPTY_DOCUMENT"))
-    rest = typed.where("_kind in ('sheet', 'layout')")
+    rest = typed.where("_kind in ('sheet', 'document', 'layout')")
     schema = plain.schema
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,11 +82,11 @@ def parse(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None =
     return plain.unionByName(rest.mapInPandas(read, schema)).drop("_kind")
 
 
-def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Typed events of JSON lines, with error where one isn't an event of a known type."""
+def parse_events(lines: DataFrame, column: str = "value", *keep: str) -> DataFrame:
+    """Typed events of JSON lines, with error where one isn't an event of a known type, and the columns to keep."""
     parsed = lines.withColumn("event", F.from_json(column, EVENT))
     bad = F.when(F.col("event").isNull() | F.col("event.event_type").isNull(), "INVALID_EVENT").when(~F.col("event.event_type").isin(*EVENT_TYPES), "UNKNOWN_EVENT").when(F.col("event.document_id").isNull(), "INVALID_EVENT")
-    return parsed.select("event.*", bad.alias("error"))
+    return parsed.select("event.*", bad.alias("error"), *keep)
 
 
 def gold(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:

@@ -1,16 +1,20 @@
 """Event consumption with Structured Streaming: routing, idempotent effects, retries, dead letters.
 
-Events are JSON files in a source folder for each kind. Each micro-batch is parsed, deduplicated against the effects
-already recorded, and written under its batch id, so that a batch that is repeated overwrites itself.
+Events are JSON files in a source folder for each kind. The inbox is keyed state of the stream: for each event the last attempt that
+went through, kept in the state store for a time, so that a micro-batch reads its own files and no earlier batch. What passes is
+routed and written under the batch's id, so that a batch that is repeated overwrites itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.operators.control import after_failure, backoff
 from corvane.schemas import EVENT
@@ -46,22 +50,59 @@ def effects(spark: SparkSession, sink: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def consume(spark: SparkSession, source: str, sink: str, checkpoint: str, *, domain: str, kinds: tuple[str, ...], run: Callable[[DataFrame], DataFrame], most: int = 5, files: int = 8) -> StreamingQuery:
+#: The state store that keeps its keys on disk.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_deliveries(events: DataFrame, days: int = 30) -> DataFrame:
+    """The rows of a stream of parsed events (with `value`, the line) that come for the first time: an event's attempt passes if it is higher than all before it.
+
+    A line that isn't an event passes once. State is a number for each event, dropped `days` after the event was last seen.
+    """
+    keyed = events.withColumn("_key", F.coalesce("event_id", F.sha2("value", 256))).withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    fields = T.StructType([f for f in keyed.schema.fields if f.name != "_key"])
+
+    def pick(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else -1
+        rows = pd.concat(list(frames))  # deliveries of one event
+        fresh = rows[rows["attempt"] > last].sort_values("attempt", kind="stable").drop_duplicates("attempt")
+        state.update((int(max(last, rows["attempt"].max())),))
+        state.setTimeoutDuration(days * 86_400_000)
+        if len(fresh):
+            yield fresh[[f.name for f in fields]]
+
+    return keyed.groupBy("_key").applyInPandasWithState(pick, fields, "last int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def consume(spark: SparkSession, source: str, sink: str, checkpoint: str, *, domain: str, kinds: tuple[str, ...], run: Callable[[DataFrame], DataFrame], most: int = 5, files: int = 8, days: int = 30) -> StreamingQuery:
     """Start a consumer over JSON event files that stops when it has caught up.
 
-    sink gets Parquet by batch: every event id once as done or dead_letter; retries come again from their own source folder with attempt counted up.
+    sink gets Parquet by batch: every attempt of an event once, as done, retry or dead_letter; retries come again from their own source folder with attempt counted up.
     """
     stream = spark.readStream.format("text").option("maxFilesPerTrigger", files).load(source)
 
     def handle(batch: DataFrame, number: int) -> None:
-        parsed = parse_events(batch).dropDuplicates(["event_id", "error"])
-        known = effects(batch.sparkSession, sink).where((F.col("batch") != number) & F.col("route").isin("done", "dead_letter")).select("event_id").distinct()
-        fresh = parsed.join(known, "event_id", "left_anti")
-        routed = route(fresh, domain, kinds, run, most)
         columns = [*EVENT.names, "error", "route", "next_attempt", "delay"]
-        routed.select(*columns).write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.persist()  # run() and the routing read it
+        try:
+            route(batch.drop("value"), domain, kinds, run, most).select(*columns).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    fresh = first_deliveries(parse_events(stream, "value", "value"), days)
+    # a stream has its own copy of the settings from its start on; states that have timed out go with the next batch that has data
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        return fresh.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def counts(events: DataFrame, key: str, moment: str, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:

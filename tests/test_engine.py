@@ -161,8 +161,16 @@ def test_consumer(spark, tmp_path):
     assert routes["e1"] == ("done", None, None) and routes["e2"] == ("retry", None, 1.0)
     assert routes["e3"][:2] == ("dead_letter", "WRONG_DOMAIN") and routes["e4"][:2] == ("dead_letter", "UNKNOWN_EVENT") and routes[None][0] == "dead_letter"
     assert routes["e5"][0] == "dead_letter"
-    (source / "2.json").write_text("\n".join([_event(1), _event(6)]))
+    import shutil
+
+    kept = tmp_path / "kept"
+    shutil.copytree(tmp_path / "out", kept)
+    shutil.rmtree(tmp_path / "out")  # earlier batches aren't read: the state knows
+    (source / "2.json").write_text("\n".join([_event(1), _event(6), _event(2, attempt=1), "not json"]))
     go()
+    assert sorted((r["event_id"], r["attempt"]) for r in spark.read.parquet(sink).collect()) == [("e2", 1), ("e6", 0)]
+    for part in kept.glob("batch=*"):
+        shutil.copytree(part, tmp_path / "out" / part.name)
     seen = [r["event_id"] for r in spark.read.parquet(sink).collect()]
     assert seen.count("e1") == 1 and seen.count("e6") == 1
     assert consume.redrive(spark, sink, spark.createDataFrame([("e5",)], "event_id string"), f"file://{source}") == 1
@@ -190,3 +198,26 @@ def test_gold_and_report(spark):
     row = evaluate.report(hits).first()
     assert corpus.count() == 1 and (row["n_cases"], row["recall"], row["mrr"]) == (2, 0.5, 0.25)
     assert evaluate.report(hits.where("false")).first()["mrr"] == 0.0
+
+
+def test_streams_are_counted(spark, tmp_path):
+    import time
+
+    from corvane.plans.metrics import Metrics, StreamCounts
+
+    metrics = Metrics()
+    listener = StreamCounts(metrics)
+    spark.streams.addListener(listener)
+    try:
+        for i in range(3):
+            (tmp_path / f"{i}.txt").write_text("\n".join("x" * (i + 1)))
+        stream = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(f"file://{tmp_path}/*.txt")
+        stream.writeStream.queryName("lines").foreachBatch(lambda batch, n: batch.count()).option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if listener.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    told = dict(line.rsplit(" ", 1) for line in metrics.render().splitlines())
+    assert told['stream_batches_total{query="lines"}'] == "3" and told['stream_input_rows_total{query="lines"}'] == "6" and told['stream_starts_total{query="lines"}'] == "1"
