@@ -779,6 +779,41 @@ def deleted_documents(spark, d):
     return docs.groupBy("status", "row_version").agg(F.count("*").alias("n"))
 
 
+@register("requested_ids", "SELECT event_id AS doc_id, event_type FROM events WHERE event_id NOT IN (SELECT doc_id FROM documents)")
+def requested_ids(spark, d):
+    """Requested documents that don't exist: a Bloom filter of the documents, and an exact join for what passes it."""
+    from corvane.operators.membership import missing_members
+
+    asked = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), "event_type")
+    return missing_members(asked, table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@register("ingest_duplicates", "SELECT lang, count(*) AS n, CAST(sum(CAST(sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) AS BIGINT)) AS BIGINT) AS known FROM documents WHERE doc_id % 2 = 1 GROUP BY lang")
+def ingest_duplicates(spark, d):
+    """Of the odd documents those whose content an even one has: which ones ingestion need not index again."""
+    from corvane.operators.membership import split
+    from corvane.sources.scratch import written
+
+    docs = written(table(spark, d, "documents").select("doc_id", "lang", identity.checksum(F.col("text")).alias("checksum")), "checksums")
+    known, new = split(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), "checksum")
+    both = known.select("lang", F.lit(1).cast("long").alias("k")).unionByName(new.select("lang", F.lit(0).cast("long").alias("k")))
+    return both.groupBy("lang").agg(F.count("*").alias("n"), F.sum("k").alias("known"))
+
+
+@register("document_metadata", f"""WITH e AS (SELECT DISTINCT user_id * 7 AS i FROM events)
+  SELECT CAST(i AS VARCHAR) AS document_id, {_STATE}[CAST(doc_id % 10 AS BIGINT) + 1] AS status, n_chars AS size, sha256(text) AS checksum, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%SZ') AS created_at,
+    CASE WHEN doc_id IS NULL THEN 'NOT_FOUND' END AS error FROM e LEFT JOIN documents ON doc_id = i""")
+def document_metadata(spark, d):
+    """Metadata of ids that events name, of which some are no documents."""
+    from corvane.plans import documents
+
+    i = F.col("doc_id")
+    moment = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)")
+    told = table(spark, d, "documents").select(i.cast("string").alias("id"), F.col("n_chars").alias("size"), identity.checksum(F.col("text")).alias("checksum"), moment.alias("created_at"))
+    asked = table(spark, d, "events").select((F.col("user_id") * 7).cast("string").alias("document_id"))
+    return documents.document_metadata(_control_documents(spark, d).join(told, "id"), asked).select("document_id", "status", "size", "checksum", "created_at", "error")
+
+
 @register("retrieve_points", f"SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % {EVERY} = 0)")
 def retrieve_points(spark, d):
     wanted = table(spark, d, "documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("vec_id"))
