@@ -61,8 +61,9 @@ def encode(posted: DataFrame, average: float, id: str = "doc_id", key: str = "te
 def vector(text: Column, average: float = AVERAGE, name: Callable[[str], int] | None = None) -> Column:
     """A text's lexical vector, (idx, weight) by idx: its stems by hashed place (or by `name`), counted where the text stands."""
     listed = X.terms(text)
-    weigh = lambda c: F.struct(c["term"].alias("idx"), saturation(c["tf"], F.size(listed), float(average)).alias("weight"))
-    return F.array_sort(F.transform(counted(listed, name or (lambda term: place_of(stem_word(term))), T.LongType()), weigh))
+    own = F.array(F.struct(counted(listed, name or (lambda term: place_of(stem_word(term))), T.LongType()).alias("c"), F.size(listed).alias("n")))  # made once, not for each term
+    weigh = lambda s: F.transform(s["c"], lambda c: F.struct(c["term"].alias("idx"), saturation(c["tf"], s["n"], float(average)).alias("weight")))
+    return F.array_sort(F.transform(own, weigh)[0])
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -328,8 +328,20 @@ def _place(term: str) -> int:
     return int(hashlib.sha256(term.encode()).hexdigest()[:8], 16) % _PLACES
 
 
+#: Indexes that were built in this process, by application and folder: one is stored once and searched by several queries.
+_BUILT: dict[tuple[str, str], object] = {}
+
+
 def _index(spark, d):
-    """An index of all documents, a point each, in version 2; version 1 has other points."""
+    """The index of all documents for searches."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        _BUILT[key] = _built_index(spark, d)
+    return _BUILT[key]
+
+
+def _built_index(spark, d):
+    """A new index of all documents, a point each, in version 2."""
     from corvane.schemas import POINT
     from corvane.sources.index import PointIndex
     from corvane.sources.scratch import folder
@@ -430,7 +442,7 @@ def rerank_fallback(spark, d):
   ) GROUP BY ALL""")
 def index_upsert(spark, d):
     """Every fourth document written anew without terms, every tenth deleted: what the points and their postings then hold."""
-    index = _index(spark, d)
+    index = _built_index(spark, d)
     again = index.active().where(F.col("document_id").cast("long") % 4 == 0)
     index.upsert(again.withColumn("document_version", F.lit(9)).withColumn("sparse", F.slice("sparse", 1, 0)))
     index.delete_documents(index.active().where(F.col("document_id").cast("long") % 10 == 3).select("document_id"))
