@@ -31,8 +31,10 @@ from corvane.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's multipliers
 _GOLDEN = 0x9E3779B97F4A7C15
-#: Bins of the coarse and of the fine counts that bound a distance from below.
-BINS, FINE = 128, 1024
+#: Bins of the counts that bound a distance from below: least and most (powers of two, about one for two features between), and of the finer ones.
+BINS, MOST_BINS, FINE = 128, 2048, 1024
+#: Pairs that are looked at in one step.
+STEP = 8192
 #: Ratio of a band's bounds; over 1 / threshold, so that a pair spans two bands at most.
 RATIO = 1.4
 #: Second-level cells of a part; a signature leaves one of them out.
@@ -149,8 +151,34 @@ class Signer:
 
 
 def bins_of(features: np.ndarray) -> bytes:
-    """How many features fall in each of the bins; differences add up to a lower bound of the Hamming distance."""
-    return np.minimum(np.bincount((mix(features) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """How many features fall in each of the bins; differences add up to a lower bound of the Hamming distance.
+
+    A larger set has more bins, as few would even out what differs. Fewer bins are sums of more: bin i of w is in bin i % v of v.
+    """
+    width = BINS
+    while width < MOST_BINS and 2 * width < len(features):
+        width *= 2
+    return np.minimum(np.bincount((mix(features) % np.uint64(width)).astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
+
+
+def folded(bins: list[bytes], width: int) -> np.ndarray:
+    """The bins of sets as rows of one width, which none of them is under."""
+    own = np.fromiter(map(len, bins), dtype=np.int64, count=len(bins))
+    out = np.empty((len(bins), width), dtype=np.int16)
+    for w in np.unique(own).tolist():
+        at = np.flatnonzero(own == w)
+        out[at] = np.frombuffer(b"".join(bins[i] for i in at.tolist()), dtype=np.uint8).reshape(len(at), w // width, width).sum(axis=1, dtype=np.int16)
+    return out
+
+
+def bin_distances(p: list[bytes], q: list[bytes]) -> np.ndarray:
+    """The lower bounds of the distances of pairs of sets, given their bins."""
+    width = np.fromiter((min(len(x), len(y)) for x, y in zip(p, q, strict=True)), dtype=np.int64, count=len(p))
+    out = np.zeros(len(p), dtype=np.int64)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        out[at] = np.abs(folded([p[i] for i in at.tolist()], w) - folded([q[i] for i in at.tolist()], w)).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def node_of(features: np.ndarray) -> int:
@@ -341,9 +369,8 @@ def pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def make() -> Callable:
         def work(batch):
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("binsa", "binsb"))
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            mask = pa.array(close_enough(na, nb, np.abs(p - q).sum(axis=1, dtype=np.int64), percent))
+            mask = pa.array(close_enough(na, nb, bin_distances(*(batch.column(c).to_pylist() for c in ("binsa", "binsb"))), percent))
             yield {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
 
         return work
@@ -365,33 +392,77 @@ def across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     # a block meets itself and the others once: the pair of blocks is the key
     met = rows.select("sig", "node", "component", "n", "bins", "known", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
     keyed = met.select("sig", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "component", "n", "bins", "known", "_own")
-    schema = "a long, b long"
-
-    def pairs(table: pa.Table) -> pa.Table:
-        node, comp, n, own = (table.column(c).to_numpy() for c in ("node", "component", "n", "_own"))
-        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
-        sig, x, y = (table.column(c)[0].as_py() for c in ("sig", "x", "y"))
-        known = np.full((len(node), KNOWN), -1, dtype=np.int64)
-        for row, own_sigs in enumerate(table.column("known").to_pylist()):
-            less = [s for s in own_sigs if s < sig]
-            known[row, : len(less)] = less
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        right = right[np.argsort(n[right], kind="stable")]  # partners of a size are next to each other
-        small = n[right]
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for i in left.tolist():
-            js = right[np.searchsorted(small, -(-n[i] * percent // 100)) : np.searchsorted(small, n[i] * 100 // percent, side="right")]
-            js = js[(comp[js] != comp[i]) & (node[js] > node[i] if x == y else True)]
-            if len(js):
-                js = js[close_enough(n[js], n[i], np.abs(bins[js] - bins[i]).sum(axis=1, dtype=np.int64), percent)]
-                mine = known[i][known[i] >= 0]
-                if len(mine) and len(js):
-                    js = js[~(known[js][:, :, None] == mine).any(axis=(1, 2))]
-                a.append(np.minimum(node[js], node[i]))
-                b.append(np.maximum(node[js], node[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return keyed.groupBy("sig", "x", "y").applyInArrow(pairs, schema).distinct()  # of a pair's signatures the smallest may not be known
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def make() -> Callable:
+        held: list[pa.RecordBatch] = []  # the last group, which may go on in the next batch
+
+        def done(rows: pa.Table) -> dict:
+            """The pairs of the groups in rows, all of which are whole."""
+            columns = {c: rows.column(c).to_numpy() for c in ("sig", "x", "y", "node", "component", "n", "_own")}
+            bins, known = rows.column("bins").to_pylist(), _known(rows.column("known").combine_chunks(), columns["sig"])
+            starts = _starts(columns)
+            found = [_group_pairs({c: v[i:j] for c, v in columns.items()}, bins[i:j], known[i:j], percent) for i, j in zip(starts, [*starts[1:], rows.num_rows], strict=True)]
+            return {n: np.concatenate([f[k] for f in found]) for k, n in enumerate("ab")}
+
+        def work(batch):
+            rows = pa.Table.from_batches([*held, batch])
+            last = _starts({c: rows.column(c).to_numpy() for c in ("sig", "x", "y")})[-1]
+            held[:] = rows.slice(last).to_batches()
+            if last:
+                yield done(rows.slice(0, last))
+
+        def rest():
+            if held:
+                yield done(pa.Table.from_batches(held))
+                held.clear()
+
+        work.finish = rest
+        return work
+
+    dealt = keyed.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    return map_batches(dealt, make, schema).distinct()  # of a pair's signatures the smallest may not be known
+
+
+def _starts(columns: dict[str, np.ndarray]) -> list[int]:
+    """Where the groups of sorted (sig, x, y) begin."""
+    sig, x, y = (columns[c] for c in ("sig", "x", "y"))
+    return [0, *(np.flatnonzero((sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist()]
+
+
+def _known(lists: pa.ListArray, sig: np.ndarray) -> np.ndarray:
+    """The known signatures that are smaller than the row's own, KNOWN in a row, with -1 for none."""
+    counts = lists.value_lengths().to_numpy()
+    out = np.full((len(counts), KNOWN), -1, dtype=np.int64)
+    out[np.arange(KNOWN) < counts[:, None]] = lists.flatten().to_numpy()
+    out[out >= sig[:, None]] = -1
+    return out
+
+
+def _group_pairs(columns: dict[str, np.ndarray], bins: list[bytes], known: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one pair of blocks: sizes, components and bins allow them, and no smaller signature is known to have them."""
+    node, comp, n, own = (columns[c] for c in ("node", "component", "n", "_own"))
+    x, y = columns["x"][0], columns["y"][0]
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    right = right[np.argsort(n[right], kind="stable")]  # partners of a size are next to each other
+    low = np.searchsorted(n[right], -(-n[left] * percent // 100))
+    count = np.searchsorted(n[right], n[left] * 100 // percent, side="right") - low
+    ends = count.cumsum()
+    total = int(ends[-1]) if len(ends) else 0
+    matrix = folded(bins, min(map(len, bins))) if total else None
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for at in range(0, total, STEP):
+        place = np.arange(at, min(at + STEP, total))
+        who = np.searchsorted(ends, place, side="right")
+        i, j = left[who], right[low[who] + place - (ends - count)[who]]
+        keep = (comp[i] != comp[j]) & ((node[j] > node[i]) | (x != y))
+        i, j = i[keep], j[keep]
+        keep = close_enough(n[i], n[j], np.abs(matrix[i] - matrix[j]).sum(axis=1, dtype=np.int64), percent)
+        i, j = i[keep], j[keep]
+        keep = ~((known[i][:, :, None] == known[j][:, None, :]) & (known[i] >= 0)[:, :, None]).any(axis=(1, 2))
+        a.append(np.minimum(node[i], node[j])[keep])
+        b.append(np.maximum(node[i], node[j])[keep])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:

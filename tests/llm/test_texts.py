@@ -151,6 +151,20 @@ def test_signatures_meet_whenever_sets_are_similar():
             assert np.abs(p - q).sum() <= len(a ^ b)
 
 
+def test_bins_of_different_widths_bound_the_distance():
+    rng = random.Random(11)
+    sets = []
+    for n in (100, 256, 257, 500, 513, 2048, 2049, 4097, 9000):
+        a = {rng.getrandbits(64) for _ in range(n)}
+        sets += [a, set(sorted(a)[: n * 9 // 10]) | {rng.getrandbits(64) for _ in range(n // 5)}]
+    bins = [jaccard_join.bins_of(np.array(sorted(s), dtype=np.uint64)) for s in sets]
+    assert {len(b) for b in bins} == {128, 256, 512, 1024, 2048}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    got = jaccard_join.bin_distances([bins[i] for i, _ in pairs], [bins[j] for _, j in pairs])
+    assert all(d <= len(sets[i] ^ sets[j]) for d, (i, j) in zip(got.tolist(), pairs, strict=True))
+    assert all(d == 0 for d, (i, j) in zip(got.tolist(), pairs, strict=True) if i == j)
+
+
 def test_one_of_each(spark):
     docs = frame(spark, [(5, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (9, "z"), (8, None), (7, "")])
     kept = jaccard_join.one_of_each(docs)
