@@ -2,7 +2,7 @@
 
 Labels are node numbers; a component is named by its smallest node. Every round is written to the
 shared scratch folder, so lineage stays short and nothing of the graph comes to the driver but two numbers a round.
-Minima are aggregated before the shuffle, so a node with very many links is no hot spot.
+Minima are aggregated before the shuffle. A node with very many links still meets its minimum by a join on the node, in as many tasks as adaptive execution splits it into.
 """
 
 from __future__ import annotations
