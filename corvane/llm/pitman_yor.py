@@ -312,6 +312,15 @@ def hot_counts(rows: DataFrame, hot: np.ndarray, modulus: int, rest: int) -> tup
     return tuple(found.column(c).to_numpy().astype(np.int64)[order] for c in ("h", "context", "n"))
 
 
+def neighbours(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows whose numbers follow one another, at most `most`: a batch may hold the end of one file and the start of the next."""
+    row = batch.column("row").to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(row) != 1) + 1).tolist(), len(row)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        for at in range(lo, hi, most):
+            yield batch.slice(at, min(most, hi - at))
+
+
 def cold_buckets(rows: DataFrame, hot: np.ndarray, buckets: int, modulus: int, rest: int) -> DataFrame:
     """A table with a row for each bucket of words: pairs (word, context), training counts, and the documents of each pair."""
 
@@ -319,8 +328,7 @@ def cold_buckets(rows: DataFrame, hot: np.ndarray, buckets: int, modulus: int, r
         words = Words()
 
         def work(batch):
-            for at in range(0, batch.num_rows, 60_000):
-                part = batch.slice(at, 60_000)
+            for part in neighbours(batch, 60_000):
                 each, hashes, before, size = words.read(texts_of(part))
                 cold = np.ones(len(hashes), dtype=bool)
                 if len(hot):

@@ -529,3 +529,15 @@ def test_length_alone_casts_no_vote():
     text = " ".join(random.Random(3).choice(many) for _ in range(1_234)).split()
     want = sum(len(set(text[a : a + quality.WINDOW])) for a in (0, 500, 1000)) / 1_234
     assert reader.read(" ".join(text))[0].distinct == want
+
+
+def test_scores_over_many_small_files(spark):
+    """A task that reads many files gets rows of several of them in one batch, whose numbers don't follow one another."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(1, 30)))) for i in range(400)]
+    got = pitman_yor.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(40)).collect()
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 7 == 2}
+    counts = Counter(w for d, t in rows if d not in held for w in [*t.split(), None])
+    n, v = sum(counts.values()), len(counts)
+    want = [(d, d in held, len(t.split()) + 1, sum(counts[w] > 0 for w in [*t.split(), None]), n, round(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in [*t.split(), None]), 5)) for d, t in rows]
+    assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
