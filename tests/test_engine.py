@@ -221,3 +221,26 @@ def test_streams_are_counted(spark, tmp_path):
         spark.streams.removeListener(listener)
     told = dict(line.rsplit(" ", 1) for line in metrics.render().splitlines())
     assert told['stream_batches_total{query="lines"}'] == "3" and told['stream_input_rows_total{query="lines"}'] == "6" and told['stream_starts_total{query="lines"}'] == "1"
+
+
+def test_dense_search_sends_no_query_twice_to_a_part(spark, monkeypatch):
+    """Whatever groups the queries are dealt to and however often candidates are cut, the list is that of all pairs; copies of one vector don't fill the sample."""
+    import numpy as np
+
+    from corvane.operators import dense
+
+    monkeypatch.setattr(dense, "GROUP", 40 * 8)
+    monkeypatch.setattr(dense, "HELD", 60)
+    monkeypatch.setattr(dense, "SAMPLE", 64 * 8)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 8))
+    v[100:300] = v[0]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in dense.dense_top(rows, asked, 7).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = np.round(u[::4] @ u.T, 9)
+    assert got == {(4 * q, n + 1): int(i) for q, s in enumerate(scores) for n, i in enumerate(np.lexsort((np.arange(400), -s))[:7])}
+    sample, _ = dense.sampled(rows, "embedding", [dense.F.lit(None).alias("about")])
+    assert len(np.unique(np.round(sample, 9), axis=0)) > 8  # the 201 copies aren't all there is
+    assert not hasattr(dense, "written")  # blocks and queries aren't joined by block any more
