@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.functions.identity import FACT_BASE
+from corvane.sources.scratch import written
 
 _HEADING = r"^(#{1,6})" + X.SPACE + r"+(.*)$"
 _LEVELS = range(1, 7)
@@ -23,10 +24,13 @@ def lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, line, raw, bare, at, row, separator, level, title): at is the line's first character, counted from 0."""
     ends = X.LINE_END
     inside = f"[^{X.LINE_BREAKS}]"
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({inside}*(?:{ends})|{inside}+)"), F.lit(1))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    any_end = F.regexp_extract_all(whole, F.lit(f"({inside}*(?:{ends})|{inside}+)"), F.lit(1))
+    feeds = F.filter(F.split(whole, "(?<=\n)", -1), lambda x: x != "")  # much quicker, where line feeds are all the ends there are
+    pieces = F.when(F.translate(whole, X.BREAKS.replace("\n", ""), "") == whole, feeds).otherwise(any_end)
     each = docs.select(id, F.posexplode(pieces).alias("line", "raw"))
     order = Window.partitionBy(id).orderBy("line")
-    bare = F.regexp_replace("raw", f"(?:{ends})$", "")
+    bare = F.translate("raw", X.BREAKS, "")  # a piece has no break but its end
     stripped = X.strip(F.col("bare"))
     found = each.withColumn("at", F.coalesce(F.sum(F.length("raw")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("bare", bare)
     marked = found.withColumn("row", X.is_row(F.col("bare"))).withColumn("separator", X.is_separator(F.col("bare")))
@@ -125,6 +129,11 @@ def _prose(docs: DataFrame, marked: DataFrame, size: int, overlap: int, id: str,
     return span.select(id, "from", "to", F.lit(0).alias("part"), body.alias("text"), "path", "token_count", F.lit(None).cast("int").alias("table_index"))
 
 
+def _outline(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """The outlined lines as a table, for what reads them several times: len is a line's length with its end."""
+    return written(outlined(lines(docs, id, text), id).withColumn("len", F.length("raw")).drop("raw", "title", "heading"), "lines")
+
+
 def _groups(size: int):
     """A column function from the word counts of a table's rows and of its header to the number of each row's group: rows go in order into groups of as many words as the size leaves."""
 
@@ -148,9 +157,9 @@ def _table_chunks(marked: DataFrame, size: int, id: str) -> DataFrame:
     """A chunk for each group of rows of a table, with the table's two head lines; a table without rows is one chunk."""
     count = lambda c: F.size(X.words(c))
     inside = marked.where("table is not null").withColumn("n", count(F.col("bare")))
-    line = F.struct("line", "bare", "n", "at", F.length("raw").alias("len"), "path")
+    line = F.struct("line", "bare", "n", "at", "len", "path")
     is_head = F.col("line") < F.col("start") + 2
-    grouped = inside.groupBy(id, "table").agg(F.array_sort(F.collect_list(F.when(is_head, line))).alias("head"), F.array_sort(F.collect_list(F.when(~is_head, F.struct("line", "n")))).alias("r"), F.sum("n").alias("total"), F.max_by(F.col("at") + F.length("raw"), "line").cast("int").alias("to"))
+    grouped = inside.groupBy(id, "table").agg(F.array_sort(F.collect_list(F.when(is_head, line))).alias("head"), F.array_sort(F.collect_list(F.when(~is_head, F.struct("line", "n")))).alias("r"), F.sum("n").alias("total"), F.max_by(F.col("at") + F.col("len"), "line").cast("int").alias("to"))
     spread = grouped.select(id, "table", "head", "to", "r", _groups(size)(F.col("r.n"), F.col("head")[0]["n"], F.col("total")).alias("g"))
     first = F.struct(F.lit(-1).alias("line"), F.lit(0).alias("part"))  # the first part is there without rows, too
     parts = spread.select(id, "table", F.inline(F.concat(F.array(first), F.arrays_zip(F.col("r.line").alias("line"), F.col("g").alias("part")))))
@@ -161,7 +170,7 @@ def _table_chunks(marked: DataFrame, size: int, id: str) -> DataFrame:
     return each.select(id, F.col("head")[0]["at"].cast("int").alias("from"), "to", "part", body.alias("text"), F.col("head")[0]["path"].alias("path"), count(body).cast("long").alias("token_count"), F.col("table").alias("table_index"))
 
 
-def chunks(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: str = "text", pages: str | None = None) -> DataFrame:
+def chunks(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: str = "text", pages: str | None = None, marked: DataFrame | None = None) -> DataFrame:
     """(id, chunk_index, text, section_path, page_from, page_to, token_count, table_index) in document order.
 
     Prose becomes word windows that cross headings but not tables, with the section path of their first word;
@@ -169,8 +178,7 @@ def chunks(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: s
     """
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the size")
-    lined = lines(docs, id, text)
-    marked = outlined(lined, id)
+    marked = _outline(docs, id, text) if marked is None else marked
     both = _prose(docs, marked, size, overlap, id, text).unionByName(_table_chunks(marked, size, id))
     bounds = docs.select(id, (F.col(pages) if pages else F.lit(None).cast("array<int>")).alias("_pages"))
     order = Window.partitionBy(id).orderBy("from", "part")
@@ -217,10 +225,11 @@ def facts(docs: DataFrame, id: str = "doc_id", text: str = "text", whole: bool =
 
 def units(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: str = "text", pages: str | None = None, whole: bool = True) -> DataFrame:
     """Chunks and facts as one table: facts are numbered from FACT_BASE, and what comes from tables carries its whole table (if `whole`). kind is prose, table or fact."""
-    told = facts(docs, id, text, whole=False)
+    marked = _outline(docs, id, text)
+    told = _facts(marked, id)
     rows = told.select(id, (F.col("fact") + FACT_BASE).alias("chunk_index"), "text", "section_path", F.lit(None).cast("int").alias("page_from"), F.lit(None).cast("int").alias("page_to"), F.size(X.words(F.col("text"))).cast("long").alias("token_count"), "table_index")
-    both = chunks(docs, size, overlap, id, text, pages).select(rows.columns).unionByName(rows)
+    both = chunks(docs, size, overlap, id, text, pages, marked).select(rows.columns).unionByName(rows)
     if whole:
-        both = both.join(_wholes(outlined(lines(docs, id, text), id), told, id), [id, "table_index"], "left").select(*rows.columns, "table_markdown")
+        both = both.join(_wholes(marked, told, id), [id, "table_index"], "left").select(*rows.columns, "table_markdown")
     kind = F.when(F.col("chunk_index") >= FACT_BASE, "fact").when(X.strip(F.col("text")).startswith("|"), "table").otherwise("prose")
     return both.withColumn("kind", kind)
