@@ -244,3 +244,25 @@ def test_dense_search_sends_no_query_twice_to_a_part(spark, monkeypatch):
     sample, _ = dense.sampled(rows, "embedding", [dense.F.lit(None).alias("about")])
     assert len(np.unique(np.round(sample, 9), axis=0)) > 8  # the 201 copies aren't all there is
     assert not hasattr(dense, "written")  # blocks and queries aren't joined by block any more
+
+
+@pytest.mark.parametrize("ask", ["rerank_jaccard", "result_projection", "first_hits"])
+def test_lexical_searches_tokenize_documents_once(spark, monkeypatch, tmp_path, ask):
+    """One pass over the documents finds lengths, frequencies and both lists' matches; candidates then meet the texts without a shuffle of these."""
+    from corvane.plans import catalog
+
+    given = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        given.add(1)
+        return t
+
+    rows = [(i, f"{'apple' if i % 3 else 'pear'} word{i} plum") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(20, "apple plum"), (40, "word7 zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = catalog.queries()[ask](spark, str(tmp_path)).collect()
+    monkeypatch.setattr(lexical, "matches", lambda docs, *a, _m=lexical.matches: _m(docs.withColumn("text", seen("text")), *a))
+    found = catalog.queries()[ask](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain)) and plain
+    assert given.value == len(rows)
