@@ -246,6 +246,17 @@ def test_dense_search_sends_no_query_twice_to_a_part(spark, monkeypatch):
     assert not hasattr(dense, "written")  # blocks and queries aren't joined by block any more
 
 
+def test_most_frequent_tokens_are_counted_where_they_stand(spark):
+    """Ids of one row have no token shuffled; rows that share an id, or have none, add up."""
+    rows = [(1, "b a B c c\x1cC"), (2, None), (3, " "), (4, "é e É"), (5, "x y"), (5, "y z"), (None, "q"), (None, "q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, "c", 3, 1), (1, "b", 2, 2), (4, "é", 2, 1), (4, "e", 1, 2), (5, "y", 2, 1), (5, "x", 1, 2), (None, "q", 2, 1), (None, "r", 1, 2)}
+    assert {tuple(r) for r in lexical.top_tokens(docs, 2).collect()} == want
+    alone = lexical.top_tokens(docs.where("doc_id < 5"), 2)
+    assert {tuple(r) for r in alone.collect()} == {w for w in want if w[0] in (1, 4)}
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("ask", ["rerank_jaccard", "result_projection", "first_hits"])
 def test_lexical_searches_tokenize_documents_once(spark, monkeypatch, tmp_path, ask):
     """One pass over the documents finds lengths, frequencies and both lists' matches; candidates then meet the texts without a shuffle of these."""
