@@ -93,3 +93,11 @@ def test_stems():
 @given(st.text(max_size=12))
 def test_stemming_never_fails(word):
     assert isinstance(encoders.stem_word(word.casefold()), str)
+
+
+def test_only_texts_that_composition_may_change_leave_the_jvm(spark):
+    texts = [None, "", "plain", "café ˿", "café", "á̧ 가 Å", "\U0001f600 " * 3]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    composed = rows.select("i", X.nfc(F.col("t")).alias("t"))
+    assert dict(map(tuple, composed.collect())) == {i: None if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+    assert "RLIKE" in composed._jdf.queryExecution().executedPlan().toString()
