@@ -274,3 +274,28 @@ def test_an_empty_index(spark, tmp_path):
     index.ensure(1, 2)
     results, meta = search_index(index, _asked(spark, {"query_id": "q"}))
     assert results.count() == 0 and [(r["status"], r["n_results"]) for r in meta.collect()] == [("OK", 0)]
+
+
+def test_writes_shuffle_points_once_and_deletions_not_at_all(spark, tmp_path, monkeypatch):
+    """An upsert has one exchange, by bucket; a deletion leaves points in their places; postings are made where the points are read, term by term what these hold."""
+    from collections import Counter
+
+    plans = []
+    swap = PointIndex._swap
+    monkeypatch.setattr(PointIndex, "_swap", lambda self, state, rows, *a, **k: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), swap(self, state, rows, *a, **k))[1])
+    rows = [{"id": f"p{i:03}", "document_id": f"d{i}", "document_version": 1, "index_version": 1, "chunk_index": 0, "dense": [1.0, float(i)], "sparse": [(t, i + t / 8) for t in range(i % 5)]} for i in range(40)]
+    points = spark.createDataFrame([tuple(r.get(f.name) for f in POINT) for r in rows], POINT)
+    index = PointIndex(spark, f"file://{tmp_path}/i", buckets=2, shards=2)
+    index.ensure(1, 2)
+    index.upsert(points)
+    index.upsert(points.where("id < 'p010'").withColumn("document_version", F.lit(2)))
+    index.delete_documents(points.where("id like '%3'").select("document_id"))
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1, 0]
+    held = index.placed().collect()
+    assert len(held) == 36 and {r["id"] for r in held if r["document_version"] == 2} == {f"p{i:03}" for i in range(10) if i != 3}
+    for b in {r["bucket"] for r in held}:
+        assert [r["id"] for r in sorted((r for r in held if r["bucket"] == b), key=lambda r: r["ord"])] == sorted(r["id"] for r in held if r["bucket"] == b)
+    posted = index.postings(1).collect()
+    assert all(0 < len(r["ords"]) <= index_module.BLOCK and r["ords"] == sorted(r["ords"]) and r["best"] == max(r["weights"]) and r["shard"] == r["idx"] % 2 for r in posted)
+    got = Counter((r["bucket"], o, r["idx"], w) for r in posted for o, w in zip(r["ords"], r["weights"], strict=True))
+    assert got == Counter((r["bucket"], r["ord"], s["idx"], s["weight"]) for r in held for s in r["sparse"])
