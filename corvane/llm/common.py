@@ -66,6 +66,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """Write df to a scratch folder as a table bucketed by key. Two such tables of as many buckets are joined on the key without a shuffle."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "uncompressed").saveAsTable(table)
+    atexit.register(partial(_drop, spark, table))
+    return spark.table(table)
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    """Drop a scratch table when the driver ends, if its session still runs."""
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # noqa: BLE001  the session has gone, and a catalog in memory with it
+        pass
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """A written copy of df with a number for each row in the column `name`. Every job reads the same numbers, however its scan is split."""
     return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")

@@ -1,11 +1,8 @@
 """A hierarchical Pitman-Yor language model over words.
 
-A restaurant for each context seats the words that follow it; its tables send customers to its parent's
-restaurant. The contexts of a word are, from the finest: the class of the word before it, the coarse
-class of that word, and none (the root, over a base measure). A short word is nearly a class of its own (a hash of
-it), a longer one shares a class with words of the same ending. So there are CLASSES
-fine and COARSE coarse contexts whatever the input, and their totals are a few numbers on the driver,
-while words, and pairs of word and context, grow with the corpus and stay distributed.
+The restaurant of a context, the word before, seats the words that follow it; its tables send customers to the
+root's restaurant, whose tables are dishes from a base measure. Each distinct word is a context of its own, and so is
+the boundary before a text's first word. A context that training hasn't met gives its parent's probability.
 
 Seating is sampled by blocked Gibbs sweeps: the customers of a dish in a restaurant are
 unseated together and the number of their tables is drawn from its conditional given all
@@ -14,9 +11,13 @@ with this dish. Above LARGE customers of a dish, those beyond are seated in one
 tables with the process's expected growth. Restaurants' totals are those of the sweep before. Predictive probabilities
 are averaged over the sweeps after the burn-in.
 
-Words are dealt to buckets by hash, each with all its pairs, in blobs made by the map side. Words that a sample shows
-to be very frequent are kept out of that: their counts are aggregated by pair and
-held on the driver (there can be only 1 / HOT_SHARE of them), and their tokens are scored where the texts are read.
+Contexts are dealt to buckets by hash, each with all its pairs (context, word), in blobs made by the map side. The root's
+dishes are dealt to shards by hash of the word: after each sweep a bucket sends its tables of each of its words to the shards,
+which seat the root's customers and send back each word's root counts. Buckets and replies are bucketed tables, joined without a shuffle.
+
+A word that a sample shows to be very frequent is hot (there can be only 1 / HOT_SHARE of them). As a context it is spread over the buckets
+by the word that follows, and its totals are two numbers on the driver. A pair of two hot words is counted like all others,
+but scored where the texts are read, by a table of at most 1 / HOT_SHARE squared values, so that its occurrences needn't meet in one place.
 """
 
 from __future__ import annotations
@@ -31,49 +32,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_batches, numbered, texts_of, written
+from corvane.llm.common import bucketed, map_batches, texts_of
 
-SHORT_CLASSES, LONG_CLASSES, COARSE = 8192, 1024, 64
-CLASSES = SHORT_CLASSES + LONG_CLASSES + 1
+#: Contexts of a Seats that isn't told how many it has, and the last of them.
+CLASSES = 9217
 START = CLASSES - 1
-#: A word of at most so many bytes is a context by itself, a longer one by its ending.
-SHORT = 4
 #: A word with this share of a sample's tokens is hot; the sample has about HOT_DOCS documents.
 HOT_SHARE, HOT_DOCS = 1 / 1000, 2000
-#: Documents that a bucket of words stands for, about.
+#: Documents that a bucket of contexts stands for, about.
 BUCKET_DOCS = 4096
 #: Customers of a dish up to which table numbers are drawn exactly.
 LARGE = 48
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
-END, BEGIN = b" end", b" begin"  # no word has a blank
-
-
-def parents() -> np.ndarray:
-    """The coarse context of each fine one."""
-    return (np.arange(CLASSES) % COARSE).astype(np.int64)
+END = b" end"  # no word has a blank
 
 
 class Words:
-    """Tokens of texts as numbers, with hashes and classes. Made once in a task."""
+    """Tokens of texts as numbers, with hashes: numbers go on from text to text until clear()."""
 
     def __init__(self):
         from xxhash import xxh64_intdigest
 
         self.digest = xxh64_intdigest
+        self.clear()
 
-    def class_of(self, word: bytes) -> int:
-        if len(word) <= SHORT:
-            # the coarse class is the remainder: words of the same last byte share it
-            return self.digest(word) % (SHORT_CLASSES // COARSE) * COARSE + word[-1] % COARSE
-        return SHORT_CLASSES + self.digest(word[-2:]) % (LONG_CLASSES // COARSE) * COARSE + word[-1] % COARSE
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {END: 0}
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of each token, class before each token, tokens of each text); an end is each text's last token.
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each token, tokens of each text); an end, number 0, is each text's last token.
 
         ASCII case is folded and words are split at ASCII white space: bytes' own lower() and split() do just that.
         """
-        number: dict[bytes, int] = {END: 0}
+        number = self.number
         ids: list[int] = []
         sizes = []
         for text in texts:
@@ -83,14 +75,37 @@ class Words:
             ids.extend(map(number.__getitem__, words))
             ids.append(0)
             sizes.append(len(words) + 1)
-        each = np.array(ids, dtype=np.int64)
-        hashes = np.fromiter(map(self.digest, number), dtype=np.uint64, count=len(number))
-        classes = np.fromiter(map(self.class_of, number), dtype=np.int64, count=len(number))
-        size = np.array(sizes, dtype=np.int64)
-        before = np.empty(len(each), dtype=np.int64)
-        before[1:] = classes[each[:-1]]
-        before[size.cumsum() - size] = START
-        return each, hashes, before, size
+        return np.array(ids, dtype=np.int32), np.array(sizes, dtype=np.int64)
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(self.digest, self.number), dtype=np.uint64, count=len(self.number))
+
+
+def places(hot: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The number of each hash among the hot ones, or -1."""
+    if not len(hot):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+    return np.where(hot[at] == hashes, at, -1)
+
+
+def packed(values: np.ndarray, kind: str, rising: bool = False) -> bytes:
+    """Numbers as compressed bytes, after their length: all first bytes, all second bytes and so on. Rising ones as their differences."""
+    x = np.ascontiguousarray(values, dtype=kind)
+    if not len(x):
+        return b""
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    raw = x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=kind)
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd")
+    x = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+    return x.cumsum(dtype=kind) if rising else x
 
 
 def learns(doc_ids: list, modulus: int, rest: int) -> np.ndarray:
@@ -137,22 +152,18 @@ def draw_tables(c: np.ndarray, weight: np.ndarray, discount: float, table: np.nd
 
 @dataclass
 class Totals:
-    """Customers and tables of each restaurant, by level from the root (0) to the fine contexts (2)."""
-
-    customers: list[np.ndarray]
-    tables: list[np.ndarray]
+    """Customers and tables of the root, and of those contexts that aren't whole in one place."""
 
-    @staticmethod
-    def none() -> Totals:
-        sizes = (1, COARSE, CLASSES)
-        return Totals([np.zeros(s) for s in sizes], [np.zeros(s) for s in sizes])
+    root: tuple[float, float]
+    customers: np.ndarray
+    tables: np.ndarray
 
 
 @dataclass
 class Model:
-    """What all seats share: discounts by level, the base measure's values, the totals of each sweep so far."""
+    """What all seats share: discounts of root and contexts, the base measure's values, the totals of each sweep so far."""
 
-    discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
+    discounts: tuple[float, float] = (0.5, 0.5)
     seen: int = 0  # distinct words
     unseen: float = 0.5  # share of the base measure on words that training hasn't seen; the rest is uniform over those it has
     history: list[Totals] = field(default_factory=list)
@@ -160,391 +171,442 @@ class Model:
     def base(self, known: np.ndarray) -> np.ndarray:
         return np.where(known, (1 - self.unseen) / max(1, self.seen), self.unseen)
 
-    def root(self, totals: Totals, c: np.ndarray, t: np.ndarray, known: np.ndarray) -> np.ndarray:
-        d, all_c, all_t = self.discounts[0], totals.customers[0][0], totals.tables[0][0]
-        return (np.maximum(c - d * t, 0) + (STRENGTH + d * all_t) * self.base(known)) / (STRENGTH + all_c)
+    def root(self, totals: Totals, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The root's probabilities of words with c customers at t tables."""
+        d, (all_c, all_t) = self.discounts[0], totals.root
+        return (np.maximum(c - d * t, 0) + (STRENGTH + d * all_t) * self.base(c > 0)) / (STRENGTH + all_c)
+
+    def root_tables(self, totals: Totals, c: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables of the root's dishes, drawn anew."""
+        d = self.discounts[0]
+        return drawn(c, (STRENGTH + d * totals.root[1]) * self.base(c > 0), d, rng)
 
-    def at(self, level: int, totals: Totals, where: np.ndarray, c: np.ndarray, t: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        d, all_c, all_t = self.discounts[level], totals.customers[level][where], totals.tables[level][where]
-        return (np.maximum(c - d * t, 0) + (STRENGTH + d * all_t) * parent) / (STRENGTH + all_c)
+
+def drawn(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """draw_tables where there is a choice: no customer has no table and one has one."""
+    t = np.minimum(c, 1)
+    many = np.flatnonzero(c > 1)
+    t[many] = draw_tables(c[many], weight[many], discount, stirling(discount), rng)
+    return t
 
 
 class Seats:
-    """The seating of some words' customers: all their pairs (word, fine context, count), words numbered from 0."""
-
-    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, words: int, seed: int):
-        self.word, self.context, self.count, self.words, self.seed = word, context, count, words, seed
-        coarse = parents()[context] if len(context) else context
-        self.fine = word * CLASSES + context
-        self.pairs, self.up = np.unique(word * COARSE + coarse, return_inverse=True)
-        self.coarse_word, self.coarse_at = self.pairs // COARSE, self.pairs % COARSE
-        self.known = np.bincount(word, weights=count, minlength=words) > 0
-        self.t2 = np.ones(len(word), dtype=np.int64)
-        self.t1 = np.ones(len(self.pairs), dtype=np.int64)
-        self._climb()
-        self.t0 = self.known.astype(np.int64)
-
-    def _climb(self) -> None:
-        """Customers of the upper levels: the tables below."""
-        self.c1 = np.bincount(self.up, weights=self.t2, minlength=len(self.pairs)).astype(np.int64)
-        self.t1 = np.minimum(self.t1, self.c1)
-        self.c0 = np.bincount(self.coarse_word, weights=self.t1, minlength=self.words).astype(np.int64)
-
-    def upper(self, model: Model, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
-        """(root probability of each word, coarse probability of each pair)."""
-        p0 = model.root(totals, self.c0, self.t0, self.known)
-        return p0, model.at(1, totals, self.coarse_at, self.c1, self.t1, p0[self.coarse_word])
+    """The seating of some pairs (word, context, count), words and contexts numbered from 0.
+
+    place: where a context's totals are in Totals, or -1 if all its pairs are here; without it they all are in Totals.
+    roots: root customers and tables of the words after each sweep; without them all pairs of the words are here.
+    """
+
+    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, words: int, seed: int, contexts: int = CLASSES, place: np.ndarray | None = None, roots: list | None = None):
+        self.word, self.context, self.count, self.words, self.seed, self.contexts = word, context, count, words, seed, contexts
+        self.place, self.roots = np.arange(contexts) if place is None else place, roots
+        self.customers = np.bincount(context, weights=count, minlength=contexts)
+        self.t1 = np.minimum(count, 1)
+        self.c0 = self.below()
+        self.t0 = np.minimum(self.c0, 1)
+
+    def below(self) -> np.ndarray:
+        """The words' tables in these contexts: customers of the root."""
+        return np.bincount(self.word, weights=self.t1, minlength=self.words).astype(np.int64)
+
+    def restaurants(self, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each context."""
+        c, t = self.customers.copy(), np.bincount(self.context, weights=self.t1, minlength=self.contexts).astype(float)
+        shared = np.flatnonzero(self.place >= 0)
+        c[shared], t[shared] = totals.customers[self.place[shared]], totals.tables[self.place[shared]]
+        return c, t
 
     def sweep(self, model: Model, totals: Totals, number: int) -> None:
         rng = np.random.default_rng([self.seed & 0xFFFFFFFF, number])
-        d0, d1, d2 = model.discounts
-        p0, p1 = self.upper(model, totals)
-        self.t2 = draw_tables(self.count, (STRENGTH + d2 * totals.tables[2][self.context]) * p1[self.up], d2, stirling(d2), rng)
-        self._climb()
-        self.t1 = draw_tables(self.c1, (STRENGTH + d1 * totals.tables[1][self.coarse_at]) * p0[self.coarse_word], d1, stirling(d1), rng)
-        self._climb()
-        self.t0 = np.where(self.known, draw_tables(np.maximum(self.c0, 1), (STRENGTH + d0 * totals.tables[0][0]) * model.base(self.known), d0, stirling(d0), rng), 0)
+        d = model.discounts[1]
+        p0, (_, t) = model.root(totals, self.c0, self.t0), self.restaurants(totals)
+        self.t1 = drawn(self.count, (STRENGTH + d * t[self.context]) * p0[self.word], d, rng)
+        if self.roots is None:
+            self.c0 = self.below()
+            self.t0 = model.root_tables(totals, self.c0, rng)
 
     def totals(self) -> Totals:
-        out = Totals.none()
-        for level, (at, c, t) in enumerate(((np.zeros(self.words, dtype=np.int64), self.c0, self.t0), (self.coarse_at, self.c1, self.t1), (self.context, self.count, self.t2))):
-            n = len(out.customers[level])
-            out.customers[level] = np.bincount(at, weights=c, minlength=n)
-            out.tables[level] = np.bincount(at, weights=t, minlength=n)
+        shared, size = np.flatnonzero(self.place >= 0), self.place.max(initial=-1) + 1
+        out = Totals((float(self.c0.sum()), float(self.t0.sum())), np.zeros(size), np.zeros(size))
+        tables = np.bincount(self.context, weights=self.t1, minlength=self.contexts)
+        out.customers[self.place[shared]], out.tables[self.place[shared]] = self.customers[shared], tables[shared]
         return out
 
     def states(self, model: Model, upto: int) -> Iterator[int]:
         """Sweep after sweep, from the state in which every dish has one table."""
-        yield 0
-        for s in range(1, upto + 1):
-            self.sweep(model, model.history[s - 1], s)
+        for s in range(upto + 1):
+            if s:
+                self.sweep(model, model.history[s - 1], s)
+            if self.roots is not None and s < len(self.roots):
+                self.c0, self.t0 = self.roots[s]
             yield s
 
-    def now(self, model: Model, totals: Totals, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Probabilities of pairs (word, context), which needn't have been seen, under the present seating."""
-        coarse = parents()[context] if len(context) else context
-        p0, p1 = self.upper(model, totals)
-
-        def seen(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-            """Whether each wanted key is there, and its values or 0."""
-            if not len(keys):
-                return [np.zeros(len(wanted), dtype=bool), *(np.zeros(len(wanted)) for _ in values)]
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            has = keys[at] == wanted
-            return [has, *(np.where(has, v[at], 0) for v in values)]
-
-        none = np.zeros(len(word))
-        has, q1 = seen(self.pairs, word * COARSE + coarse, p1)
-        q1 = np.where(has, q1, model.at(1, totals, coarse, none, none, p0[word]))
-        order = self.fine.argsort(kind="stable")
-        _, c, t = seen(self.fine[order], word * CLASSES + context, self.count[order], self.t2[order])
-        return model.at(2, totals, context, c, t, q1)
-
-    def predictive(self, model: Model, word: np.ndarray, context: np.ndarray, step: int = 1 << 22) -> np.ndarray:
-        """Probabilities of pairs averaged over the sweeps after the burn-in."""
+    def now(self, model: Model, totals: Totals, word: np.ndarray, context: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Probabilities of pairs (word, context) under the present seating. own: each pair's number here, or -1."""
+        d = model.discounts[1]
+        p0, (all_c, all_t) = model.root(totals, self.c0, self.t0), self.restaurants(totals)
+        seated = np.append(np.maximum(self.count - d * self.t1, 0), 0.0)
+        return (seated[own] + (STRENGTH + d * all_t[context]) * p0[word]) / (STRENGTH + all_c[context])
+
+    def predictive(self, model: Model, word: np.ndarray, context: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities of pairs, which needn't have been seen, averaged over the sweeps after the burn-in."""
+        if own is None:
+            keys, wanted = self.context * self.words + self.word, context * self.words + word
+            order = keys.argsort(kind="stable")
+            at = np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)
+            own = np.where(keys[order][at] == wanted, order[at], -1) if len(keys) else np.full(len(word), -1)
         total, sweeps, last = np.zeros(len(word)), 0, len(model.history) - 1
         for s in self.states(model, last):
             if s > BURN_IN or s == last:
                 sweeps += 1
-                for at in range(0, len(word), step):
-                    total[at : at + step] += self.now(model, model.history[s], word[at : at + step], context[at : at + step])
+                total += self.now(model, model.history[s], word, context, own)
         return total / sweeps
 
 
 # --- counts in the cluster -----------------------------------------------------------------------------------------
 
-HOT = T.StructType([T.StructField("h", T.LongType()), T.StructField("context", T.IntegerType()), T.StructField("n", T.LongType())])
-BLOBS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("row0", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("hashes", "sizes", "contexts", "docs", "train"))])
-BUCKETS = T.StructType([
-    T.StructField("bucket", T.IntegerType()), T.StructField("words", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("word", "context", "count", "events", "batch", "doc", "row0")),
-])
+#: Tokens and documents of a batch that is dealt at once, about and at most.
+DEAL_TOKENS, DEAL_DOCS = 4_000_000, 60_000
+DEALT = ("contexts", "runs", "words", "word", "count", "events", "docs")
+#: Of a batch of documents: ids, which are null, tokens, and the pairs of hot words with the document of each. Its row has a bucket below 0.
+BATCH = ("ids", "null_ids", "sizes", "pairs", "pair_docs")
+BLOBS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("row0", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in (*DEALT, *BATCH))])
+BUCKETS = T.StructType([*BLOBS, T.StructField("batch", T.BinaryType()), T.StructField("rows0", T.BinaryType())])
+#: What the seats are made from; the rest is for the scores.
+PAIRS = ("bucket", "contexts", "runs", "words", "word", "count")
 
 
 def hot_words(rows: DataFrame, docs: int) -> np.ndarray:
     """Hashes of the words that a sample of about HOT_DOCS documents shows to be very frequent, sorted. Which they are doesn't change any score but for chance."""
     step = max(1, docs // HOT_DOCS)
+    sample = rows.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(step)) == 0).select("text")
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
 
     def make() -> Callable:
         words = Words()
 
         def work(batch):
-            each, hashes, _, _ = words.read(texts_of(batch))
-            yield {"h": pa.array(hashes.view(np.int64)), "n": pa.array(np.bincount(each, minlength=len(hashes)).astype(np.int64))}
+            words.clear()
+            each, _ = words.read(texts_of(batch))
+            yield {"h": pa.array(words.hashes().view(np.int64)), "n": pa.array(np.bincount(each, minlength=len(words.number)).astype(np.int64))}
 
         return work
 
-    counts = map_batches(rows.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("text"), make, schema).groupBy("h").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample, make, schema).groupBy("h").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     found = counts.where(F.col("n") > total * HOT_SHARE).select("h").collect()  # at most 1 / HOT_SHARE rows
     return np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
 
 
-def hot_counts(rows: DataFrame, hot: np.ndarray, modulus: int, rest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the hot word, context, count) over the training documents: at most hot words times CLASSES rows."""
+def split(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash: parts are ranges of hashes."""
+    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
-    def make() -> Callable:
-        words, sums = Words(), {}
 
-        def work(batch):
-            each, hashes, before, size = words.read(texts_of(batch))
-            place = np.searchsorted(hot, hashes)
-            mine = hot[np.minimum(place, len(hot) - 1)] == hashes
-            take = mine[each] & np.repeat(learns(batch.column("doc_id").to_pylist(), modulus, rest), size)
-            pair, n = np.unique(place[each[take]] * CLASSES + before[take], return_counts=True)
-            for p, k in zip(pair.tolist(), n.tolist(), strict=True):
-                sums[p] = sums.get(p, 0) + k
-            if len(sums) > 500_000:
-                yield from flush()
+def by_key(column: str, make: Callable[[list[dict]], Iterator[dict]]) -> Callable:
+    """A task over rows sorted by a column: make() gets all rows of a value."""
+
+    def start() -> Callable:
+        held: list[dict] = []
 
         def flush():
-            p = np.array(list(sums), dtype=np.int64)
-            yield {"h": pa.array(p // CLASSES), "context": pa.array((p % CLASSES).astype(np.int32)), "n": list(sums.values())}
-            sums.clear()
+            if held:
+                rows = held.copy()
+                held.clear()
+                yield from make(rows)
+
+        def work(batch):
+            for row in batch.to_pylist():
+                if held and held[0][column] != row[column]:
+                    yield from flush()
+                held.append(row)
 
         work.finish = flush
         return work
 
-    if not len(hot):
-        return (np.zeros(0, dtype=np.int64),) * 3
-    found = map_batches(rows.select("doc_id", "text"), make, HOT).groupBy("h", "context").agg(F.sum("n").alias("n")).toArrow()
-    order = np.lexsort((found.column("context").to_numpy(), found.column("h").to_numpy()))
-    return tuple(found.column(c).to_numpy().astype(np.int64)[order] for c in ("h", "context", "n"))
+    return start
 
 
-def neighbours(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of rows whose numbers follow one another, at most `most`: a batch may hold the end of one file and the start of the next."""
-    row = batch.column("row").to_numpy()
-    cuts = [0, *(np.flatnonzero(np.diff(row) != 1) + 1).tolist(), len(row)]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        for at in range(lo, hi, most):
-            yield batch.slice(at, min(most, hi - at))
-
-
-def cold_buckets(rows: DataFrame, hot: np.ndarray, buckets: int, modulus: int, rest: int) -> DataFrame:
-    """A table with a row for each bucket of words: pairs (word, context), training counts, and the documents of each pair."""
+def context_buckets(rows: DataFrame, hot: np.ndarray, buckets: int, modulus: int, rest: int) -> DataFrame:
+    """A table with a row for each bucket of contexts: pairs (context, word), training counts, and the documents of each pair; and a row for each batch of documents."""
 
     def deal() -> Callable:
         words = Words()
-
-        def work(batch):
-            for part in neighbours(batch, 60_000):
-                each, hashes, before, size = words.read(texts_of(part))
-                cold = np.ones(len(hashes), dtype=bool)
-                if len(hot):
-                    cold = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] != hashes
-                take = np.flatnonzero(cold[each])
-                doc = np.repeat(np.arange(len(size), dtype=np.uint16), size)[take]
-                h, u = hashes[each[take]], before[take].astype(np.uint16)
-                order = np.lexsort((u, h))
-                h, u, doc = h[order], u[order], doc[order]
-                bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                train = np.packbits(learns(part.column("doc_id").to_pylist(), modulus, rest)).tobytes()
-                row0 = part.column("row")[0].as_py()
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-                out: dict[str, list] = {n: [] for n in BLOBS.names}
-                for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-                    lo, hi = cuts[b], cuts[b + 1]
-                    own, n = np.unique(h[lo:hi], return_counts=True)
-                    for name, value in zip(BLOBS.names, (b, row0, own.tobytes(), n.astype("<u4").tobytes(), u[lo:hi].tobytes(), doc[lo:hi].tobytes(), train), strict=True):
-                        out[name].append(value)
-                yield out
-
-        return work
-
-    def gather() -> Callable:
-        held: list[dict] = []
+        held: dict[str, list] = {"each": [], "sizes": [], "ids": [], "row0": []}
 
         def flush():
-            if held:
-                yield _bucket(held)
-                held.clear()
+            if not held["ids"]:
+                return
+            each, size, ids, row0 = np.concatenate(held["each"]), np.concatenate(held["sizes"]), held["ids"], held["row0"][0]
+            hashes = words.hashes()
+            words.clear()
+            held.update(each=[], sizes=[], ids=[], row0=[])
+            order = np.argsort(hashes)  # words are numbered anew, by hash
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            hashes, each = hashes[order], rank[each]
+            before = np.concatenate([rank[:1], each[:-1]])  # an end stands before each text's first token
+            n, hot_at, bucket = len(hashes), places(hot, hashes), split(hashes, buckets)
+            often = hot_at >= 0
+            key = (np.where(often[before], bucket[each], bucket[before]) * n + before) * n + each
+            del each, before
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            doc = np.repeat(np.arange(len(size), dtype=np.uint16), size)[order]
+            del order
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.add.reduceat(learns(ids, modulus, rest)[doc], first, dtype=np.int64)
+            events = np.diff(np.append(first, len(key)))
+            b, word = np.divmod(key[first], n)
+            del key, first
+            b, context = np.divmod(b, n)
+            both = often[context] & often[word]
+            apart = np.repeat(both, events)
+            pairs = np.repeat(hot_at[context[both]] * len(hot) + hot_at[word[both]], events[both])
+            null_ids = np.array([i is None for i in ids], dtype=np.uint8)
+            out: dict[str, list] = {f: [None] for f in BLOBS.names}
+            values = (packed(np.array([i or 0 for i in ids], dtype=np.int64), "<i8"), packed(null_ids, "u1"), packed(size, "<u4"), packed(pairs, "<u4"), packed(doc[apart], "<u2"))
+            out.update({"bucket": [-1 - row0 % buckets], "row0": [row0]} | {f: [v] for f, v in zip(BATCH, values, strict=True)})
+            yield out
+            doc = doc[~apart]
+            events[both] = 0
+            ends = events.cumsum()
+            cuts = np.searchsorted(b, np.arange(buckets + 1))
+            for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                lo, hi = cuts[k], cuts[k + 1]
+                own, runs = np.unique(context[lo:hi], return_counts=True)
+                mine, at = np.unique(word[lo:hi], return_inverse=True)
+                docs = doc[ends[lo] - events[lo] : ends[hi - 1]]
+                values = (packed(hashes[own], "<u8", True), packed(runs, "<u4"), packed(hashes[mine], "<u8", True), packed(at, "<u4"), packed(count[lo:hi], "<u4"), packed(events[lo:hi], "<u4"), packed(docs, "<u2"))
+                yield {f: [None] for f in BLOBS.names} | {"bucket": [k], "row0": [row0]} | {f: [v] for f, v in zip(DEALT, values, strict=True)}
 
         def work(batch):
-            for blob in batch.to_pylist():
-                if held and held[0]["bucket"] != blob["bucket"]:
+            for at in range(0, batch.num_rows, DEAL_DOCS):
+                part = batch.slice(at, DEAL_DOCS)
+                if len(held["ids"]) + part.num_rows > DEAL_DOCS:
+                    yield from flush()
+                each, sizes = words.read(texts_of(part))
+                for name, value in (("each", each), ("sizes", sizes), ("row0", part.column("row")[0].as_py())):
+                    held[name].append(value)
+                held["ids"].extend(part.column("doc_id").to_pylist())
+                if sum(map(len, held["each"])) > DEAL_TOKENS:
                     yield from flush()
-                held.append(blob)
 
         work.finish = flush
         return work
 
+    def gather(rows: list[dict]) -> Iterator[dict]:
+        if rows[0]["bucket"] >= 0:
+            yield {f: [None] for f in BUCKETS.names} | _bucket(rows)
+        else:
+            for row in rows:
+                yield {f: [None] for f in BUCKETS.names} | {f: [v] for f, v in row.items()}
+
     dealt = map_batches(rows, deal, BLOBS).repartition(buckets, "bucket").sortWithinPartitions("bucket", "row0")
-    return written(map_batches(dealt, gather, BUCKETS), "buckets")
+    return bucketed(map_batches(dealt, by_key("bucket", gather), BUCKETS), "buckets", buckets, "bucket")
 
 
 def _bucket(blobs: list[dict]) -> dict:
     """The blobs of a bucket as one row: events sorted by pair, as (batch, document in it)."""
-    h = np.concatenate([np.repeat(np.frombuffer(b["hashes"], np.uint64), np.frombuffer(b["sizes"], "<u4")) for b in blobs])
-    u = np.concatenate([np.frombuffer(b["contexts"], np.uint16) for b in blobs])
-    doc = np.concatenate([np.frombuffer(b["docs"], np.uint16) for b in blobs])
-    batch = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(b["docs"]) // 2 for b in blobs])
-    train = np.concatenate([np.unpackbits(np.frombuffer(b["train"], np.uint8))[np.frombuffer(b["docs"], np.uint16)] for b in blobs])
-    own, word = np.unique(h, return_inverse=True)
-    del h
-    key = word * CLASSES + u
+    part = {n: [unpacked(b[n], "<u8" if n in ("contexts", "words") else "<u2" if n == "docs" else "<u4", n in ("contexts", "words")) for b in blobs] for n in DEALT}
+    contexts, context = np.unique(np.concatenate(part["contexts"]), return_inverse=True)
+    words, word = np.unique(np.concatenate(part["words"]), return_inverse=True)
+    starts = np.cumsum([0, *(len(w) for w in part["words"])])
+    key = np.repeat(context, np.concatenate(part["runs"])) * len(words) + word[np.concatenate([w.astype(np.int64) + at for w, at in zip(part["word"], starts, strict=False)])]
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    events = np.diff(np.concatenate([first, [len(key)]]))
-    count = np.add.reduceat(train[order].astype(np.int64), first)
+    count = np.add.reduceat(np.concatenate(part["count"])[order].astype(np.int64), first)
+    events = np.concatenate(part["events"]).astype(np.int64)
+    begin, events = (events.cumsum() - events)[order], events[order]
+    spot = np.repeat(begin - (events.cumsum() - events), events) + np.arange(events.sum())
+    batch = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(d) for d in part["docs"]])
     pair = key[first]
-    as_bytes = lambda x, kind: [x.astype(kind).tobytes()]
     return {
-        "bucket": [blobs[0]["bucket"]], "words": [len(own)], "word": as_bytes(pair // CLASSES, "<u4"), "context": as_bytes(pair % CLASSES, "<u2"), "count": as_bytes(count, "<u4"), "events": as_bytes(events, "<u4"),
-        "batch": as_bytes(batch[order], "<u4"), "doc": as_bytes(doc[order], "<u2"), "row0": as_bytes(np.array([b["row0"] for b in blobs]), "<i8"),
+        "bucket": [blobs[0]["bucket"]], "contexts": [packed(contexts, "<u8", True)], "runs": [packed(np.bincount(pair // len(words), minlength=len(contexts)), "<u4")], "words": [packed(words, "<u8", True)], "word": [packed(pair % len(words), "<u4")],
+        "count": [packed(count, "<u4")], "events": [packed(np.add.reduceat(events, first), "<u4")], "docs": [packed(np.concatenate(part["docs"])[spot], "<u2")], "batch": [packed(batch[spot], "<u4")], "rows0": [packed(np.array([b["row0"] for b in blobs]), "<i8")],
     }
 
 
-def _numbers(row: dict, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(row[name], kind).astype(np.int64)
-
+def _seats(row: dict, hot: np.ndarray, replies: int) -> Seats:
+    """The pairs of a bucket, with the replies that it has got."""
+    contexts, words = unpacked(row["contexts"], "<u8", True), unpacked(row["words"], "<u8", True)
+    roots = [tuple(unpacked(row[f"{n}{s}"], "<u4").astype(np.int64) for n in ("customers", "tables")) for s in range(replies)]
+    context = np.repeat(np.arange(len(contexts)), unpacked(row["runs"], "<u4"))
+    return Seats(unpacked(row["word"], "<u4").astype(np.int64), context, unpacked(row["count"], "<u4").astype(np.int64), len(words), row["bucket"] + 1, len(contexts), places(hot, contexts), roots)
 
-def _seats(row: dict) -> Seats:
-    """The training pairs of a bucket."""
-    word, context, count = _numbers(row, "word", "<u4"), _numbers(row, "context", "<u2"), _numbers(row, "count", "<u4")
-    has = count > 0
-    return Seats(word[has], context[has], count[has], row["words"], row["bucket"] + 1)
 
+UP = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("key", "tables", "count")), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+DOWN = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("shard", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("key", "count", "customers", "tables")), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+#: Sums of shards: root customers and tables, distinct words, tokens, words with one and with two root customers. Sums of buckets: pairs with one and two customers, hot contexts' customers, hot contexts' tables.
+SHARD_SUMS, BUCKET_SUMS = 6, 2
 
-SUMS = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("customers", T.DoubleType()), T.StructField("tables", T.DoubleType())])
-#: Levels of SUMS for what isn't a restaurant: distinct words and tokens; dishes with one and with two customers, by level.
-SCALARS = 9
 
+def exchange(joined: DataFrame, hot: np.ndarray, model: Model, sweep: int, buckets: int) -> tuple[DataFrame, np.ndarray]:
+    """A sweep: contexts are seated in the buckets, the root in the shards. (each bucket's words' root counts, sums).
 
-def _facts(seats: Seats) -> list[tuple[int, int, float, float]]:
-    facts = [(SCALARS, 3, float(seats.known.sum()), float(seats.count.sum()))]
-    for level, c in enumerate((seats.c0, seats.c1, seats.count)):
-        facts.append((SCALARS, level, float((c == 1).sum()), float((c == 2).sum())))
-    return facts
+    The first time words go as hashes and get a number in their shard. A word's training count goes with them.
+    """
+    shared = joined.sparkSession.sparkContext.broadcast((hot, model))
 
+    def up() -> Callable:
+        hot, model = shared.value
 
-def _rows(totals: Totals) -> list[tuple[int, int, float, float]]:
-    return [(level, int(a), float(totals.customers[level][a]), float(totals.tables[level][a])) for level in range(3) for a in np.flatnonzero(totals.customers[level])]
+        def work(batch):
+            for row in batch.to_pylist():
+                seats = _seats(row, hot, sweep)
+                for _ in seats.states(model, sweep):
+                    pass
+                hashes, tables = unpacked(row["words"], "<u8", True), seats.below()
+                key = unpacked(row["key0"], "<u4", True) if sweep else hashes
+                count = None if sweep else np.bincount(seats.word, weights=seats.count, minlength=seats.words)
+                mine = seats.totals()
+                sums = np.zeros(SHARD_SUMS + BUCKET_SUMS + 2 * len(hot))
+                sums[SHARD_SUMS : SHARD_SUMS + BUCKET_SUMS] = (seats.count == 1).sum(), (seats.count == 2).sum()
+                for at, values in ((SHARD_SUMS + BUCKET_SUMS, mine.customers), (SHARD_SUMS + BUCKET_SUMS + len(hot), mine.tables)):
+                    sums[at : at + len(values)] = values
+                cuts = np.searchsorted(split(hashes, buckets), np.arange(buckets + 1))
+                out: dict[str, list] = {n: [] for n in UP.names}
+                for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                    part = slice(cuts[k], cuts[k + 1])
+                    values = (k, row["bucket"], packed(key[part], "<u4" if sweep else "<u8", True), packed(tables[part], "<u4"), None if sweep else packed(count[part], "<u8"), None if out["shard"] else sums.tolist())
+                    for name, value in zip(UP.names, values, strict=True):
+                        out[name].append(value)
+                yield out
 
+        return work
 
-def gather_totals(table: DataFrame, hot: Seats, model: Model, sweep: int) -> tuple[Totals, dict[int, tuple[float, float]]]:
-    """The restaurants' totals after a sweep, and the facts of SCALARS after the first seating. A bounded number of rows comes to the driver."""
-    shared = table.sparkSession.sparkContext.broadcast(model)
+    def seat(rows: list[dict]) -> Iterator[dict]:
+        model = shared.value[1]
+        keys = [unpacked(r["key"], "<u4" if sweep else "<u8", True) for r in rows]
+        key, tables = np.concatenate(keys), np.concatenate([unpacked(r["tables"], "<u4") for r in rows])
+        if not sweep:
+            _, key = np.unique(key, return_inverse=True)
+        c = np.bincount(key, weights=tables).astype(np.int64)
+        t = model.root_tables(model.history[sweep - 1], c, np.random.default_rng([rows[0]["shard"], sweep, 0])) if sweep else np.minimum(c, 1)
+        n = np.zeros(len(c)) if sweep else np.bincount(key, weights=np.concatenate([unpacked(r["count"], "<u8") for r in rows]))
+        sums = np.sum([r["sums"] for r in rows if r["sums"] is not None] or [np.zeros(SHARD_SUMS + BUCKET_SUMS + 2 * len(shared.value[0]))], axis=0)
+        sums[:SHARD_SUMS] = c.sum(), t.sum(), (c > 0).sum(), n.sum(), (c == 1).sum(), (c == 2).sum()
+        at = 0
+        for i, (row, own) in enumerate(zip(rows, keys, strict=True)):
+            mine = key[at : at + len(own)]
+            at += len(own)
+            first = (None, None) if sweep else (packed(mine, "<u4", True), packed(n[mine], "<u8"))
+            values = (row["bucket"], row["shard"], *first, packed(c[mine], "<u4"), packed(t[mine], "<u4"), None if i else sums.tolist())
+            yield {k: [v] for k, v in zip(DOWN.names, values, strict=True)}
+
+    def gather(rows: list[dict]) -> Iterator[dict]:
+        kinds = {"key": "<u4", "count": "<u8", "customers": "<u4", "tables": "<u4"}
+        joint = {n: None if rows[0][n] is None else packed(np.concatenate([unpacked(r[n], kind, n == "key") for r in rows]), kind, n == "key") for n, kind in kinds.items()}
+        sums = [r["sums"] for r in rows if r["sums"] is not None]
+        yield {k: [v] for k, v in ({"bucket": rows[0]["bucket"], "shard": None, **joint, "sums": np.sum(sums, axis=0).tolist() if sums else None}).items()}
+
+    sent = map_batches(joined, up, UP).repartition(buckets, "shard").sortWithinPartitions("shard", "bucket")
+    back = map_batches(sent, by_key("shard", seat), DOWN).repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard")
+    reply = bucketed(map_batches(back, by_key("bucket", gather), DOWN), "reply", buckets, "bucket")
+    sums = np.zeros(SHARD_SUMS + BUCKET_SUMS + 2 * len(hot))
+    for at, total in reply.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col")).collect():  # a row for each sum
+        sums[at] = total
+    return reply.select("bucket", *(F.col(n).alias(f"{n}{sweep}") for n in (("key", "count") if not sweep else ()) + ("customers", "tables"))), sums
+
+
+SCORES = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("tokens", "known")), *(T.StructField(n, T.DoubleType()) for n in ("score", "base"))])
+SHARES = T.StructType([T.StructField("row0", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("docs", "score", "base", "known", *BATCH))])
+#: Shares of scores are whole multiples of 1 / UNIT, so that their sums don't depend on any order.
+UNIT = 2.0**32
+PAIR_SCORES = T.StructType([T.StructField("context", T.IntegerType()), T.StructField("word", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("count", T.LongType())])
+
+
+def hot_pairs(joined: DataFrame, hot: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log10 probabilities of all met pairs of two hot words, [context, word], and the hot words' training counts."""
+    logs, counts = np.zeros((len(hot), len(hot))), np.zeros(len(hot), dtype=np.int64)
+    if not len(hot):
+        return logs, counts
+    shared = joined.sparkSession.sparkContext.broadcast((hot, model))
 
     def make() -> Callable:
-        sums: dict[tuple[int, int], list[float]] = {}
+        hot, model = shared.value
 
         def work(batch):
             for row in batch.to_pylist():
-                seats = _seats(row)
-                for _ in seats.states(shared.value, sweep):
-                    pass
-                for level, at, c, t in _rows(seats.totals()) + (_facts(seats) if not sweep else []):
-                    got = sums.setdefault((level, at), [0.0, 0.0])
-                    got[0] += c
-                    got[1] += t
-            yield from ()
-
-        def finish():
-            yield {"level": [k[0] for k in sums], "at": [k[1] for k in sums], "customers": [v[0] for v in sums.values()], "tables": [v[1] for v in sums.values()]}
+                seats = _seats(row, hot, len(model.history))
+                word = places(hot, unpacked(row["words"], "<u8", True))
+                own = np.flatnonzero((word[seats.word] >= 0) & (seats.place[seats.context] >= 0))
+                if len(own):
+                    score = np.log10(seats.predictive(model, seats.word[own], seats.context[own], own))
+                    count = unpacked(row["count0"], "<u8")[seats.word[own]].astype(np.int64)
+                    yield {"context": pa.array(seats.place[seats.context[own]].astype(np.int32)), "word": pa.array(word[seats.word[own]].astype(np.int32)), "score": pa.array(score), "count": pa.array(count)}
 
-        work.finish = finish
         return work
 
-    found = map_batches(table.select("bucket", "words", "word", "context", "count"), make, SUMS).groupBy("level", "at").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
-    for s in hot.states(model, sweep):
-        pass
-    totals, facts = Totals.none(), {}
-    for level, at, c, t in [tuple(r) for r in found] + _rows(hot.totals()) + (_facts(hot) if not sweep else []):
-        if level == SCALARS:
-            facts[at] = (facts.get(at, (0.0, 0.0))[0] + c, facts.get(at, (0.0, 0.0))[1] + t)
-        else:
-            totals.customers[level][at] += c
-            totals.tables[level][at] += t
-    return totals, facts
-
-
-PARTS = T.StructType([T.StructField("row", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("base", T.DoubleType()), T.StructField("known", T.LongType())])
-SHARES = T.StructType([T.StructField("row0", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("docs", "score", "base", "known"))])
+    found = map_batches(joined, make, PAIR_SCORES).toArrow()  # at most the square of the hot words
+    context, word, score, count = (found.column(c).to_numpy() for c in PAIR_SCORES.names)
+    logs[context, word] = score
+    counts[word] = count
+    return logs, counts
 
 
-def cold_scores(table: DataFrame, model: Model, buckets: int) -> DataFrame:
-    """(row, log10 probability, log10 of counts + 1, known tokens) summed over all cold words, for each document that has any.
+def scores(joined: DataFrame, batches: DataFrame, hot: np.ndarray, model: Model, logs: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
+    """(doc_id, tokens, known tokens, log10 probability, log10 of counts + 1) of each document.
 
-    A bucket sends one blob for each batch of documents that it was dealt, and a batch's blobs are summed together:
+    A bucket sends one blob for each batch of documents that it was dealt; a batch's blobs are summed together and with its pairs of hot words:
     the rows are documents, not documents times buckets.
     """
-    shared = table.sparkSession.sparkContext.broadcast(model)
+    shared = joined.sparkSession.sparkContext.broadcast((hot, model, logs, counts))
+
+    def share() -> Callable:
+        hot, model = shared.value[:2]
 
-    def score() -> Callable:
         def work(batch):
             for row in batch.to_pylist():
-                seats = _seats(row)
-                word, context, count, events = _numbers(row, "word", "<u4"), _numbers(row, "context", "<u2"), _numbers(row, "count", "<u4"), _numbers(row, "events", "<u4")
-                logs = np.log10(seats.predictive(shared.value, word, context))
-                c = np.bincount(word, weights=count, minlength=row["words"])[word]
-                spot = _numbers(row, "batch", "<u4") << 16 | _numbers(row, "doc", "<u2")
+                seats = _seats(row, hot, len(model.history))
+                events = unpacked(row["events"], "<u4")
+                p = np.log10(seats.predictive(model, seats.word, seats.context, np.arange(len(seats.word))))
+                c = unpacked(row["count0"], "<u8").astype(np.int64)[seats.word]
+                spot = unpacked(row["batch"], "<u4").astype(np.int64) << 16 | unpacked(row["docs"], "<u2")
                 own, at = np.unique(spot, return_inverse=True)
-                sums = [np.bincount(at, weights=np.repeat(x, events), minlength=len(own)) for x in (logs, np.log10(c + 1), (c > 0).astype(float))]
-                starts = _numbers(row, "row0", "<i8")
+                score, base, known = (np.bincount(at, weights=np.repeat(x, events), minlength=len(own)) for x in (p, np.log10(c + 1), (c > 0).astype(float)))
+                starts = unpacked(row["rows0"], "<i8")
                 cuts = np.searchsorted(own, np.arange(len(starts) + 1) << 16)
-                out: dict[str, list] = {n: [] for n in SHARES.names}
                 for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                     part = slice(cuts[k], cuts[k + 1])
-                    for name, value in zip(SHARES.names, (int(starts[k]), (own[part] & 0xFFFF).astype("<u2").tobytes(), sums[0][part].tobytes(), sums[1][part].tobytes(), sums[2][part].astype("<u4").tobytes()), strict=True):
-                        out[name].append(value)
-                yield out
+                    values = (packed(own[part] & 0xFFFF, "<u2", True), packed(np.rint(score[part] * -UNIT), "<i8"), packed(np.rint(base[part] * UNIT), "<i8"), packed(known[part], "<u4"))
+                    yield {f: [None] for f in SHARES.names} | {f: [v] for f, v in zip(SHARES.names, (int(starts[k]), *values), strict=False)}
 
         return work
 
     def add() -> Callable:
+        _, _, logs, counts = shared.value
         held: dict = {"row0": None}
 
         def flush():
-            if held["row0"] is not None:
-                seen = np.flatnonzero(held["seen"])
-                yield {"row": pa.array(held["row0"] + seen), "score": pa.array(held["score"][seen]), "base": pa.array(held["base"][seen]), "known": pa.array(held["known"][seen])}
+            if held["row0"] is None:
+                return
+            n, batch = len(held["ids"]), held["batch"]
+            pairs, docs = unpacked(batch["pairs"], "<u4"), unpacked(batch["pair_docs"], "<u2")
+            word = pairs % max(1, len(counts))
+            warm = [np.bincount(docs, weights=x, minlength=n) for x in (logs.ravel()[pairs], np.log10(counts + 1)[word], (counts > 0)[word])]
+            ids = pa.array(held["ids"], mask=unpacked(batch["null_ids"], "u1") > 0)
+            score, base, known = warm[0] - held["score"][:n] / UNIT, warm[1] + held["base"][:n] / UNIT, warm[2].astype(np.int64) + held["known"][:n]
+            yield {"doc_id": ids, "tokens": pa.array(unpacked(batch["sizes"], "<u4").astype(np.int64)), "known": pa.array(known), "score": pa.array(score), "base": pa.array(base)}
 
         def work(batch):
             for blob in batch.to_pylist():
                 if blob["row0"] != held["row0"]:
                     yield from flush()
-                    held.update(row0=blob["row0"], seen=np.zeros(1 << 16, dtype=bool), score=np.zeros(1 << 16), base=np.zeros(1 << 16), known=np.zeros(1 << 16, dtype=np.int64))
-                docs = np.frombuffer(blob["docs"], "<u2")
-                held["seen"][docs] = True
-                held["score"][docs] += np.frombuffer(blob["score"])
-                held["base"][docs] += np.frombuffer(blob["base"])
-                held["known"][docs] += np.frombuffer(blob["known"], "<u4")
+                    held.update(row0=blob["row0"], **{f: np.zeros(1 << 16, dtype=np.int64) for f in ("score", "base", "known")})
+                if blob["ids"] is not None:
+                    held.update(batch=blob, ids=unpacked(blob["ids"], "<i8"))
+                    continue
+                docs = unpacked(blob["docs"], "<u2", True)
+                for f, kind in (("score", "<i8"), ("base", "<i8"), ("known", "<u4")):
+                    held[f][docs] += unpacked(blob[f], kind)
 
         work.finish = flush
         return work
 
-    shares = map_batches(table, score, SHARES).repartition(buckets, "row0").sortWithinPartitions("row0")
-    return map_batches(shares, add, PARTS)
-
-
-def hot_scores(rows: DataFrame, hot: np.ndarray, logs: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """The same for hot words, with doc_id, tokens and held_out: a row for each document. logs: [hot word, context]."""
-    schema = T.StructType([*PARTS, T.StructField("doc_id", T.LongType()), T.StructField("tokens", T.LongType())])
-    shared = rows.sparkSession.sparkContext.broadcast((hot, logs, counts))
-
-    def make() -> Callable:
-        words = Words()
-        own, table, count = shared.value
-
-        def work(batch):
-            each, hashes, before, size = words.read(texts_of(batch))
-            starts = size.cumsum() - size
-            place = np.minimum(np.searchsorted(own, hashes), max(0, len(own) - 1))
-            mine = own[place] == hashes if len(own) else np.zeros(len(hashes), dtype=bool)
-            take = mine[each]
-            score = np.zeros(len(each))
-            if len(own):
-                score[take] = table[place[each[take]], before[take]]
-            c = np.where(mine, count[place], 0) if len(own) else np.zeros(len(hashes))
-            base = np.where(mine, np.log10(c + 1), 0.0)[each]
-            known = (c > 0).astype(np.int64)[each]
-            yield {"row": batch.column("row"), "score": pa.array(np.add.reduceat(score, starts)), "base": pa.array(np.add.reduceat(base, starts)), "known": pa.array(np.add.reduceat(known, starts)), "doc_id": batch.column("doc_id"), "tokens": pa.array(size)}
-
-        return work
-
-    return map_batches(rows, make, schema)
+    shares = map_batches(joined, share, SHARES).unionByName(batches.select("row0", *BATCH), allowMissingColumns=True)
+    return map_batches(shares.repartition(buckets, "row0").sortWithinPartitions("row0"), add, SCORES)
 
 
 def unseen_share(once: float, discount: float, words: int) -> float:
@@ -557,37 +619,29 @@ def unseen_share(once: float, discount: float, words: int) -> float:
 def lm_scores(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
-    Rows are numbered in a written copy, so that every job sees the same numbers. Documents whose crc32(doc_id as text) leaves `rest` modulo `modulus` are held out of training; a null id isn't. Null and empty
+    Texts are read once, but for a sample. Documents whose crc32(doc_id as text) leaves `rest` modulo `modulus` are held out of training; a null id isn't. Null and empty
     texts are one end token. Repeated rows are trained on and scored each. base_score is add-one smoothing over the same counts. An empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
-    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     hot = hot_words(rows, n)
-    word, context, count = hot_counts(rows, hot, modulus, rest)
     buckets = max(8, -(-n // BUCKET_DOCS))
-    table = cold_buckets(rows, hot, buckets, modulus, rest)
-    fresh = lambda: Seats(word, context, count, len(hot), 0)
-    model = Model()
+    dealt = context_buckets(rows.withColumn("row", F.monotonically_increasing_id()), hot, buckets, modulus, rest)
+    batches, table = dealt.where("bucket < 0"), dealt.where("bucket >= 0").drop("row0", *BATCH)
+    pairs, model, train_tokens = table.select(*PAIRS), Model(), 0
     for sweep in range(SWEEPS + 1):
-        totals, facts = gather_totals(table, fresh(), model, sweep)
-        model.history.append(totals)
+        reply, sums = exchange(pairs, hot, model, sweep, buckets)
+        pairs, table = (side.join(reply.hint("merge"), "bucket") for side in (pairs, table))
+        by_context = sums[SHARD_SUMS + BUCKET_SUMS :]
+        model.history.append(Totals((sums[0], sums[1]), by_context[: len(hot)], by_context[len(hot) :]))
         if not sweep:
-            model.seen = int(facts[3][0])
-            train_tokens = int(facts[3][1])
-            model.discounts = tuple(float(np.clip(facts[k][0] / max(1.0, facts[k][0] + 2 * facts[k][1]), 0.05, 0.95)) for k in range(3))
-            model.unseen = unseen_share(facts[0][0], model.discounts[0], model.seen) if model.seen else 0.5
-    logs = np.zeros((0, CLASSES))
-    if len(hot):
-        seats = fresh()
-        every = np.arange(len(hot) * CLASSES, dtype=np.int64)
-        logs = np.log10(seats.predictive(model, every // CLASSES, every % CLASSES, 1 << 18)).reshape(len(hot), CLASSES)
-    counts = np.bincount(word, weights=count, minlength=len(hot))
-    warm = hot_scores(rows, hot, logs, counts)
-    cold = cold_scores(table, model, buckets).withColumn("doc_id", F.lit(None).cast("long")).withColumn("tokens", F.lit(0).cast("long"))
-    summed = warm.unionByName(cold).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("score", "base", "known", "tokens")), F.max("doc_id").alias("doc_id"))
+            model.seen, train_tokens = int(sums[2]), int(sums[3])
+            model.discounts = tuple(float(np.clip(once / max(1.0, once + 2 * twice), 0.05, 0.95)) for once, twice in (sums[4:6], sums[6:8]))
+            model.unseen = unseen_share(sums[4], model.discounts[0], model.seen) if model.seen else 0.5
+    summed = scores(table, batches, hot, model, *hot_pairs(pairs, hot, model), buckets)
     norm = float(np.log10(train_tokens + model.seen + 1))
     return summed.select(
         "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False)).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),

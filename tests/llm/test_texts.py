@@ -541,3 +541,21 @@ def test_scores_over_many_small_files(spark):
     n, v = sum(counts.values()), len(counts)
     want = [(d, d in held, len(t.split()) + 1, sum(counts[w] > 0 for w in [*t.split(), None]), n, round(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in [*t.split(), None]), 5)) for d, t in rows]
     assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
+
+
+def test_contexts_are_words(spark):
+    """Two words of one ending are two contexts: what follows one says nothing of what follows the other."""
+    rows = [(i, "alphaxx north" if i % 2 else "betaxx south") for i in range(200)]
+    odd = [(1000, "alphaxx north"), (1001, "alphaxx south"), (1002, "betaxx south"), (1003, "betaxx north")]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.lm_scores(spark.createDataFrame(rows + odd, "doc_id long, text string")).collect()}
+    assert got[1000] > got[1001] + 1 and got[1002] > got[1003] + 1
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(5)
+    for kind in ("u1", "<u2", "<u4", "<u8", "<i8"):
+        for n in (0, 1, 1000):
+            x = rng.integers(0, np.iinfo(kind).max, n, dtype=kind, endpoint=True)
+            assert (pitman_yor.unpacked(pitman_yor.packed(x, kind), kind) == x).all()
+            x.sort()
+            assert (pitman_yor.unpacked(pitman_yor.packed(x, kind, True), kind, True) == x).all()
