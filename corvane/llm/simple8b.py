@@ -35,6 +35,7 @@ BLOCK = 8192
 MOST_RUNS = 20_000
 #: (values in a word, bits of a value) by selector; the format's fixed table.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
+_COUNTS, _BITS = np.array(SELECTORS).T
 _WIDTHS = sorted({b for _, b in SELECTORS if b})
 
 
@@ -77,44 +78,29 @@ def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
         power = np.concatenate([np.maximum(power[:-span], power[span:]), power[-span:]])
         span *= 2
         spans[span] = power
-    undecided = np.ones(n, dtype=bool)
-    for s, (count, width) in enumerate(SELECTORS):
+    for count, width in SELECTORS:  # what doesn't fit a selector doesn't fit those before it
         base = 1 << (count.bit_length() - 1)
-        window = np.maximum(spans[base][:n], spans[base][count - base : count - base + n])
-        fits = undecided & (window <= width)
-        best[fits] = s
-        undecided &= ~fits
-    counts = np.array([c for c, _ in SELECTORS])
-    jump, starts, at = counts[best].tolist(), [], 0
+        best += np.maximum(spans[base][:n], spans[base][count - base : count - base + n]) > width
+    jump, starts, at = _COUNTS[best].astype(np.uint8).tobytes(), [], 0
     while at < n:
         starts.append(at)
         at += jump[at]
     where = np.array(starts)
     chosen = best[where]
-    words = chosen.astype(np.uint64) << np.uint64(60)
-    room = np.concatenate([kept, np.zeros(240, dtype=np.uint64)])
-    for s, (count, width) in enumerate(SELECTORS):
-        mine = np.flatnonzero(chosen == s)
-        if width and len(mine):
-            first, packed = where[mine], np.zeros(len(mine), dtype=np.uint64)
-            for j in range(count):
-                packed |= room[first + j] << np.uint64(j * width)
-            words[mine] |= packed
+    held = np.diff(where, append=n)
+    shift = (np.arange(n) - np.repeat(where, held)) * np.repeat(_BITS[chosen], held)
+    words = chosen.astype(np.uint64) << np.uint64(60) | np.bitwise_or.reduceat(kept << shift.astype(np.uint64), where)
     return words, escaped, values[escaped]
 
 
 def decode_words(words: np.ndarray, total: int) -> np.ndarray:
     """The first total values of consecutive words of one block, escapes not yet put in."""
     selector = (words >> np.uint64(60)).astype(np.int64)
-    counts = np.array([c for c, _ in SELECTORS])[selector]
-    ends = counts.cumsum()
-    out = np.zeros((int(ends[-1]) if len(ends) else 0), dtype=np.uint64)
-    for s, (count, width) in enumerate(SELECTORS):
-        mine = np.flatnonzero(selector == s)
-        if width and len(mine):
-            mask, first = np.uint64((1 << width) - 1), ends[mine] - count
-            for j in range(count):
-                out[first + j] = (words[mine] >> np.uint64(j * width)) & mask
+    counts, width = _COUNTS[selector], _BITS[selector]
+    starts = counts.cumsum() - counts
+    shift = (np.arange(counts.sum()) - np.repeat(starts, counts)) * np.repeat(width, counts)
+    mask = (np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)
+    out = (np.repeat(words, counts) >> shift.astype(np.uint64)) & np.repeat(mask, counts)
     return out[:total]
 
 

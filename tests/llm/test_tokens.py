@@ -184,3 +184,19 @@ def test_packed_pieces(spark):
             at += length
         assert at <= 64
     assert packing.pack_documents(docs.where("false"), BYTE).count() == 0
+
+
+def test_words_of_a_block_by_the_format_s_table():
+    """Every selector, with escapes and a last word that isn't full: words are read value by value, without the decoder."""
+    rng = np.random.default_rng(7)
+    runs = [rng.integers(0, 1 << width, 2 * count + 1, dtype=np.uint64) for count, width in simple8b.SELECTORS] + [np.array([2**63 + 5, 2**61], dtype=np.uint64)]
+    for values in (np.concatenate(runs), np.concatenate(runs[::-1]), *runs):
+        words, places, escaped = simple8b.encode_block(values)
+        plain = []
+        for word in words.tolist():
+            count, width = simple8b.SELECTORS[word >> 60]
+            plain += [word >> (j * width) & ((1 << width) - 1) for j in range(count)]
+        assert simple8b.decode_words(words, len(values)).tolist() == plain[: len(values)]
+        for at, value in zip(places.tolist(), escaped.tolist(), strict=True):
+            plain[at] = value
+        assert plain[: len(values)] == values.tolist() and not any(plain[len(values) :])
