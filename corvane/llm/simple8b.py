@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_batches, scratch_dir, texts_of, written
+from corvane.llm.common import map_batches, scratch_dir, written
 from corvane.llm.pretoken import shared_encoder
 
 MAGIC = b"CVS8B01\n"
@@ -181,7 +181,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     cuts = keys.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], max(10_000, 20 * runs)).alias("c")).first()["c"] if runs > 1 else []
     bounds = np.array(sorted(set(cuts or [])), dtype=np.int64)  # one number for each run
     held = docs.sparkSession.sparkContext.broadcast(bounds)
-    end = np.array([end_id], dtype="<u4").tobytes()
     coded = T.StructType([T.StructField("run", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def tokenize() -> Callable:
@@ -190,7 +189,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         def work(batch):
             ids = batch.column("doc_id").to_pylist()
             run = np.searchsorted(cut, np.array([np.iinfo(np.int64).min if i is None else i for i in ids], dtype=np.int64), side="right").astype(np.int32)
-            yield {"run": pa.array(run), "doc_id": ids, "ids": [_narrow(x + end) for x in encoder.encode(texts_of(batch))]}
+            values, counts = encoder.columns(batch.column("text"))
+            values = np.insert(values, counts.cumsum(), end_id)
+            yield {"run": pa.array(run), "doc_id": ids, "ids": list(map(_narrow, np.split(values, (counts + 1).cumsum()[:-1])))}
 
         return work
 
@@ -223,10 +224,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     return written(map_batches(dealt, write, MANIFEST), "manifest")
 
 
-def _narrow(ids: bytes) -> bytes:
+def _narrow(ids: np.ndarray) -> bytes:
     """Ids as 16-bit numbers where they fit, after a byte that says so: half the shuffle."""
-    values = np.frombuffer(ids, "<u4")
-    return b"\x02" + values.astype("<u2").tobytes() if values.max() < 65536 else b"\x04" + ids
+    return b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\x04" + ids.astype("<u4").tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:

@@ -6,11 +6,13 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corvane.llm import packing, queries, simple8b, token_counts
+from corvane.llm import packing, pretoken, queries, simple8b, token_counts
 from corvane.llm.pretoken import ChunkEncoder
 
 BYTE, WORD, PIECE = (queries.tokenizer_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -200,3 +202,35 @@ def test_words_of_a_block_by_the_format_s_table():
         for at, value in zip(places.tolist(), escaped.tolist(), strict=True):
             plain[at] = value
         assert plain[: len(values)] == values.tolist() and not any(plain[len(values) :])
+
+
+def test_forms_of_a_word_are_tokenized_once():
+    """Capitals and marks make no new piece, in one batch or in the next."""
+    forms = ["Rewhble", "rewhble,", "REWHBLE.", "rewhble", "Élan", "élan!", "ÉLAN?!"]
+    encoder, asked = ChunkEncoder(WORD, False), []
+
+    class Counting:
+        def __init__(self, model):
+            self.tokenize = lambda piece: asked.append(piece) or model.tokenize(piece)
+
+    encoder.model = Counting(encoder.model)
+    texts = [" ".join(forms), "\n".join(reversed(forms)), *forms]
+    want = [array("I", e.ids).tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) + encoder.encode(texts) == want * 2
+    assert sorted(asked) == ["rewhble", "".join(map(encoder.letters.__getitem__, "élan".encode()))]
+
+
+def test_columns_of_ids():
+    """Nulls, parts of a longer column, texts with other white space between others, and nothing at all."""
+    encoder = ChunkEncoder(WORD, False, most=50)
+    texts = [None, *odd_texts(400, 11), None, "x\ty", "", "x\u00a0y z", "Ünï |x| a|b"]
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        for at, n in ((0, len(texts)), (7, 90), (len(texts) - 6, 6), (3, 0), (0, 1)):
+            ids, counts = encoder.columns(column.slice(at, n))
+            assert counts.tolist() == [len(x) for x in want[at : at + n]]
+            assert ids.tolist() == [i for x in want[at : at + n] for i in x]
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    other = pc.match_substring_regex(pa.array(every), pretoken._OTHER_SPACE_ARROW).to_pylist()
+    assert other == [bool(pretoken._OTHER_SPACE.search(c)) for c in every]
