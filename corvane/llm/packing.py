@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_batches, texts_of, written
+from corvane.llm.common import map_batches, written
 from corvane.llm.pretoken import shared_encoder
 
 #: Documents over this share of the capacity are packed by configurations.
@@ -246,16 +246,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     capacity ids is cut into pieces of capacity ids, the first being shorter where
     its length is no multiple. Repeated rows give repeated pieces.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def make() -> Callable:
         encoder = shared_encoder(tokenizer_path, keeps_space=True)
 
         def work(batch):
             rows: dict[str, list] = {f: [] for f in PIECES.names}
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch)), strict=True):
-                ids += end
-                n = len(ids) // 4
+            values, counts = encoder.columns(batch.column("text"))
+            values = np.insert(values, counts.cumsum(), end_id)
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), np.split(values, (counts + 1).cumsum()[:-1]), strict=True):
+                n = len(ids)
                 at, piece = 0, 0
                 while at < n:
                     length = (n % capacity or capacity) if not at else capacity
@@ -263,7 +263,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
                     rows["piece"].append(piece)
                     rows["start"].append(at)
                     rows["length"].append(length)
-                    rows["ids_crc32"].append(zlib.crc32(ids[4 * at : 4 * (at + length)]))
+                    rows["ids_crc32"].append(zlib.crc32(ids[at : at + length]))
                     at, piece = at + length, piece + 1
             yield rows
 

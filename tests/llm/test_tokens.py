@@ -220,10 +220,11 @@ def test_forms_of_a_word_are_tokenized_once():
     assert sorted(asked) == ["rewhble", "".join(map(encoder.letters.__getitem__, "élan".encode()))]
 
 
-def test_columns_of_ids():
+@pytest.mark.parametrize(("path", "keeps"), [(BYTE, True), (WORD, False)])
+def test_columns_of_ids(path, keeps):
     """Nulls, parts of a longer column, texts with other white space between others, and nothing at all."""
-    encoder = ChunkEncoder(WORD, False, most=50)
-    texts = [None, *odd_texts(400, 11), None, "x\ty", "", "x\u00a0y z", "Ünï |x| a|b"]
+    encoder = ChunkEncoder(path, keeps, most=50)
+    texts = [None, " word.", "  word", " ...", "a\n b, c\n\n", *odd_texts(400, 11), None, "x\ty", "", "x\u00a0y z", "Ünï |x| a|b"]
     want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     for kind in (pa.string(), pa.large_string()):
         column = pa.array(texts, kind)
@@ -232,5 +233,5 @@ def test_columns_of_ids():
             assert counts.tolist() == [len(x) for x in want[at : at + n]]
             assert ids.tolist() == [i for x in want[at : at + n] for i in x]
     every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-    other = pc.match_substring_regex(pa.array(every), pretoken._OTHER_SPACE_ARROW).to_pylist()
-    assert other == [bool(pretoken._OTHER_SPACE.search(c)) for c in every]
+    other = pc.match_substring_regex(pa.array(every), pretoken._OTHER_SPACE).to_pylist()
+    assert other == [c.isspace() and c not in " \n" for c in every]
