@@ -277,3 +277,44 @@ def test_lexical_searches_tokenize_documents_once(spark, monkeypatch, tmp_path,
     found = catalog.queries()[ask](spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain)) and plain
     assert given.value == len(rows)
+
+
+def test_sparse_search_of_many_queries_makes_no_row_for_a_pair(spark, monkeypatch):
+    """Whatever blocks, groups and shelves there are, the lists are those of the join by term; ids of several texts, texts without words and long ones too."""
+    import random
+
+    from corvane.operators import sparse
+
+    rng = random.Random(4)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 400:03}"
+    texts = [None, "", "the of", "w001 " * 500] + [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[9]), (7, texts[7]), (500, texts[20])]  # copies, and one id of three texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = docs.where("doc_id % 3 = 1").withColumnRenamed("doc_id", "query_id")
+    want = {tuple(r) for r in lexical.sparse_dot(docs, asked, 6).collect()}
+    assert len(want) > 250
+    for bounds in ({}, {"BLOCK": 7, "POSTINGS": 200, "ASKED": 90, "GROUP": 300, "SHELF": 400, "PARTS": 3}):
+        for name, value in bounds.items():
+            monkeypatch.setattr(sparse, name, value)
+        found = sparse.sparse_top(docs, asked, 6)
+        got = {tuple(r) for r in found.collect()}
+        assert {r[:2] + r[3:] for r in got} == {r[:2] + r[3:] for r in want}
+        assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True))
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString().replace("\n", " ").split("MapInArrow")[0]
+    assert sparse.sparse_top(docs, asked.where("query_id is null"), 6).count() == 0
+    named = sparse.sparse_top(docs.selectExpr("concat('d', lpad(doc_id, 4, '0')) AS doc_id", "text"), asked, 6)
+    assert {(r[0], int(r[1][1:]), r[3]) for r in named.collect()} == {r[:2] + r[3:] for r in want}
+
+
+def test_hybrid_search_scores_lists_once_and_passes_no_pairs_on(spark, monkeypatch):
+    """Points, lists, fused and reranked rows are tables, and nothing that leaves a step has more than the lists' rows."""
+    from corvane.plans import catalog, search
+
+    seen = {}
+    monkeypatch.setattr(search, "written", lambda df, name, f=search.written: seen.setdefault(name, f(df, name)))
+    results, meta = search.search(*catalog._points(spark, "/root/testdata/sf0.001"), limit=4, most=9)
+    assert set(seen) == {"dense", "sparse", "fused", "reranked"}
+    n = meta.count()
+    assert n > 5 and results.count() == 4 * n
+    assert all(seen[x].groupBy("query_id").count().where("count > 9").isEmpty() for x in ("dense", "sparse", "fused"))
+    assert "texts" not in seen and {c for c, t in search.candidates(*catalog._points(spark, "/root/testdata/sf0.001"), seen["fused"], 9).dtypes if t == "array<string>"} == {"text", "query"}
