@@ -318,3 +318,12 @@ def test_hybrid_search_scores_lists_once_and_passes_no_pairs_on(spark, monkeypat
     assert n > 5 and results.count() == 4 * n
     assert all(seen[x].groupBy("query_id").count().where("count > 9").isEmpty() for x in ("dense", "sparse", "fused"))
     assert "texts" not in seen and {c for c, t in search.candidates(*catalog._points(spark, "/root/testdata/sf0.001"), seen["fused"], 9).dtypes if t == "array<string>"} == {"text", "query"}
+
+
+def test_the_gate_reads_stored_lists_only(spark):
+    """Meta rows come from tables of lists and reranked rows: no search, no text and no vector is in their plan."""
+    from corvane.plans import catalog
+
+    gate = catalog.queries()["low_confidence_gate"](spark, "/root/testdata/sf0.001")
+    plan = gate._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("MapInArrow", "ArrowEvalPython", "embedding", "regexp_extract_all")) and gate.where("n_results > 0").count() == gate.count() > 5
