@@ -327,3 +327,23 @@ def test_the_gate_reads_stored_lists_only(spark):
     gate = catalog.queries()["low_confidence_gate"](spark, "/root/testdata/sf0.001")
     plan = gate._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("MapInArrow", "ArrowEvalPython", "embedding", "regexp_extract_all")) and gate.where("n_results > 0").count() == gate.count() > 5
+
+
+def test_variants_are_searched_without_a_join_by_term(spark, monkeypatch):
+    """The lists of variants are made by blocks: what is stored as the sparse list has no join and no sum for a pair in its plan, and is what the join by term gives."""
+    from corvane.plans import catalog, search
+
+    plans = {}
+
+    def kept(df, name, f=search.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return f(df, name)
+
+    monkeypatch.setattr(search, "written", kept)
+    points, asked = catalog._points(spark, "/root/testdata/sf0.001")
+    variants = asked.select("query_id", F.explode(F.array(F.lit(0), F.lit(1000))).alias("n"), "text", "embedding")
+    variants = variants.select("query_id", (F.col("query_id") + F.col("n")).alias("variant_id"), F.substring("text", F.when(F.col("n") == 0, 1).otherwise(30), F.lit(60)).alias("text"), "embedding")
+    dense, sparse = search.expansion_lists(points, variants, 5)
+    assert "MapInArrow" in plans["sparse"] and not any(x in plans["sparse"] for x in ("Join", "HashAggregate"))
+    plain = lexical.sparse_dot(points, variants.select(F.col("variant_id").alias("query_id"), "text"), 5)
+    assert Counter(tuple(r) for r in sparse.collect()) == Counter((r["query_id"] % 1000, r["doc_id"], r["rank"]) for r in plain.collect())
