@@ -4,20 +4,23 @@ A document becomes a row for each line, and running windows over its lines give
 the lines before it come to and no list of them. Which table headers count seems sequential, as a header inside an earlier table doesn't. But the line
 after a header is a rule, which ends the table before it; so a header lies in the table of the header just before it or in none, and of
 headers that each lie in the one before every second counts. Rows carry the document's id only; no step gathers more than one table.
+
+Texts are shuffled once, by document, before they are cut into lines; what follows stays where the document is, so that neither lines nor what is made of them are sent again.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.functions.identity import FACT_BASE
-from corvane.sources.scratch import written
+from corvane.sources.scratch import bucketed
 
 _HEADING = r"^(#{1,6})" + X.SPACE + r"+(.*)$"
 _LEVELS = range(1, 7)
+#: The document's id in stored lines: a name of its own, without the table's qualifier, by which Spark sees that parts put together lie by document already.
+_KEY = "_key"
 
 
 def lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,7 +31,7 @@ def lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     any_end = F.regexp_extract_all(whole, F.lit(f"({inside}*(?:{ends})|{inside}+)"), F.lit(1))
     feeds = F.filter(F.split(whole, "(?<=\n)", -1), lambda x: x != "")  # much quicker, where line feeds are all the ends there are
     pieces = F.when(F.translate(whole, X.BREAKS.replace("\n", ""), "") == whole, feeds).otherwise(any_end)
-    each = docs.select(id, F.posexplode(pieces).alias("line", "raw"))
+    each = docs.select(id, text).repartition(id).select(id, F.posexplode(pieces).alias("line", "raw"))
     order = Window.partitionBy(id).orderBy("line")
     bare = F.translate("raw", X.BREAKS, "")  # a piece has no break but its end
     stripped = X.strip(F.col("bare"))
@@ -42,7 +45,7 @@ def outlined(lined: DataFrame, id: str = "doc_id") -> DataFrame:
     """Lines with the table that holds them and its start and end (or nulls), path (section titles) and segment (tables begun so far).
 
     A table is a header row over a separator, and the body rows after it; end is past the last, and tables don't overlap. A heading of level
-    L is on the path if no heading of level L or less came after it. All of this is windows over the lines of one document: one shuffle.
+    L is on the path if no heading of level L or less came after it; paths are made where headings stand and carried on. All of this is windows over the lines of one document.
     """
     order, back, whole = Window.partitionBy(id).orderBy("line"), Window.partitionBy(id).orderBy(F.desc("line")), Window.partitionBy(id)
     sofar, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
@@ -66,7 +69,8 @@ def outlined(lined: DataFrame, id: str = "doc_id") -> DataFrame:
         above = [F.coalesce(F.col(f"_h{m}")["line"], F.lit(-1)) for m in range(1, n)]
         holds = own.isNotNull() & (own["line"] > F.greatest(*above, F.lit(-1)) if above else own.isNotNull())
         keeps.append(F.when(holds, own["title"]))
-    path = F.filter(F.array(*keeps), lambda t: t.isNotNull())
+    made = F.when(F.col("heading"), F.filter(F.array(*keeps), lambda t: t.isNotNull()))
+    path = F.coalesce(F.last(made, ignorenulls=True).over(sofar), F.array().cast("array<string>"))
     segment = F.sum(F.when(F.col("line") == F.col("start"), 1).otherwise(0)).over(sofar)
     return marked.withColumn("path", path).withColumn("segment", segment).drop(*(f"_h{n}" for n in _LEVELS))
 
@@ -97,77 +101,68 @@ def word_windows(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", t
     return each.select(id, F.col("chunk_index").cast("long").alias("chunk_index"), words.cast("long").alias("n_words"), F.array_join(F.slice("p", F.col("first") * 2 + 1, words * 2 - 1), "").alias("text"))
 
 
-def _prose(docs: DataFrame, marked: DataFrame, size: int, overlap: int, id: str, text: str) -> DataFrame:
-    """Word windows of each segment. Lines carry word counts; only a window's first and last word are ever placed."""
+def _prose(marked: DataFrame, size: int, overlap: int, id: str) -> DataFrame:
+    """Word windows of each segment. A line gives each window that it lies in its own part of it, cut at the window's first and last word, with its line end if the window goes on."""
     step = max(1, size - overlap)
-    runs = F.regexp_extract_all("bare", F.lit(f"({X.NOT_SPACE}+|{X.SPACE}+)"), F.lit(1))
-    each = marked.where(F.col("table").isNull() & (F.col("level") == 0)).select(id, "segment", "line", "at", "path", runs.alias("r"))
-    lead = F.when(F.col("r")[0].rlike(f"^{X.SPACE}"), 1).otherwise(0)
-    counted = each.where("size(r) > 0").withColumn("lead", lead).withColumn("m", F.floor((F.size("r") - F.col("lead") + 1) / 2).cast("int")).where("m > 0")
+    each = marked.where(F.col("table").isNull()).select(id, "segment", "line", "at", "raw", "bare", "path", F.when(F.col("level") == 0, F.size(X.words(F.col("bare")))).otherwise(0).alias("m"))
     run, whole = Window.partitionBy(id, "segment").orderBy("line"), Window.partitionBy(id, "segment")
-    placed = counted.withColumn("past", F.sum("m").over(run).cast("int")).withColumn("n", F.sum("m").over(whole).cast("int")).withColumn("first", F.col("past") - F.col("m"))
-    placed = placed.withColumn("last", F.ceil(F.greatest(F.col("n") - size, F.lit(0)) / step).cast("int"))
-
-    def offset(word: Column, ends: bool) -> Column:
-        """Where a word of the line starts or ends in the document."""
-        pieces = 2 * (word - F.col("first")) + F.col("lead") + (1 if ends else 0)
-        return (F.col("at") + F.aggregate(F.slice("r", F.lit(1), pieces), F.lit(0), lambda acc, x: acc + F.length(x))).cast("int")
-
-    def range_of(lo: Column, hi: Column) -> Column:
-        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-
-    up = lambda c: F.ceil(c / step).cast("int")
-    down = lambda c: F.floor(c / step).cast("int")
-    begins = range_of(up(F.col("first")), F.least(down(F.col("past") - 1), F.col("last")))
-    inner = range_of(F.greatest(F.lit(0), up(F.col("first") - size + 1)), F.least(down(F.col("past") - size), F.col("last") - 1))
-    final = F.when(F.col("past") == F.col("n"), F.array("last")).otherwise(F.array().cast("array<int>"))
-    begun = lambda k: F.struct(k.alias("k"), offset(k * step, False).alias("from"), F.lit(None).cast("int").alias("to"), F.col("path").alias("path"), F.least(F.lit(size), F.col("n") - k * step).cast("long").alias("token_count"))
-    ended = lambda k: F.struct(k.alias("k"), F.lit(None).cast("int").alias("from"), offset(F.least(k * step + size, F.col("n")) - 1, True).alias("to"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("token_count"))
-    marks = placed.select(id, "segment", F.inline(F.concat(F.transform(begins, begun), F.transform(F.concat(inner, final), ended))))
-    span = marks.groupBy(id, "segment", "k").agg(*(F.max(c).alias(c) for c in ("from", "to", "path", "token_count"))).join(docs.select(id, text), id)
-    body = X.strip(F.substring(F.col(text), F.col("from") + 1, F.col("to") - F.col("from")))
-    return span.select(id, "from", "to", F.lit(0).alias("part"), body.alias("text"), "path", "token_count", F.lit(None).cast("int").alias("table_index"))
+    placed = each.withColumn("past", F.sum("m").over(run).cast("int")).withColumn("n", F.sum("m").over(whole).cast("int")).withColumn("first", F.col("past") - F.col("m"))
+    last = F.ceil(F.greatest(F.col("n") - size, F.lit(0)) / step)
+    low = F.greatest(F.lit(0), F.floor((F.col("first") - size) / step) + 1).cast("int")
+    high = F.least(last, F.ceil(F.col("past") / step) - 1).cast("int")
+    within = placed.where(F.col("n") > F.col("first")).withColumn("low", low).withColumn("high", high).where("low <= high")
+    runs = F.when(F.col("m") > 0, F.regexp_extract_all("bare", F.lit(f"({X.NOT_SPACE}+|{X.SPACE}+)"), F.lit(1)))
+    cut = within.withColumn("r", runs).withColumn("lead", F.when(F.col("r")[0].rlike(f"^{X.SPACE}"), 1).otherwise(0))
+    joined = lambda lo, hi: F.array_join(F.slice("r", lo + 1, hi - lo), "")
+
+    def part(k: Column) -> Column:
+        stop = F.least(k * step + size, F.col("n"))
+        begins, ends = k * step >= F.col("first"), stop <= F.col("past")
+        lo = F.when(begins, 2 * (k * step - F.col("first")) + F.col("lead")).otherwise(0)
+        hi = F.when(ends, 2 * (stop - 1 - F.col("first")) + F.col("lead") + 1).otherwise(F.size("r"))
+        said = F.when(~begins & ~ends, F.col("raw")).when(ends, joined(lo, hi)).otherwise(F.concat(joined(lo, hi), F.substr("raw", F.length("bare") + 1)))
+        place = lambda x: (F.col("at") + F.length(joined(F.lit(0), x))).cast("int")
+        return F.struct(k.alias("k"), said.alias("said"), F.when(begins, place(lo)).alias("from"), F.when(ends, place(hi)).alias("to"), F.when(begins, F.col("path")).alias("path"), (stop - k * step).cast("long").alias("token_count"))
+
+    parts = cut.select(id, "segment", "line", F.inline(F.transform(F.sequence("low", "high"), part)))
+    span = parts.groupBy(id, "segment", "k").agg(F.array_sort(F.collect_list(F.struct("line", "said"))).alias("l"), *(F.max(c).alias(c) for c in ("from", "to", "path", "token_count")))
+    return span.select(id, "from", "to", F.lit(0).alias("part"), X.strip(F.array_join("l.said", "")).alias("text"), "path", "token_count", F.lit(None).cast("int").alias("table_index"))
 
 
 def _outline(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """The outlined lines as a table, for what reads them several times: len is a line's length with its end."""
-    return written(outlined(lines(docs, id, text), id).withColumn("len", F.length("raw")).drop("raw", "title", "heading"), "lines")
-
+    """The outlined lines as a table in buckets of documents (by _KEY), for what reads them several times: len is a line's length with its end."""
+    lined = bucketed(outlined(lines(docs, id, text), id).drop("bare", "title", "heading"), "lines", id).withColumnRenamed(id, _KEY)
+    return lined.withColumn("bare", F.translate("raw", X.BREAKS, "")).withColumn("len", F.length("raw"))
 
-def _groups(size: int):
-    """A column function from the word counts of a table's rows and of its header to the number of each row's group: rows go in order into groups of as many words as the size leaves."""
 
-    @F.pandas_udf("array<int>")
-    def place(counts: pd.Series, header: pd.Series, whole: pd.Series) -> pd.Series:
-        def one(n, head, total):
-            group, used, out = 0, None, []
-            for x in n:
-                if total > size and used is not None and used + x > max(1, size - head):
-                    group, used = group + 1, 0
-                used = (used or 0) + x
-                out.append(group)
-            return out
+def _groups(counts: Column, header: Column, whole: Column, size: int) -> Column:
+    """The row at which each group of a table's rows starts (the first at 0, rows or not), from word counts: rows go in order into groups of as many words as the size leaves beside the header."""
 
-        return pd.Series([one(*x) for x in zip(counts, header, whole, strict=True)])
+    def place(so: Column, x: Column) -> Column:
+        new = (whole > size) & so["used"].isNotNull() & (so["used"] + x > F.greatest(F.lit(1), size - header))
+        used = F.when(new, x).otherwise(F.coalesce(so["used"], F.lit(0)) + x)
+        return F.struct((so["i"] + 1).alias("i"), used.alias("used"), F.when(new, F.concat(so["starts"], F.array(so["i"]))).otherwise(so["starts"]).alias("starts"))
 
-    return place
+    begin = F.struct(F.lit(0).alias("i"), F.lit(None).cast("int").alias("used"), F.array(F.lit(0)).alias("starts"))
+    return F.aggregate(counts, begin, place, lambda so: so["starts"])
 
 
 def _table_chunks(marked: DataFrame, size: int, id: str) -> DataFrame:
     """A chunk for each group of rows of a table, with the table's two head lines; a table without rows is one chunk."""
     count = lambda c: F.size(X.words(c))
     inside = marked.where("table is not null").withColumn("n", count(F.col("bare")))
-    line = F.struct("line", "bare", "n", "at", "len", "path")
+    line = F.struct("line", "bare", "n", "at", "path")
     is_head = F.col("line") < F.col("start") + 2
-    grouped = inside.groupBy(id, "table").agg(F.array_sort(F.collect_list(F.when(is_head, line))).alias("head"), F.array_sort(F.collect_list(F.when(~is_head, F.struct("line", "n")))).alias("r"), F.sum("n").alias("total"), F.max_by(F.col("at") + F.col("len"), "line").cast("int").alias("to"))
-    spread = grouped.select(id, "table", "head", "to", "r", _groups(size)(F.col("r.n"), F.col("head")[0]["n"], F.col("total")).alias("g"))
-    first = F.struct(F.lit(-1).alias("line"), F.lit(0).alias("part"))  # the first part is there without rows, too
-    parts = spread.select(id, "table", F.inline(F.concat(F.array(first), F.arrays_zip(F.col("r.line").alias("line"), F.col("g").alias("part")))))
-    said = inside.select(id, "table", "line", "bare")
-    texts = parts.join(said, [id, "table", "line"], "left").groupBy(id, "table", "part").agg(F.array_sort(F.collect_list(F.when(F.col("line") >= 0, F.struct("line", "bare")))).alias("rows"))
-    each = texts.join(spread.select(id, "table", "head", "to"), [id, "table"])
-    body = X.strip(F.array_join(F.concat(F.col("head.bare"), F.col("rows.bare")), "\n"))
-    return each.select(id, F.col("head")[0]["at"].cast("int").alias("from"), "to", "part", body.alias("text"), F.col("head")[0]["path"].alias("path"), count(body).cast("long").alias("token_count"), F.col("table").alias("table_index"))
+    grouped = inside.groupBy(id, "table").agg(F.array_sort(F.collect_list(F.when(is_head, line))).alias("head"), F.array_sort(F.collect_list(F.when(~is_head, F.struct("line", "n", "bare")))).alias("r"), F.sum("n").alias("total"), F.max_by(F.col("at") + F.col("len"), "line").cast("int").alias("to"))
+    spread = grouped.select(id, "table", "head", "to", "r", _groups(F.col("r.n"), F.col("head")[0]["n"], F.col("total"), size).alias("g"))
+
+    def part(start: Column, i: Column) -> Column:
+        rows = F.slice("r", start + 1, F.coalesce(F.get("g", i + 1), F.size("r")) - start)
+        return F.struct(i.alias("part"), X.strip(F.array_join(F.concat(F.col("head.bare"), rows["bare"]), "\n")).alias("text"))
+
+    first = F.col("head")[0]
+    each = spread.select(id, "table", "to", first["at"].cast("int").alias("from"), first["path"].alias("path"), F.inline(F.transform("g", part)))
+    return each.select(id, "from", "to", "part", "text", "path", count(F.col("text")).cast("long").alias("token_count"), F.col("table").alias("table_index"))
 
 
 def chunks(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: str = "text", pages: str | None = None, marked: DataFrame | None = None) -> DataFrame:
@@ -179,11 +174,11 @@ def chunks(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: s
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the size")
     marked = _outline(docs, id, text) if marked is None else marked
-    both = _prose(docs, marked, size, overlap, id, text).unionByName(_table_chunks(marked, size, id))
-    bounds = docs.select(id, (F.col(pages) if pages else F.lit(None).cast("array<int>")).alias("_pages"))
-    order = Window.partitionBy(id).orderBy("from", "part")
-    return both.join(bounds, id).select(
-        id, (F.row_number().over(order) - 1).cast("long").alias("chunk_index"), "text", F.col("path").alias("section_path"), page_of(F.col("from"), F.col("_pages")).alias("page_from"), page_of(F.col("to"), F.col("_pages")).alias("page_to"), "token_count", "table_index",
+    both = _prose(marked, size, overlap, _KEY).unionByName(_table_chunks(marked, size, _KEY))
+    bound = both.join(docs.select(F.col(id).alias(_KEY), F.col(pages).alias("_pages")), _KEY) if pages else both.withColumn("_pages", F.lit(None).cast("array<int>"))
+    order = Window.partitionBy(_KEY).orderBy("from", "part")
+    return bound.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long")).select(
+        F.col(_KEY).alias(id), "chunk_index", "text", F.col("path").alias("section_path"), page_of(F.col("from"), F.col("_pages")).alias("page_from"), page_of(F.col("to"), F.col("_pages")).alias("page_to"), "token_count", "table_index",
     )
 
 
@@ -226,10 +221,10 @@ def facts(docs: DataFrame, id: str = "doc_id", text: str = "text", whole: bool =
 def units(docs: DataFrame, size: int, overlap: int, id: str = "doc_id", text: str = "text", pages: str | None = None, whole: bool = True) -> DataFrame:
     """Chunks and facts as one table: facts are numbered from FACT_BASE, and what comes from tables carries its whole table (if `whole`). kind is prose, table or fact."""
     marked = _outline(docs, id, text)
-    told = _facts(marked, id)
+    told = _facts(marked, _KEY).withColumnRenamed(_KEY, id)
     rows = told.select(id, (F.col("fact") + FACT_BASE).alias("chunk_index"), "text", "section_path", F.lit(None).cast("int").alias("page_from"), F.lit(None).cast("int").alias("page_to"), F.size(X.words(F.col("text"))).cast("long").alias("token_count"), "table_index")
     both = chunks(docs, size, overlap, id, text, pages, marked).select(rows.columns).unionByName(rows)
     if whole:
-        both = both.join(_wholes(marked, told, id), [id, "table_index"], "left").select(*rows.columns, "table_markdown")
+        both = both.join(_wholes(marked.withColumnRenamed(_KEY, id), told, id), [id, "table_index"], "left").select(*rows.columns, "table_markdown")
     kind = F.when(F.col("chunk_index") >= FACT_BASE, "fact").when(X.strip(F.col("text")).startswith("|"), "table").otherwise("prose")
     return both.withColumn("kind", kind)
